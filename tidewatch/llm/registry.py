@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import packing, token_store
+from tidewatch.llm import packing, quality, secrets, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_token_store": token_store.op4_token_store,
         "op7_packing": packing.op7_packing,
+        "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
