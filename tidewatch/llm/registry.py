@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import packing, quality, secrets, token_store
+from tidewatch.llm import ngram_join, packing, quality, secrets, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_token_store": token_store.op4_token_store,
         "op7_packing": packing.op7_packing,
