@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ngram_join, packing, quality, secrets, token_store
+from tidewatch.llm import ngram_join, packing, quality, secrets, token_store, trie_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_token_store": token_store.op4_token_store,
+        "op5_bpe_round_trip": trie_bpe.op5_bpe_round_trip,
         "op7_packing": packing.op7_packing,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
