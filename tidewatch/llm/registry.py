@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ngram_join, packing, quality, secrets, token_store, trie_bpe
+from tidewatch.llm import ngram_join, packing, quality, secrets, token_store, trie_bpe, vector_dedup, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_token_store": token_store.op4_token_store,
         "op5_bpe_round_trip": trie_bpe.op5_bpe_round_trip,
+        "op6_nearest_neighbours": vector_search.op6_nearest_neighbours,
         "op7_packing": packing.op7_packing,
+        "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
