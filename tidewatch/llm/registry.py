@@ -6,21 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ngram_join, packing, quality, secrets, token_store, trie_bpe, vector_dedup, vector_search
+from tidewatch.llm import html_main, ngram_join, packing, quality, secrets, token_rollups, token_store, trie_bpe, vector_dedup, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+        "op2_token_counts": token_rollups.op2_token_counts,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_token_store": token_store.op4_token_store,
         "op5_bpe_round_trip": trie_bpe.op5_bpe_round_trip,
         "op6_nearest_neighbours": vector_search.op6_nearest_neighbours,
         "op7_packing": packing.op7_packing,
+        "op8_html_extraction": html_main.op8_html_extraction,
         "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_token_counts": token_rollups.OP2_SQL}
