@@ -6,10 +6,12 @@ pair lies in one band or in two neighbouring ones; a band whose largest pair may
 into d + 1 words of 64 bits, at least one of which must be equal (pigeonhole). Documents sharing a word of a band are
 candidates, and candidates are compared on their whole shingle sets.
 
-No group is paired off: the members of a bucket are compared with its first member; whatever then still lies in
-different components although it shares a bucket is compared pair by pair, after the bounds on size and on a second
-256-bit sketch. So all pairs of a bucket are linked, bounded away, or already connected, and components are exact.
-Equal buckets are combined within each map task before they are shuffled, copies of one set are represented once.
+No group is paired off. In each of ``ROUNDS`` rounds a document is compared with one head of the buckets it shares
+with other components (the first round: their smallest member, then others), and components are contracted. Whatever
+then still lies in different components although it shares a bucket is compared pair by pair. Pairs are bounded by
+size and by a second sketch of 1024 bits before they are compared. So all pairs of a bucket are linked, bounded away,
+or connected already, and components are exact. Equal buckets are combined within each map task before they are
+shuffled, copies of one set are represented once.
 
 Defined results: null and wordless texts have no shingles and link with nothing; rows with one doc_id are one node;
 rows with a null doc_id get their size and a null component; each input row gives one row; further columns are ignored.
@@ -22,17 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
 from tidewatch.llm.shingles import mix, shingle_set
 
 #: Signature rows that a map task holds before it combines and emits them; members compared by one task per hub.
-HELD_ROWS, HUB_ROWS = 2_000_000, 2_000
+HELD_ROWS, HUB_ROWS, ROUNDS, WORDS = 1_000_000, 2_000, 2, 16
 
-SKETCHED = "kind tinyint, key bigint, a bigint, b bigint, other bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
-_ARROW = pa.schema([("kind", pa.int8())] + [(c, pa.int64()) for c in ("key", "a", "b", "other", "w0", "w1", "w2", "w3")])
+SKETCHED = "kind tinyint, key bigint, a bigint, b bigint, other bigint, w array<bigint>"
+_ARROW = pa.schema([("kind", pa.int8())] + [(c, pa.int64()) for c in ("key", "a", "b", "other")] + [("w", pa.list_(pa.int64()))])
 
 
 @dataclass(frozen=True)
@@ -76,8 +78,7 @@ def signatures(hashes: np.ndarray, sim: Similarity, lows: list[int]) -> np.ndarr
 
 def _rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    nil = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8))] + [pa.array(columns[f.name].astype(np.int64, copy=False)) if f.name in columns else nil for f in list(_ARROW)[1:]], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8))] + [pa.array(columns[f.name].astype(np.int64, copy=False)) if f.name in columns else pa.nulls(n, f.type) for f in list(_ARROW)[1:]], schema=_ARROW)
 
 
 def _combined(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -106,11 +107,11 @@ def _sketch(sim: Similarity):
                     h = shingle_set(text, sim.width)
                     n = len(h)
                     if not n:
-                        info.append((doc, 0, None, None, None, None, None, None))
+                        info.append((doc, 0, None, None, None))
                         continue
                     one, two = mix(h ^ np.uint64(0x5851F42D4C957F2D)), mix(h + np.uint64(0x14057B7EF767814F))
                     total, xor = int(one.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(two).view(np.int64))
-                    info.append((doc, n, total, xor, *parity(two, 4).view(np.int64).tolist()))
+                    info.append((doc, n, total, xor, parity(two, WORDS).view(np.int64).tolist()))
                     if doc is None or (total, xor) in met:
                         continue
                     if len(met) < 200_000:
@@ -121,7 +122,7 @@ def _sketch(sim: Similarity):
                     keys.append(own)
                     ids.append(np.full(len(own), doc, np.int64))
                     held += len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(info), pa.int8()), *[pa.array([r[k] for r in info], pa.int64()) for k in (2, 0, 1, 3, 4, 5, 6, 7)]], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(info), pa.int8()), *[pa.array([r[k] for r in info], pa.int64()) for k in (2, 0, 1, 3)], pa.array([r[4] for r in info], pa.list_(pa.int64()))], schema=_ARROW)
             if held >= HELD_ROWS:
                 yield from _combined(np.concatenate(keys), np.concatenate(ids))
                 keys, ids, held = [], [], 0
@@ -192,50 +193,77 @@ def verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
     return dealt.select("a", "b", "hashes").mapInArrow(_compare(sim), "a bigint, b bigint").distinct()
 
 
-def _with_class(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of documents as ordered pairs of different set representatives."""
-    left, right = (classes.select(F.col("doc_id").alias(d), F.col("rep").alias(r)) for d, r in (("da", "ra"), ("db", "rb")))
-    both = pairs.join(left, pairs.a == F.col("da")).join(right, pairs.b == F.col("db")).where("ra <> rb")
-    return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+def _near(sim: Similarity, x: str, y: str) -> Column:
+    """The bounds that two similar sets meet, cheapest first: sizes, the sketch folded to 256 bits, the whole sketch."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = F.aggregate(F.zip_with(f"{x}.w", f"{y}.w", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    sizes = (a * sim.den >= b * sim.num) & (b * sim.den >= a * sim.num)
+    folded = sum((F.bit_count(F.col(f"{x}.f{k}").bitwiseXOR(F.col(f"{y}.f{k}"))) for k in range(4)), F.lit(0))
+    most = (a + b) * (sim.den - sim.num)
+    return F.when(~sizes | (folded * (sim.den + sim.num) > most), False).otherwise(apart * (sim.den + sim.num) <= most)
+
+
+def _folds() -> list[Column]:
+    """The sketch of 1024 bits as one of 256: words four apart are XORed."""
+    return [F.aggregate(F.array(*[F.col("w")[j] for j in range(k, WORDS, 4)]), F.lit(0).cast("bigint"), lambda s, v: s.bitwiseXOR(v)).alias(f"f{k}") for k in range(4)]
+
+
+def _open_members(buckets: DataFrame, place: DataFrame) -> DataFrame:
+    """(key, rep, n, w, label) of the buckets that hold several components."""
+    one, two = (place.select(F.col("doc_id").alias(d), F.col("label").alias(m)) for d, m in (("da", "la"), ("db", "lb")))
+    keys = buckets.join(one, buckets.a == F.col("da")).join(two, buckets.b == F.col("db")).where("la <> lb").select("key").distinct()
+    ids = buckets.select("key", F.col("a").alias("doc_id")).union(buckets.select("key", "b")).join(keys, "key", "left_semi")
+    return ids.join(place.select("doc_id", "rep", "label"), "doc_id").select("key", "rep", "label").distinct()
 
 
 def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = common.saved(docs.mapInArrow(_sketch(sim), SKETCHED), "parity-sketches")
-    info = sketched.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("key").alias("h1"), F.col("other").alias("h2"), "w0", "w1", "w2", "w3")
+    at = common.new_path(spark, "parity-sketches")
+    docs.mapInArrow(_sketch(sim), SKETCHED).write.partitionBy("kind").parquet(at)
+    sketched = spark.read.schema(SKETCHED).parquet(at)
+    info = sketched.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("key").alias("h1"), F.col("other").alias("h2"), "w")
     some = info.where("n > 0 and doc_id is not null")
     reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = common.saved(some.join(reps, ["h1", "h2"]).select("doc_id", "rep", "n", "w0", "w1", "w2", "w3"), "set-classes")
+    classes = common.saved(some.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "set-classes")
+    sets = some.select("doc_id", "n", "w").join(classes.where("doc_id = rep").distinct(), "doc_id")
+    sets = common.saved(sets.select("rep", "n", "w", *_folds()), "set-sketches")
     met = sketched.where("kind = 1").select("key", "a").repartition("key").mapInArrow(_meet, "key bigint, a bigint, b bigint")
     buckets = common.saved(met.union(sketched.where("kind = 2").select("key", "a", "b")), "buckets")
+    for kind in (1, 2):
+        common.remove(spark, f"{at}/kind={kind}")
+    common.release(spark)
 
-    first = common.saved(_with_class(buckets.select("a", "b").distinct(), classes), "pairs")
-    links = common.saved(verified(docs, first, sim), "links")
     shared = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    same_id = classes.join(shared, "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
-    edges = common.saved(links.union(same_id), "edges")
-    part = common.connected_components(edges)
-
-    # buckets whose members are in several components by now
-    place = classes.join(part, F.col("rep") == F.col("id"), "left").select("doc_id", "rep", "n", "w0", "w1", "w2", "w3", F.coalesce("component", "rep").alias("label"))
-    place = common.saved(place, "labels")
-    one, two = (place.select(F.col("doc_id").alias(d), F.col("label").alias(m)) for d, m in (("da", "la"), ("db", "lb")))
-    open_keys = buckets.join(one, buckets.a == F.col("da")).join(two, buckets.b == F.col("db")).where("la <> lb").select("key").distinct()
-    members = buckets.select("key", F.col("a").alias("doc_id")).union(buckets.select("key", "b")).distinct().join(open_keys, "key").join(place, "doc_id")
-    members = common.saved(members.select("key", "rep", "n", "label", "w0", "w1", "w2", "w3").distinct(), "open-buckets")
-    x, y = members.alias("x"), members.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(4)), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-    near &= (F.col("x.n") * sim.den >= F.col("y.n") * sim.num) & (F.col("y.n") * sim.den >= F.col("x.n") * sim.num)
-    near &= apart <= F.floor((F.col("x.n") + F.col("y.n")) * (sim.den - sim.num) / (sim.den + sim.num) + 1e-9)
-    rest = common.saved(x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "open-pairs")
-    if rest.limit(1).count():
-        part = common.connected_components(edges.union(verified(docs, rest, sim)))
-
-    whole = classes.select("doc_id", "rep").join(part, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    edges = common.saved(classes.join(shared, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")), "same-ids")
+    place = classes.withColumn("label", F.col("rep"))
+    part = None
+    for turn in range(ROUNDS + 1):
+        members = common.saved(_open_members(buckets, place), "open-buckets")
+        if turn < ROUNDS:  # one head per bucket, one partner per document
+            order = F.struct((F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep")
+            heads = members.groupBy("key").agg(F.min(order).alias("h"))
+            tried = members.join(heads, "key").join(place.where("doc_id = rep").select(F.col("rep").alias("hr"), F.col("label").alias("hl")).distinct(), F.col("h.rep") == F.col("hr"))
+            chosen = tried.where("label <> hl").groupBy("rep").agg(F.min("h").alias("h")).select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
+            x, y = (sets.withColumnRenamed("rep", f"{k}r").alias(k) for k in "xy")
+            pairs = chosen.join(x, F.col("a") == F.col("xr")).join(y, F.col("b") == F.col("yr")).where(_near(sim, "x", "y")).select("a", "b")
+        else:
+            full = common.saved(members.join(sets, "rep"), "open-sets")
+            x, y = full.alias("x"), full.alias("y")
+            apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
+            pairs = x.join(y, apart & _near(sim, "x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        pairs = common.saved(pairs, "pairs")
+        if turn and not pairs.limit(1).count():
+            continue  # the first turn also joins what shares a doc_id
+        edges = common.saved(edges.union(verified(docs, pairs, sim)), "links")
+        part = common.connected_components(edges)
+        place = common.saved(classes.join(part, F.col("rep") == F.col("id"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("label")), "labels")
+        common.release(spark)
+
+    whole = place.groupBy("doc_id").agg(F.min("label").alias("component_id"))
     out = info.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
