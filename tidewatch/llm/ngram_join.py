@@ -1,15 +1,16 @@
 """N-gram Jaccard join by parity sketches.
 
-Every shingle flips one bit of a sketch, so two sketches differ in at most |A xor B| bits. Documents of Jaccard
-similarity t or more have |A xor B| <= (|A| + |B|)(1 - t)/(1 + t). Sizes are dealt into bands of ratio 1/t, so such a
-pair lies in one band or in two neighbouring ones; a band whose largest pair may differ in d bits cuts its sketches
-into d + 1 words of 64 bits, at least one of which must be equal (pigeonhole). Documents sharing a word of a band are
-candidates, and candidates are compared on their whole shingle sets.
+Every shingle XORs its hash into one word of a sketch, so the words of two sketches differ in at most |A xor B| places.
+Documents of Jaccard similarity t or more have |A xor B| <= d = (|A| + |B|)(1 - t)/(1 + t). Sizes are dealt into bands of
+ratio 1/t^2; a document goes to its own band and, if a partner could lie there, to the next. A band cuts its sketches
+into a few more words than the d + 1 that pigeonhole asks for. At most d words of a similar pair differ, so if one of the
+two has more than d words that are not empty, one of these is equal in both: such a document leaves its empty words
+out. A document with fewer keeps them all. Documents sharing a word of a band are candidates; before candidates are
+compared on their whole shingle sets, the Hamming distance of 1024-bit parity sketches bounds their difference.
 
 No group is paired off. In each of ``ROUNDS`` rounds a document is compared with one head of the buckets it shares
 with other components (the first round: their smallest member, then others), and components are contracted. Whatever
-then still lies in different components although it shares a bucket is compared pair by pair. Pairs are bounded by
-size and by a second sketch of 1024 bits before they are compared. So all pairs of a bucket are linked, bounded away,
+then still lies in different components although it shares a bucket is compared pair by pair. So all pairs of a bucket are linked, bounded away,
 or connected already, and components are exact. Equal buckets are combined within each map task before they are
 shuffled, copies of one set are represented once.
 
@@ -33,8 +34,9 @@ from tidewatch.llm.shingles import mix, shingle_set
 #: Signature rows that a map task holds before it combines and emits them; members compared by one task per hub.
 HELD_ROWS, HUB_ROWS, ROUNDS, WORDS = 1_000_000, 2_000, 2, 16
 
-SKETCHED = "kind tinyint, key bigint, a bigint, b bigint, other bigint, w array<bigint>"
-_ARROW = pa.schema([("kind", pa.int8())] + [(c, pa.int64()) for c in ("key", "a", "b", "other")] + [("w", pa.list_(pa.int64()))])
+INFO = "doc_id bigint, n bigint, h1 bigint, h2 bigint, w array<bigint>"
+_INFO = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "h1", "h2")] + [("w", pa.list_(pa.int64()))])
+SIGNED = "key bigint, a bigint, b bigint"
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ class Similarity:
         """Smallest size of each band, up to the band after the one that holds ``largest``."""
         lows = [1]
         while len(lows) < 3 or lows[-3] <= largest:
-            lows.append(lows[-1] * self.den // self.num + 1)
+            lows.append(lows[-1] * self.den * self.den // (self.num * self.num) + 1)
         return lows
 
 
@@ -65,76 +67,104 @@ def parity(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(flips.astype(np.bool_), bitorder="little").view("<u8")
 
 
+#: Words of a band's sketch for each one that pigeonhole asks for, so that most documents can leave empty ones out.
+SPARE = 1.06
+
+
 def signatures(hashes: np.ndarray, sim: Similarity, lows: list[int]) -> np.ndarray:
-    """Bucket keys of one set: all sketch words for its own band and for the next one."""
-    own = int(np.searchsorted(lows, len(hashes), side="right")) - 1
+    """Bucket keys of one sorted set: the sketch words for its own band and for the next one if it reaches there."""
+    n = len(hashes)
+    own = int(np.searchsorted(lows, n, side="right")) - 1
+    top, scrambled = hashes >> np.uint64(32), mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
     out = []
     for band in (own, own + 1):
-        words = sim.difference(2 * (lows[band + 1] - 1)) + 1
-        place = mix(np.arange(words, dtype=np.uint64) + np.uint64((band + 1) << 32))
-        out.append(mix(parity(hashes, words) ^ place))
+        if band > own and n * sim.den < lows[band] * sim.num:
+            break
+        most = sim.difference(2 * (lows[band + 1] - 1))
+        words = int((most + 1) * SPARE) + 1 if most else 1
+        # the upper half of a hash picks the word, so a sorted set lies in word order
+        edge = np.searchsorted(top * np.uint64(words) >> np.uint64(32), np.arange(words + 1, dtype=np.uint64))
+        filled = edge[1:] > edge[:-1]
+        values = np.zeros(words, np.uint64)
+        values[filled] = np.bitwise_xor.reduceat(scrambled, edge[:-1][filled]) + (edge[1:] - edge[:-1])[filled].astype(np.uint64)
+        keys = mix(values ^ mix(np.arange(words, dtype=np.uint64) + np.uint64((band + 1) << 32)))
+        out.append(keys[filled] if int(filled.sum()) > most else keys)
     return np.concatenate(out)
 
 
-def _rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8))] + [pa.array(columns[f.name].astype(np.int64, copy=False)) if f.name in columns else pa.nulls(n, f.type) for f in list(_ARROW)[1:]], schema=_ARROW)
+def _digests(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    one, two = mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), mix(hashes + np.uint64(0x14057B7EF767814F))
+    return int(one.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(two).view(np.int64))
+
+
+def _describe(sim: Similarity):
+    """Size, name and parity sketch of every row's set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for lo in range(0, batch.num_rows, 500):
+                for text in batch.column(1).slice(lo, 500).to_pylist():
+                    h = shingle_set(text, sim.width)
+                    rows.append((len(h), *_digests(h), parity(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), WORDS).view(np.int64).tolist()) if len(h) else (0, None, None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_INFO)[1:])]], schema=_INFO)
 
-def _combined(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row of kind 1 per key, and the further members of its bucket as rows of kind 2."""
+    return run
+
+
+def _combined(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, head, null) once per key, and (key, head, member) for the further members of its bucket."""
     order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
+    keys, ids = keys[order].view(np.int64), ids[order]
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
     heads = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    yield _rows(1, key=keys[first], a=ids[first])
-    rest = ~first & (heads != ids)
-    if rest.any():
-        yield _rows(2, key=keys[rest], a=heads[rest], b=ids[rest])
+    keep = first | (heads != ids)
+    return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(heads[keep]), pa.array(ids[keep], mask=first[keep])], names=["key", "a", "b"])
 
 
-def _sketch(sim: Similarity):
+def _sign(sim: Similarity):
+    """Bucket keys of the sets, combined within the task; copies within the task sign once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, met = sim.bands(1), {}
+        lows, met = sim.bands(1), set()
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = 0
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            info: list[tuple] = []
             for lo in range(0, len(docs), 500):
                 for doc, text in zip(docs[lo : lo + 500], batch.column(1).slice(lo, 500).to_pylist(), strict=True):
-                    h = shingle_set(text, sim.width)
+                    h = shingle_set(text, sim.width) if doc is not None else ()
                     n = len(h)
-                    if not n:
-                        info.append((doc, 0, None, None, None))
-                        continue
-                    one, two = mix(h ^ np.uint64(0x5851F42D4C957F2D)), mix(h + np.uint64(0x14057B7EF767814F))
-                    total, xor = int(one.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(two).view(np.int64))
-                    info.append((doc, n, total, xor, parity(two, WORDS).view(np.int64).tolist()))
-                    if doc is None or (total, xor) in met:
+                    if not n or (name := _digests(h)) in met:
                         continue
-                    if len(met) < 200_000:
-                        met[total, xor] = doc
+                    if len(met) < 100_000:
+                        met.add(name)
                     if lows[-3] <= n:
                         lows = sim.bands(n)
-                    own = signatures(h, sim, lows)
-                    keys.append(own)
-                    ids.append(np.full(len(own), doc, np.int64))
-                    held += len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(info), pa.int8()), *[pa.array([r[k] for r in info], pa.int64()) for k in (2, 0, 1, 3)], pa.array([r[4] for r in info], pa.list_(pa.int64()))], schema=_ARROW)
-            if held >= HELD_ROWS:
-                yield from _combined(np.concatenate(keys), np.concatenate(ids))
-                keys, ids, held = [], [], 0
+                    keys.append(signatures(h, sim, lows))
+                    ids.append(np.full(len(keys[-1]), doc, np.int64))
+                    held += len(keys[-1])
+                    if held >= HELD_ROWS:
+                        yield _combined(np.concatenate(keys), np.concatenate(ids))
+                        keys, ids, held = [], [], 0
         if held:
-            yield from _combined(np.concatenate(keys), np.concatenate(ids))
+            yield _combined(np.concatenate(keys), np.concatenate(ids))
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of one partition: the smallest id of each bucket with every other."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """Buckets of one partition: the smallest head of each with the other heads, and what was met within a task before."""
+    parts = []
+    for b in batches:
+        within = b.column(2).is_valid()
+        if within.true_count:
+            yield b.filter(within)
+        own = b.filter(b.column(2).is_null())
+        if own.num_rows:
+            parts.append((own.column(0).to_numpy(), own.column(1).to_numpy()))
     if not parts:
         return
     keys, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -220,19 +250,13 @@ def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> Da
     """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    at = common.new_path(spark, "parity-sketches")
-    docs.mapInArrow(_sketch(sim), SKETCHED).write.partitionBy("kind").parquet(at)
-    sketched = spark.read.schema(SKETCHED).parquet(at)
-    info = sketched.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("key").alias("h1"), F.col("other").alias("h2"), "w")
+    info = common.saved(docs.mapInArrow(_describe(sim), INFO), "parity-sketches")
     some = info.where("n > 0 and doc_id is not null")
     reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = common.saved(some.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "set-classes")
     sets = some.select("doc_id", "n", "w").join(classes.where("doc_id = rep").distinct(), "doc_id")
     sets = common.saved(sets.select("rep", "n", "w", *_folds()), "set-sketches")
-    met = sketched.where("kind = 1").select("key", "a").repartition("key").mapInArrow(_meet, "key bigint, a bigint, b bigint")
-    buckets = common.saved(met.union(sketched.where("kind = 2").select("key", "a", "b")), "buckets")
-    for kind in (1, 2):
-        common.remove(spark, f"{at}/kind={kind}")
+    buckets = common.saved(docs.mapInArrow(_sign(sim), SIGNED).repartition("key").mapInArrow(_meet, SIGNED), "buckets")
     common.release(spark)
 
     shared = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
