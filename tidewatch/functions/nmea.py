@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.steps import held
+
 #: Six-bit text alphabet, a fixed value of the message format.
 ALPHABET = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
 
@@ -32,12 +34,13 @@ def with_envelope(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     df = df.withColumns({"tag": field(0), "total": field(1).try_cast("int"), "number": field(2).try_cast("int"), "sequence_id": field(3), "channel": field(4), "payload": field(5), "fill_bits": field(6).try_cast("int")})
     ints = F.col("total").isNull() | F.col("number").isNull() | F.col("fill_bits").isNull()
     ranges = F.col("total").between(1, 9) & F.col("number").between(1, F.col("total")) & F.col("fill_bits").between(0, 5) & ((F.col("fill_bits") == 0) | (F.col("number") == F.col("total")))
-    state = checksum_state(s)
+    df = held(df, "state_", checksum_state(s))
+    state = F.col("state_")
     code = (
         F.when(F.size("f_") != 7, "INVALID_NMEA_FORMAT").when(~F.col("tag").isin("!AIVDM", "!AIVDO"), "UNSUPPORTED_NMEA_SENTENCE").when(ints, "INVALID_NMEA_FORMAT")
         .when(~ranges, "INVALID_FRAGMENT").when(F.col("payload") == "", "INVALID_NMEA_FORMAT").when(state != "VALID", F.concat(F.lit("CHECKSUM_"), state))
     )
-    return df.withColumn("code", code).drop("f_")
+    return df.withColumn("code", code).drop("f_", "state_")
 
 
 def bits(payload: Column) -> Column:
@@ -67,7 +70,7 @@ def text(b: Column, start: int, n: int) -> Column:
 
 def decoded(df: DataFrame, payload: str = "payload", fill: str = "fill_bits") -> DataFrame:
     """Fields of types 1, 2, 3, 18, 5 and 24, and ``code`` for what can't be decoded."""
-    df = df.withColumn("b", bits(F.col(payload))).withColumn("n_bits", F.length("b") - F.col(fill))
+    df = held(df, "b", bits(F.col(payload))).withColumn("n_bits", F.length("b") - F.col(fill))
     b = F.col("b")
     df = df.withColumn("message_type", F.when(F.col("n_bits") >= 38, unsigned(b, 0, 6)).cast("int")).withColumn("mmsi", unsigned(b, 8, 30).cast("int"))
     t = F.col("message_type")

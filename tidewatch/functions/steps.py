@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Steps = list[tuple[str, str]]
@@ -19,3 +19,8 @@ def steps_sql(source: str, steps: Steps) -> str:
     for name, sql in steps:
         source = f"(SELECT *, {sql} AS {name} FROM {source})"
     return source
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose expression the optimizer neither copies into later ones nor into filters pushed below it."""
+    return df.withColumn(name, F.explode(F.array(value)))

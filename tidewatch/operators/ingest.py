@@ -17,7 +17,8 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     """``value`` to received_ns and sentence; ``code`` INVALID_LOG_LINE where it isn't <17 digits> <sentence>."""
     v = F.regexp_replace("value", "^﻿", "")
     stamp, rest = F.regexp_extract(v, r"^(\S+)\s+(.*)$", 1), F.regexp_extract(v, r"^(\S+)\s+(.*)$", 2)
-    at = F.when(F.length(stamp) == 17, F.unix_micros(F.try_to_timestamp(F.when(stamp.rlike("^[0-9]{17}$"), stamp), F.lit("yyyyMMddHHmmssSSS"))))
+    # Spark's parser needs a separator before the milliseconds
+    at = F.unix_micros(F.try_to_timestamp(F.when(stamp.rlike("^[0-9]{17}$"), F.concat(F.left(stamp, F.lit(14)), F.lit("."), F.right(stamp, F.lit(3)))), F.lit("yyyyMMddHHmmss.SSS")))
     df = lines.withColumn("received_ns", (at - JST_US) * 1000).withColumn("sentence", F.when(at.isNotNull(), F.trim(rest)))
     return df.withColumn("code", F.when(at.isNull() | (F.col("sentence") == ""), "INVALID_LOG_LINE"))
 

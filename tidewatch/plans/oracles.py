@@ -110,7 +110,7 @@ _UPDATES = """updates AS (SELECT CAST(user_id % 25 + 431000000 AS INT) AS mmsi,
 _HISTORY = f"""{_UPDATES}, states AS (SELECT mmsi, ts_ns, seq, coalesce(last_value(nullif(vessel_class, 'UNKNOWN') IGNORE NULLS) OVER w, 'UNKNOWN') AS vessel_class, last_value(vessel_name IGNORE NULLS) OVER w AS vessel_name, last_value(ship_length_m IGNORE NULLS) OVER w AS ship_length_m
   FROM updates WINDOW w AS (PARTITION BY mmsi ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)),
 instants AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY mmsi, ts_ns ORDER BY seq DESC) = 1),
-changed AS (SELECT * FROM instants QUALIFY row_number() OVER v = 1 OR (lag(vessel_class) OVER v, lag(vessel_name) OVER v, lag(ship_length_m) OVER v) IS DISTINCT FROM (vessel_class, vessel_name, ship_length_m) WINDOW v AS (PARTITION BY mmsi ORDER BY ts_ns)),
+changed AS (SELECT * FROM instants WINDOW v AS (PARTITION BY mmsi ORDER BY ts_ns) QUALIFY row_number() OVER v = 1 OR (lag(vessel_class) OVER v, lag(vessel_name) OVER v, lag(ship_length_m) OVER v) IS DISTINCT FROM (vessel_class, vessel_name, ship_length_m)),
 versions AS (SELECT mmsi, ts_ns AS valid_from, lead(ts_ns) OVER (PARTITION BY mmsi ORDER BY ts_ns) AS valid_to, vessel_class, vessel_name, ship_length_m FROM changed)"""
 _LENGTHS = f"""{_UPDATES}, lengths AS (SELECT mmsi, ts_ns AS valid_from, max(ship_length_m) AS ship_length_m FROM updates WHERE ship_length_m IS NOT NULL GROUP BY ALL),
 asked AS (SELECT DISTINCT mmsi, day FROM report_days), known AS (SELECT a.mmsi, a.day, arg_max(ship_length_m, valid_from) AS ship_length_m FROM asked a LEFT JOIN lengths l ON a.mmsi = l.mmsi AND l.valid_from < (date_diff('day', DATE '1970-01-01', a.day) + 1) * {cube.DAY_NS} - {cube.JST_NS} GROUP BY ALL),

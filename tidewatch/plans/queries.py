@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, nmea, rates
-from tidewatch.functions.steps import with_steps
+from tidewatch.functions.steps import held, with_steps
 from tidewatch.operators import calibrate, cube, ingest, intervals, legacy, metadata, shiplength
 from tidewatch.operators.reports import reports_of_events
 
@@ -166,7 +166,9 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.concat(first, b(F.coalesce("nav_status", F.lit(15)), 4), zero(8), b(sog, 10), zero(1), b(lon, 28), b(lat, 27), b(cog, 12), b(head, 9), zero(31))
     mode = F.when(F.col("class_b_mode") == "CARRIER_SENSE", F.lit("1")).otherwise(F.lit("0"))
     c = F.concat(first, zero(8), b(sog, 10), zero(1), b(lon, 28), b(lat, 27), b(cog, 12), b(head, 9), zero(8), mode, zero(4), F.lit("1"), zero(21))
-    return df.withColumn("sent", nmea.sentence(nmea.armoured(F.when(F.col("message_type") == 18, c).otherwise(a))))
+    df = held(df, "bits_", F.when(F.col("message_type") == 18, c).otherwise(a))
+    df = held(df, "payload_", nmea.armoured(F.col("bits_")))
+    return held(df, "sent", nmea.sentence(F.col("payload_"))).drop("bits_", "payload_")
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +211,7 @@ def log_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static updates derived from events: sparse lengths and names."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25 + 431000000).cast("int").alias("mmsi"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
-    length = F.when(F.col("event_id") % 3 == 0, ((F.col("mmsi") * 29 + F.floor(F.col("event_id") / 400) * 60) % 520).cast("int"))
+    length = F.when(F.col("event_id") % 3 == 0, ((F.col("mmsi").cast("bigint") * 29 + F.floor(F.col("event_id") / 400) * 60) % 520).cast("int"))
     name = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("V"), (F.col("event_id") % 14).cast("string")))
     return e.select("mmsi", "ts_ns", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "UNKNOWN").when(F.col("mmsi") % 5 == 0, "B").otherwise("A").alias("vessel_class"), length.alias("ship_length_m"), name.alias("vessel_name"))
 
