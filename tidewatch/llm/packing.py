@@ -39,7 +39,7 @@ def best_cuts(pos: list[int], penalty: list[int], size: int, power_min: int = PO
     """Indices into ``pos`` of the cheapest cuts. pos[0] is the start, the last entry the end; gaps are at most ``size``."""
     cost, back = [0] * len(pos), [0] * len(pos)
     queue: deque[tuple[int, int]] = deque([(pos[0], 0)])
-    powers = [1 << k for k in range(power_min.bit_length() - 1, size.bit_length() - 1) if 1 << k >= power_min and 1 << k < size]
+    powers = [1 << k for k in range(power_min.bit_length() - 1, size.bit_length()) if 1 << k >= power_min and 1 << k < size]
     at = {pos[0]: 0}
     for j in range(1, len(pos)):
         x = pos[j]
