@@ -1,0 +1,61 @@
+"""Datagrams as a streaming source: one row per line, stamped on arrival, delivered at most once."""
+
+from __future__ import annotations
+
+import socket
+import time
+
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+SCHEMA = "received_ns bigint, sequence bigint, sentence string"
+PORT, LARGEST = 17020, 65_535
+
+
+class DatagramReader(SimpleDataSourceStreamReader):
+    """Reads what has arrived when a micro-batch starts; rows stay until their batch is committed."""
+
+    def __init__(self, options: dict):
+        self.most = int(options.get("maxlines", 8192))
+        self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        self.sock.bind((options.get("host", "127.0.0.1"), int(options.get("port", PORT))))
+        self.sock.setblocking(False)
+        self.held: list[tuple[int, int, str]] = []
+        self.next = 0
+
+    def initialOffset(self) -> dict:
+        return {"line": 0}
+
+    def read(self, start: dict):
+        rows = []
+        while len(rows) < self.most:
+            try:
+                data = self.sock.recv(LARGEST)
+            except BlockingIOError:
+                break
+            now = time.time_ns()
+            for line in data.decode("utf-8", "replace").splitlines():
+                if line.strip():
+                    rows.append((now, self.next, line.strip()))
+                    self.next += 1
+        self.held += rows
+        return iter(rows), {"line": self.next}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([r for r in self.held if start["line"] <= r[1] < end["line"]])
+
+    def commit(self, end: dict) -> None:
+        self.held = [r for r in self.held if r[1] >= end["line"]]
+
+
+class DatagramSource(DataSource):
+    """``spark.dataSource.register(DatagramSource)``, then ``readStream.format("datagrams")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "datagrams"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def simpleStreamReader(self, schema) -> DatagramReader:
+        return DatagramReader(self.options)
