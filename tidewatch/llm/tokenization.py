@@ -17,7 +17,7 @@ from itertools import accumulate, chain
 from struct import pack
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Unicode White_Space, a fixed value of the standard.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -122,8 +122,11 @@ class Encoder:
         for t in (self.tok, self.words):
             t.no_truncation()
             t.no_padding()
-        if self.split.family == "word":  # a piece is normalised already
+        if self.split.family == "word":  # a piece is normalised already and holds no white space
             self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix = spec["model"].get("end_of_word_suffix") or ""
+            self.closes = np.array([bool(suffix) and (self.words.id_to_token(i) or "").endswith(suffix) for i in range(self.words.get_vocab_size())])
         self.known_pieces: dict[str, bytes] = {}
         self.known_chunks: dict[str, bytes] = {}
 
@@ -139,12 +142,12 @@ class Encoder:
         for lo in range(0, len(joined), 5_000):  # many pieces as one text cost less than many texts
             part = joined[lo : lo + 5_000]
             e = self.words.encode(" ".join(part), add_special_tokens=False)
-            of, ids = np.array(e.word_ids, dtype=np.int64), np.array(e.ids, dtype="<u4")
-            at = np.flatnonzero(np.diff(of, prepend=-1))
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.closes[ids]) + 1
             if len(at) != len(part):
                 single += part
                 continue
-            data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+            data, ends = ids.tobytes(), (at * 4).tolist()
             known.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
         for lo in range(0, len(single), 20_000):
             part = single[lo : lo + 20_000]
@@ -163,8 +166,10 @@ class Encoder:
         if None in found:
             lacking = [k for k, v in enumerate(found) if v is None]
             unseen = list({chunks[k] for k in lacking})
-            findall, lower = self.split.findall, self.split.family == "word"
-            fresh = dict(zip(unseen, self._encode_cut([findall(lower_nfc(c) if lower else lead + c) for c in unseen]), strict=True))
+            findall = self.split.findall
+            # no chunk holds a line feed, and neither NFC nor a piece reaches across one
+            cut = lower_nfc("\n".join(unseen)).split("\n") if self.split.family == "word" else [lead + c for c in unseen]
+            fresh = dict(zip(unseen, self._encode_cut([[c] if c.isalpha() and c.isascii() else findall(c) for c in cut]), strict=True))
             for k in lacking:
                 found[k] = fresh[chunks[k]]
             if len(known) > CHUNK_ENTRIES:
