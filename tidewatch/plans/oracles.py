@@ -93,9 +93,12 @@ _BAND_ROWS = f"""{_FLAT}, {_LOST}, {_RINGS}, {_RING_BAND}, parts AS MATERIALIZED
 _CELL_ROWS = f"""{_FLAT}, {_LOST}, {_GRID}, parts AS MATERIALIZED ({_point('flat', 'start_ns', geo.cell('e0') + ' AS col, ' + geo.cell('n0') + ' AS row', 1)} UNION ALL {_point('lost', 'at_ns', geo.cell('pe') + ' AS col, ' + geo.cell('pn') + ' AS row', 0)}
   UNION ALL {_durations('grid', geo.cell('me') + ' AS col, ' + geo.cell('mn') + ' AS row')})"""
 
+#: Added before rounding to four digits: times are whole microseconds, so halves are frequent and would go either way.
+_OFF_TIES = "3e-7"
+
 _SUMS = "CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(missing) AS BIGINT) AS missing, sum(observed_s) AS observed_s, sum(stale_s) AS stale_s"
-_SHOWN = "observed, missing, round(observed_s, 4) AS observed_s, round(stale_s, 4) AS stale_s"
-_RATES = f"round({rates.percent('missing', 'observed + missing')}, 4) AS loss_pct, round({rates.percent('stale_s', 'observed_s')}, 4) AS stale_pct, {rates.reasons('(observed + missing)', 'vessels')} AS insufficient"
+_SHOWN = f"observed, missing, round(observed_s + {_OFF_TIES}, 4) AS observed_s, round(stale_s + {_OFF_TIES}, 4) AS stale_s"
+_RATES = f"round({rates.percent('missing', 'observed + missing')} + {_OFF_TIES}, 4) AS loss_pct, round({rates.percent('stale_s', 'observed_s')} + {_OFF_TIES}, 4) AS stale_pct, {rates.reasons('(observed + missing)', 'vessels')} AS insufficient"
 
 _PERIODS = {"day": "strftime(day, '%Y-%m-%d')", "day_of_week": "upper(dayname(day))", "month": "strftime(day, '%Y-%m')", "year": "strftime(day, '%Y')", "hour_of_day": "lpad(CAST(hour AS VARCHAR), 2, '0')"}
 
@@ -156,10 +159,10 @@ def oracle_sql() -> dict[str, str]:
         "cell_metric_5m": f"{base}, {_CELL_ROWS} SELECT bucket, col, row, vessel_class, {_SHOWN}, vessels FROM (SELECT bucket, col, row, vessel_class, {_SUMS}, count(DISTINCT mmsi) AS vessels FROM parts GROUP BY ALL)",
         "distance_metric_5m": f"{base}, {_BAND_ROWS} SELECT bucket, band, vessel_class, {_SHOWN}, vessels FROM (SELECT bucket, band, vessel_class, {_SUMS}, count(DISTINCT mmsi) AS vessels FROM parts GROUP BY ALL)",
         "vessel_day_metric": f"{base}, {_BAND_ROWS} SELECT day, band, vessel_class, mmsi, {_SHOWN} FROM (SELECT day, band, vessel_class, mmsi, {_SUMS} FROM parts GROUP BY ALL)",
-        "heat_cells": f"{base}, {_CELL_ROWS} SELECT col, row, {_SHOWN}, vessels, {_RATES}, {rates.heat_class('round(' + rates.percent('missing', 'observed + missing') + ', 9)')} AS heat, round(lat, 4) AS lat, round(lon, 4) AS lon, round({geo.receiver_km('lat', 'lon')}, 4) AS km FROM {steps_sql(f'(SELECT col, row, {_SUMS}, count(DISTINCT mmsi) AS vessels FROM parts GROUP BY ALL)', [('ce', '(col + 0.5e0) * 2000e0'), ('cn', '(row + 0.5e0) * 2000e0'), *geo.from_utm('ce', 'cn', 'lat', 'lon')])}",
-        "distance_hour": f"{base}, {_BAND_ROWS} SELECT period, band, vessel_class, observed, missing, vessels, CASE WHEN {rates.sufficient('observed + missing', 'vessels')} THEN round({rates.percent('missing', 'observed + missing')}, 4) END AS loss_pct FROM {_rolled(_PERIODS['hour_of_day'])}",
+        "heat_cells": f"{base}, {_CELL_ROWS} SELECT col, row, {_SHOWN}, vessels, {_RATES}, {rates.heat_class('round(' + rates.percent('missing', 'observed + missing') + ', 9)')} AS heat, round(lat + {_OFF_TIES}, 4) AS lat, round(lon + {_OFF_TIES}, 4) AS lon, round({geo.receiver_km('lat', 'lon')} + {_OFF_TIES}, 4) AS km FROM {steps_sql(f'(SELECT col, row, {_SUMS}, count(DISTINCT mmsi) AS vessels FROM parts GROUP BY ALL)', [('ce', '(col + 0.5e0) * 2000e0'), ('cn', '(row + 0.5e0) * 2000e0'), *geo.from_utm('ce', 'cn', 'lat', 'lon')])}",
+        "distance_hour": f"{base}, {_BAND_ROWS} SELECT period, band, vessel_class, observed, missing, vessels, CASE WHEN {rates.sufficient('observed + missing', 'vessels')} THEN round({rates.percent('missing', 'observed + missing')} + {_OFF_TIES}, 4) END AS loss_pct FROM {_rolled(_PERIODS['hour_of_day'])}",
         "vessel_presence": f"{base}, {_BAND_ROWS} SELECT band, vessel_class, count(DISTINCT mmsi) AS vessels, count(DISTINCT (day, mmsi)) AS vessel_days, count(DISTINCT day) AS days FROM parts GROUP BY ALL",
-        "daily_distance_summary": f"{base}, {_BAND_ROWS} SELECT band, vessel_class, round(sum(missing) * 100e0 / sum(observed + missing), 4) AS pooled_pct, round(quantile_cont(ok, 0.25), 4) AS q1, round(quantile_cont(ok, 0.75), 4) AS q3, count(ok) AS days FROM (SELECT *, CASE WHEN {rates.sufficient('observed + missing', 'vessels')} THEN {rates.percent('missing', 'observed + missing')} END AS ok FROM {_rolled(_PERIODS['day'])}) GROUP BY ALL HAVING count(ok) > 0",
+        "daily_distance_summary": f"{base}, {_BAND_ROWS} SELECT band, vessel_class, round(sum(missing) * 100e0 / sum(observed + missing) + {_OFF_TIES}, 4) AS pooled_pct, round(quantile_cont(ok, 0.25) + {_OFF_TIES}, 4) AS q1, round(quantile_cont(ok, 0.75) + {_OFF_TIES}, 4) AS q3, count(ok) AS days FROM (SELECT *, CASE WHEN {rates.sufficient('observed + missing', 'vessels')} THEN {rates.percent('missing', 'observed + missing')} END AS ok FROM {_rolled(_PERIODS['day'])}) GROUP BY ALL HAVING count(ok) > 0",
         "outside_range": f"{base}, {_FLAT}, {_LOST} SELECT (SELECT count(*) FROM flat WHERE ({geo.band('start_km')}) IS NULL) + (SELECT count(*) FROM lost WHERE ({geo.band(geo.receiver_km('p_lat', 'p_lon'))}) IS NULL) AS outside",
         "decode_roundtrip": f"SELECT event_id, message_type, mmsi, CASE WHEN message_type = 18 THEN 'B' ELSE 'A' END AS vessel_class, round(sog, 6) AS sog, round(cog, 6) AS cog, heading, nav_status, round(round(lat * 600000) / 600000e0, 6) AS lat, round(round(lon * 600000) / 600000e0, 6) AS lon FROM ({_REPORTS})",
         "checksum": "SELECT event_id, upper(printf('%02x', list_reduce([ascii(c) FOR c IN string_split(body, '')], lambda a, x: xor(a, x)))) AS checksum, CASE event_id % 5 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'MALFORMED' WHEN 2 THEN 'INVALID' ELSE 'VALID' END AS state FROM (SELECT event_id, 'AIVDM,' || event_type || props AS body FROM events)",
@@ -170,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "metadata_as_of": f"WITH reports AS ({_REPORTS}), {_HISTORY} SELECT r.event_id, r.mmsi, v.ship_length_m, v.vessel_name FROM (SELECT * FROM reports WHERE event_id % 10 = 0) r LEFT JOIN versions v ON v.mmsi = r.mmsi AND v.valid_from <= r.ts_ns AND (v.valid_to IS NULL OR r.ts_ns < v.valid_to)",
         "ship_length_reach": f"""{base}, {_DAYS}, {_LENGTHS}, far AS (SELECT length_band, day, vessel_class, mmsi, max(band) AS band, max(band) * 5e0 AS km FROM sized GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY length_band ORDER BY band, day, vessel_class, mmsi) AS k, count(*) OVER (PARTITION BY length_band) AS n FROM far)
 SELECT length_band, count(DISTINCT mmsi) AS vessels, count(*) AS vessel_days, round(avg(km), 6) AS mean_km, count(*) FILTER (km >= 30) AS beyond_30, count(*) FILTER (km >= 50) AS beyond_50, min(band) FILTER (k >= (n + 1) / 2e0) AS median_band, round(count(*) FILTER (km >= 30) * 100e0 / count(*), 6) AS pct_30, round(count(*) FILTER (km >= 50) * 100e0 / count(*), 6) AS pct_50, count(*) >= 30 AND count(DISTINCT mmsi) >= 3 AS sufficient FROM ranked GROUP BY length_band""",
-        "ship_length_performance": f"{base}, {_DAYS}, {_LENGTHS} SELECT length_band, band, vessel_class, {_SHOWN}, vessels, days, round({rates.percent('missing', 'observed + missing')}, 4) AS loss_pct, round({rates.percent('stale_s', 'observed_s')}, 4) AS stale_pct FROM (SELECT length_band, band, vessel_class, count(*) AS observed, CAST(sum(missing) AS BIGINT) AS missing, sum(actual_s) AS observed_s, sum(stale_s) AS stale_s, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days FROM sized GROUP BY ALL)",
+        "ship_length_performance": f"{base}, {_DAYS}, {_LENGTHS} SELECT length_band, band, vessel_class, {_SHOWN}, vessels, days, round({rates.percent('missing', 'observed + missing')} + {_OFF_TIES}, 4) AS loss_pct, round({rates.percent('stale_s', 'observed_s')} + {_OFF_TIES}, 4) AS stale_pct FROM (SELECT length_band, band, vessel_class, count(*) AS observed, CAST(sum(missing) AS BIGINT) AS missing, sum(actual_s) AS observed_s, sum(stale_s) AS stale_s, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days FROM sized GROUP BY ALL)",
         "ship_length_coverage": f"{base}, {_DAYS}, {_LENGTHS} SELECT count(DISTINCT day) AS days, count(DISTINCT mmsi) AS vessels, count(DISTINCT mmsi) FILTER (length_band < 6) AS known_vessels, count(*) AS vessel_days, count(*) FILTER (length_band < 6) AS known_vessel_days FROM (SELECT DISTINCT day, vessel_class, mmsi, length_band FROM sized)",
         "daily_quality": f"""{base}, by_day AS (SELECT *, DATE '1970-01-01' + CAST((ts_ns + {cube.JST_NS}) // {cube.DAY_NS} AS INT) AS day FROM analyzed), spine AS (SELECT CAST(unnest(generate_series(DATE '2023-12-31', DATE '2024-01-09', INTERVAL 1 DAY)) AS DATE) AS day),
 sums AS (SELECT day, count(DISTINCT ts_ns // {_B}) AS buckets, min(ts_ns - ts_ns % {_B}) AS first_bucket, max(ts_ns - ts_ns % {_B}) AS last_bucket, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS excluded, count(DISTINCT mmsi) AS vessels FROM by_day GROUP BY ALL)

@@ -24,8 +24,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles rounded, so that summation order doesn't show."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """All doubles rounded, so that summation order doesn't show.
+
+    At four digits halves of whole microseconds are frequent and would go either way: they are moved off the tie.
+    """
+    shift = 3e-7 if digits == 4 else 0.0
+    return df.select(*[F.round(F.col(c) + shift, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
