@@ -32,12 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``saved`` and the path of the table, for those that are removed once what follows them is saved."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    return saved_at(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -62,8 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Hash-to-min with pointer jumping. Every round is two joins and two map-side combined minima, so a node
     with very many neighbours costs one partial row per map task. Only a change count reaches the driver.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "cc-labels")
+    spark = edges.sparkSession
+    both, both_at = saved_at(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
+    labels, at = saved_at(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "cc-labels")
     for _ in range(max_rounds):
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
         # the root of a node also learns what the node has seen, so that whole trees hook on at once
@@ -72,9 +78,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = told.groupBy(F.col("k").alias("id")).agg(F.min("m").alias("p"))
         up = hooked.select(F.col("id").alias("r"), F.col("p").alias("pp"))
         jumped = hooked.join(up, hooked.p == up.r).select("id", F.least("p", "pp").alias("component"))
-        fresh = saved(jumped, "cc-labels")
+        fresh, fresh_at = saved_at(jumped, "cc-labels")
         changed = fresh.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = fresh
+        remove(spark, at)
+        labels, at = fresh, fresh_at
         if not changed:
+            remove(spark, both_at)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

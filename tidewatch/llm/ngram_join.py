@@ -211,16 +211,19 @@ def _compare(sim: Similarity):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are similar enough; a hub's partners are dealt over several tasks."""
+def verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> tuple[DataFrame, str]:
+    """Those of ``pairs(a, b)`` whose shingle sets are similar enough, and the table of sets that they are read from.
+
+    A hub's partners are dealt over several tasks.
+    """
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("w"), "left_semi")
-    sets = common.saved(texts.mapInArrow(_sets(sim.width), "id bigint, hashes binary"), "shingle-sets")
+    sets, at = common.saved_at(texts.mapInArrow(_sets(sim.width), "id bigint, hashes binary"), "shingle-sets")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
     mine = hubs.join(sets, hubs.a == sets.id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "hashes")
     theirs = pairs.join(hubs, "a").join(sets, F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b", "hashes")
     dealt = mine.union(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
-    return dealt.select("a", "b", "hashes").mapInArrow(_compare(sim), "a bigint, b bigint").distinct()
+    return dealt.select("a", "b", "hashes").mapInArrow(_compare(sim), "a bigint, b bigint").distinct(), at
 
 
 def _near(sim: Similarity, x: str, y: str) -> Column:
@@ -264,7 +267,8 @@ def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> Da
     place = classes.withColumn("label", F.col("rep"))
     part = None
     for turn in range(ROUNDS + 1):
-        members = common.saved(_open_members(buckets, place), "open-buckets")
+        members, members_at = common.saved_at(_open_members(buckets, place), "open-buckets")
+        full_at = None
         if turn < ROUNDS:  # one head per bucket, one partner per document
             order = F.struct((F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep")
             heads = members.groupBy("key").agg(F.min(order).alias("h"))
@@ -273,14 +277,22 @@ def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> Da
             x, y = (sets.withColumnRenamed("rep", f"{k}r").alias(k) for k in "xy")
             pairs = chosen.join(x, F.col("a") == F.col("xr")).join(y, F.col("b") == F.col("yr")).where(_near(sim, "x", "y")).select("a", "b")
         else:
-            full = common.saved(members.join(sets, "rep"), "open-sets")
+            full, full_at = common.saved_at(members.join(sets, "rep"), "open-sets")
             x, y = full.alias("x"), full.alias("y")
             apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
             pairs = x.join(y, apart & _near(sim, "x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         pairs = common.saved(pairs, "pairs")
+        for spent in filter(None, (members_at, full_at)):
+            common.remove(spark, spent)
+        members = heads = tried = chosen = full = x = y = None
+        common.release(spark)
         if turn and not pairs.limit(1).count():
             continue  # the first turn also joins what shares a doc_id
-        edges = common.saved(edges.union(verified(docs, pairs, sim)), "links")
+        links, sets_at = verified(docs, pairs, sim)
+        edges = common.saved(edges.union(links), "links")
+        common.remove(spark, sets_at)
+        del links
+        common.release(spark)
         part = common.connected_components(edges)
         place = common.saved(classes.join(part, F.col("rep") == F.col("id"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("label")), "labels")
         common.release(spark)
