@@ -207,7 +207,12 @@ def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, *
     """Fit on the labelled rows that aren't held out; ``labels(doc_id, quality)``."""
     usable = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     usable = usable.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("q") >= 0.5).cast("double").alias("y"))
-    rows = stats.join(usable, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).select("y", *_COLUMNS).toPandas()
+    rows = stats.join(usable, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    # every task would offer max_rows of its own: only hashes up to a bit above the expected last one come that far
+    share = (1.1 * max_rows + 1000) / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.col("h") < int(share * 2.0**64) - (1 << 63))
+    rows = rows.orderBy("h", "doc_id").limit(max_rows).select("y", *_COLUMNS).toPandas()
     return AdditiveModel(**settings).fit(rows[_COLUMNS].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
