@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import geo, nmea, rates
 from tidewatch.functions.steps import with_steps
 from tidewatch.operators import calibrate, cube, ingest, intervals, metadata, shiplength
+from tidewatch.plans import queries
 from tidewatch.sources import logs, store, tables
 from tidewatch.streaming import live, udp
 
@@ -202,3 +203,24 @@ def test_store(spark, tmp_path):
     assert s.read("facts").count() == 2 and s.equivalent("fr2", "rx", "p").count() == 1 and s.equivalent("fr1", "rx", "p").count() == 0
     store.write_report(spark.createDataFrame([(1, 0.5), (2, None)], "a int, b double"), f"{tmp_path}/csv")
     assert sorted(tuple(r) for r in spark.read.csv(f"{tmp_path}/csv", header=True).fillna("").collect()) == [("1", "0.500000"), ("2", "")]
+
+
+def test_as_of_gives_every_report_its_version(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    events = [(k, start + datetime.timedelta(seconds=37 * k), k % 40, "view", "{}") for k in range(400)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    history = metadata.versions(metadata.merged(queries._updates(spark, str(tmp_path)))).collect()
+    want = {}
+    for r in queries.reports(spark, str(tmp_path)).collect():
+        valid = [h for h in history if h.mmsi == r.mmsi and h.valid_from <= r.ts_ns and (h.valid_to is None or r.ts_ns < h.valid_to)]
+        want[r.event_id] = (r.mmsi, *((valid[0].ship_length_m, valid[0].vessel_name) if valid else (None, None)))
+    got = queries.metadata_as_of(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 400 and {r.event_id: (r.mmsi, r.ship_length_m, r.vessel_name) for r in got} == want
+    assert len(set(want.values())) > 20
+
+
+def test_as_of_edges(spark):
+    history = spark.createDataFrame([(1, 10, 20, 5), (1, 30, None, 7), (None, 0, None, 9)], "mmsi int, valid_from bigint, valid_to bigint, ship_length_m int")
+    at = spark.createDataFrame([(1, 9), (1, 10), (1, 10), (1, 19), (1, 20), (1, 30), (2, 30), (None, 30), (1, None)], "mmsi int, at_ns bigint")
+    got = sorted((tuple(r) for r in metadata.effective(history, at).select("mmsi", "at_ns", "ship_length_m").collect()), key=str)
+    assert got == sorted([(1, 9, None), (1, 10, 5), (1, 10, 5), (1, 19, 5), (1, 20, None), (1, 30, 7), (2, 30, None), (None, 30, None), (1, None, None)], key=str)

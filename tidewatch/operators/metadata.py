@@ -26,7 +26,14 @@ def versions(states: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 
 def effective(history: DataFrame, at: DataFrame) -> DataFrame:
-    """Version of each (mmsi, at_ns) that was valid then; rows without one keep nulls."""
-    h, q = history.alias("h"), at.alias("q")
-    on = (F.col("h.mmsi") == F.col("q.mmsi")) & (F.col("h.valid_from") <= F.col("q.at_ns")) & (F.col("h.valid_to").isNull() | (F.col("q.at_ns") < F.col("h.valid_to")))
-    return q.join(h, on, "left").select("q.*", *[F.col(f"h.{c}") for c in history.columns if c not in ("mmsi", *at.columns)])
+    """Version of each (mmsi, at_ns) that was valid then; rows without one keep nulls. Versions of a vessel don't overlap.
+
+    Versions and rows are merged into one ordered stream per vessel, so there is no join on a time range.
+    """
+    shown = [c for c in history.columns if c not in ("mmsi", *at.columns)]
+    known = history.where("mmsi is not null").select("mmsi", F.col("valid_from").alias("at_ns"), F.lit(0).alias("is_row"), F.struct("valid_to", *[c for c in shown if c != "valid_to"]).alias("version"))
+    asked = at.select("mmsi", "at_ns", F.lit(1).alias("is_row"), F.struct(*at.columns).alias("row"))
+    w = Window.partitionBy("mmsi").orderBy("at_ns", "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(known, allowMissingColumns=True).withColumn("version", F.last("version", ignorenulls=True).over(w)).where("is_row = 1")
+    valid = F.col("version.valid_to").isNull() | (F.col("at_ns") < F.col("version.valid_to"))
+    return found.select("row.*", *[F.when(valid, F.col(f"version.{c}")).alias(c) for c in shown])

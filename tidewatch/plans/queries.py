@@ -225,8 +225,8 @@ def metadata_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length that was valid at the start of each vessel's every tenth report."""
-    at = reports(spark, sf_dir).where("event_id % 10 = 0").select("event_id", "mmsi", F.col("ts_ns").alias("at_ns"))
+    """Length and name that were valid at each report."""
+    at = reports(spark, sf_dir).select("event_id", "mmsi", F.col("ts_ns").alias("at_ns"))
     history = metadata.versions(metadata.merged(_updates(spark, sf_dir)))
     return metadata.effective(history, at).select("event_id", "mmsi", "ship_length_m", "vessel_name")
 
