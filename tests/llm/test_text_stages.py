@@ -122,3 +122,27 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in got}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "secret_scans", "packing"]
     assert good[0] in ids and not ids & set(range(10_000, 10_020)) and len(ids & set(good)) > 0.9 * len(good)
+
+
+def _texts(spark, pages):
+    rows = [(k, "https://b.example/x", html) for k, html in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_main.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    return [got[k] for k in range(len(pages))]
+
+
+def test_template_is_dropped_by_its_own_text(spark):
+    copies = [f"<body><article><h1>Same</h1><p>One story.</p></article><script>{k}</script><div class='ad'>Advert {k}</div></body>" for k in range(14)]
+    stubs = [f"<body><article><h1>T {k}</h1><div class='lead'>Coming soon</div><p>Body {k}</p></article></body>" for k in range(8)]
+    others = [f"<body><article><h1>T {k}</h1><div class='lead'>Lead {k}</div><p>Body {k}</p></article></body>" for k in range(8, 12)]
+    got = _texts(spark, [*copies, *stubs, *others])
+    assert got[:14] == ["Same\n\nOne story."] * 14
+    assert got[14:22] == [f"T {k}\n\nBody {k}" for k in range(8)]
+    assert got[22:] == [f"T {k}\n\nLead {k}\n\nBody {k}" for k in range(8, 12)]
+
+
+def test_template_of_any_layout_depth_and_run(spark):
+    layouts = [f"<body><div>Menu {a}</div><div>Text {a} {k}</div><div>Imprint {a}</div>{f'<section class=l{chr(97 + a)}></section>' * 1}<section class=l{chr(97 + a)}>Tail {a}</section></body>" for a in range(12) for k in range(6)]
+    deep = [f"<body>{'<div><section>' * 20}<p>Deep menu</p><p>Deep {k}</p>" for k in range(100)]
+    got = _texts(spark, [*layouts, *deep, "<div>" * 5000 + "bottom"])
+    assert got[:72] == [f"Text {a} {k}" for a in range(12) for k in range(6)]
+    assert got[72:172] == [f"Deep {k}" for k in range(100)] and got[172] == "bottom"
