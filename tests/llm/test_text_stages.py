@@ -146,3 +146,14 @@ def test_template_of_any_layout_depth_and_run(spark):
     got = _texts(spark, [*layouts, *deep, "<div>" * 5000 + "bottom"])
     assert got[:72] == [f"Text {a} {k}" for a in range(12) for k in range(6)]
     assert got[72:172] == [f"Deep {k}" for k in range(100)] and got[172] == "bottom"
+
+
+def test_names_drop_whole_tokens_only(spark):
+    page = "<body><div class='{0}'><article class='{1}'><p>Real {2}</p><section class='comments'><article class='comment'>Nice {2}</article></section></article></div><div class='sidebar'>Box {2}</div><nav class='main-menu'>Menu</nav></body>"
+    kinds = [("post has-sidebar", ""), ("no-comments", ""), ("content-side", ""), ("social-science", ""), ("", "post no-comments"), ("sidebar", "sponsored"), ("widget", "social promo")]
+    got = _texts(spark, [page.format(a, b, k) for k, (a, b) in enumerate(kinds)])
+    assert got == [f"Real {k}" for k in range(len(kinds))]
+    bare = ["<form><main><p>In a form</p></main></form>", "<ul class='main-menu'><li>Menu</li></ul><div class='post-content'><p>Body</p></div>", "<div class='content has-sidebar'><p>Wrapped</p></div>", "<div class='main-links menu-x'>Links</div><p>Plain</p>"]
+    assert _texts(spark, bare) == ["In a form", "Body", "Wrapped", "Links\n\nPlain"]
+    aside = "<article><p>Own</p></article><aside><article>Teaser</article></aside><div class='comments'><article>Other</article></div>"
+    assert _texts(spark, [aside]) == ["Own"]
