@@ -46,3 +46,24 @@ def test_near_duplicates_recall(spark):
     assert len(alone) == 5 and all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in alone)
     assert len(got) == len(data) and [r for r in got if r.vec_id is None][0].component_id is None
     assert vector_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_duplicates_recall_without_clusters(spark):
+    rng = np.random.default_rng(8)
+    n, dim = 1500, 64
+    a, b = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = np.concatenate([np.full(n // 2, 0.9001), np.linspace(0.9001, 0.95, n - n // 2)])[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    links = np.zeros(2 * n, int)
+    for r in vector_dedup.near_duplicates(frame).collect():
+        links[r.vec_id] = r.n_links
+    edge = np.arange(2 * n) % n < n // 2
+    assert (links <= near.sum(1)).all() and near.sum() >= 2 * n
+    assert links.sum() >= 0.97 * near.sum() and links[edge].sum() >= 0.96 * near[edge].sum(), (links.sum() / near.sum(), links[edge].sum() / near[edge].sum())
