@@ -224,3 +224,15 @@ def test_as_of_edges(spark):
     at = spark.createDataFrame([(1, 9), (1, 10), (1, 10), (1, 19), (1, 20), (1, 30), (2, 30), (None, 30), (1, None)], "mmsi int, at_ns bigint")
     got = sorted((tuple(r) for r in metadata.effective(history, at).select("mmsi", "at_ns", "ship_length_m").collect()), key=str)
     assert got == sorted([(1, 9, None), (1, 10, 5), (1, 10, 5), (1, 19, 5), (1, 20, None), (1, 30, 7), (2, 30, None), (None, 30, None), (1, None, None)], key=str)
+
+
+def test_simulated_counts_come_from_the_engine(spark):
+    start = 1_704_067_200 * NS
+    at = [0.01] * 5 + [0.16] * 2 + [0.01] * 5
+    rows = [(1, "A", start + (d * 86_400 + 10 * k) * NS, k, geo.RECEIVER_LAT + y, geo.RECEIVER_LON, 5.0, 10.0, None, 0, None, 1) for d in (0, 1) for k, y in enumerate(at)]
+    data = spark.createDataFrame(rows, "mmsi int, vessel_class string, ts_ns bigint, seq bigint, lat double, lon double, sog double, cog double, heading double, nav_status int, class_b_mode string, message_type int")
+    model = spark.createDataFrame([(0, "A", 1.0)], "band int, vessel_class string, p double")
+    got = calibrate.simulated_counts(calibrate.replayed(data), model, spark.createDataFrame([("A", 1.0)], "vessel_class string, p double"), 2).collect()
+    counts = {(r.seed, r.variant, r.band): (r.expected, r.lost) for r in got}
+    want = {("CM_E1", 0): (16, 0), ("CLASS_ONLY", 0): (18, 0), ("CLASS_ONLY", 3): (4, 0)}
+    assert counts == {(s, *k): n for s in (1, 2) for k, n in want.items()}

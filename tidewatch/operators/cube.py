@@ -123,11 +123,15 @@ def cell_contributions(intervals: DataFrame) -> DataFrame:
     return _counts(flat, "start_ns", place("e0", "n0"), 1).union(_counts(missing_positions(flat), "at_ns", place("pe", "pn"), 0)).union(_durations(grid_pieces(flat), ["col", "row"]))
 
 
+def band_counts(flat: DataFrame) -> DataFrame:
+    """The counts of ``band_contributions``, without the durations; ``flat`` are projected intervals."""
+    seen, lost = within_bands(flat, "start_km"), within_bands(missing_positions(flat), geo.receiver_km("p_lat", "p_lon"))
+    return _counts(seen, "start_ns", [F.col("band")], 1).union(_counts(lost, "at_ns", [F.col("band")], 0))
+
+
 def band_contributions(intervals: DataFrame) -> DataFrame:
     flat = projected(intervals)
-    seen, lost = within_bands(flat, "start_km"), within_bands(missing_positions(flat), geo.receiver_km("p_lat", "p_lon"))
-    counts = _counts(seen, "start_ns", [F.col("band")], 1).union(_counts(lost, "at_ns", [F.col("band")], 0))
-    return counts.union(_durations(ring_pieces(flat), ["band"]))
+    return band_counts(flat).union(_durations(ring_pieces(flat), ["band"]))
 
 
 def outside_count(intervals: DataFrame) -> DataFrame:

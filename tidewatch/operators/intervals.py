@@ -15,12 +15,16 @@ HISTORY_NS, RELEASE_NS, TURN_DEGREES, COG_LEAST_KN = 30 * NS, 20 * NS, 5.0, 2.0
 
 
 def paired(reports: DataFrame) -> DataFrame:
-    """Each report with the one before it of the same vessel and class, and why that interval doesn't count."""
+    """Each report with the one before it of the same vessel and class, and why that interval doesn't count.
+
+    Where there is a column ``boundary``, its rows begin anew after a simulated stretch out of the model.
+    """
     w = Window.partitionBy("mmsi", "vessel_class").orderBy("ts_ns", "seq")
     df = reports.withColumn("km", F.expr(geo.receiver_km("lat", "lon")))
     before = F.lag(F.struct("ts_ns", "lat", "lon", "km")).over(w)
     df = df.withColumn("before", before).withColumn("delta_ns", F.col("ts_ns") - F.col("before.ts_ns"))
-    return df.withColumn("reason", F.expr(rates.exclusion("delta_ns", "before.km", "km", "lat", "lon", "before.lat", "before.lon")))
+    df = df.withColumn("reason", F.expr(rates.exclusion("delta_ns", "before.km", "km", "lat", "lon", "before.lat", "before.lon")))
+    return df.withColumn("reason", F.when(F.col("boundary"), "SIMULATION_OUT_OF_MODEL_BOUNDARY").otherwise(F.col("reason"))) if "boundary" in df.columns else df
 
 
 def with_course(df: DataFrame, scope: tuple[str, ...] = ("mmsi",)) -> DataFrame:

@@ -311,7 +311,7 @@ def reception_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, baseline = _model(spark, sf_dir)
-    summary = calibrate.summarized(calibrate.simulated_losses(_ideal(spark, sf_dir), model, baseline, 5))
+    summary = calibrate.summarized(calibrate.simulated_counts(calibrate.replayed(reports(spark, sf_dir)), model, baseline, 5))
     days = _calibration_days(spark, sf_dir)
     daily = days.groupBy("day", "band", "vessel_class").agg(F.sum("observed").alias("o"), F.sum("missing").alias("m")).withColumn("pct", F.expr(rates.percent("m", "o + m")))
     q = F.percentile("pct", F.array(F.lit(0.025), F.lit(0.975)))
