@@ -61,6 +61,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Groups with more than this part of all rows are joined by broadcast; there can be no more than ``HOT_GROUPS`` of them.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "size_") -> DataFrame:
+    """Inner join of rows with one row per group, whose column ``size`` counts the group's rows in ``rows``; the result lacks it.
+
+    Groups above 1 / ``HOT_GROUPS`` of all rows are fewer than ``HOT_GROUPS``, so they are broadcast and their rows stay
+    where they are; only the rows of the others are shuffled by key. Null keys match nothing, as in any join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT_GROUPS > total)
+    marked = F.broadcast(hot.select(*keys))
+    few = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(marked, keys, "left_anti").join(groups.where(F.col(size) * HOT_GROUPS <= total), keys)
+    return few.unionByName(rest).drop(size)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of each node that occurs in ``edges(a, b)``: (id, component).
 

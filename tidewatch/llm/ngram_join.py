@@ -3,16 +3,20 @@
 Every shingle XORs its hash into one word of a sketch, so the words of two sketches differ in at most |A xor B| places.
 Documents of Jaccard similarity t or more have |A xor B| <= d = (|A| + |B|)(1 - t)/(1 + t). Sizes are dealt into bands of
 ratio 1/t^2; a document goes to its own band and, if a partner could lie there, to the next. A band cuts its sketches
-into a few more words than the d + 1 that pigeonhole asks for. At most d words of a similar pair differ, so if one of the
-two has more than d words that are not empty, one of these is equal in both: such a document leaves its empty words
-out. A document with fewer keeps them all. Documents sharing a word of a band are candidates; before candidates are
-compared on their whole shingle sets, the Hamming distance of 1024-bit parity sketches bounds their difference.
+into ``SPARE`` times the d + 1 words that pigeonhole asks for. At most d words of a similar pair differ, so a document with
+more than d words that are not empty leaves its empty words out; one with fewer keeps them all.
+
+Of the words that it keeps a document needs only d + 1, as long as all choose them in one order: it takes those that the
+fewest documents have. A word that nobody else has is among them and needs no bucket, so a document simply leaves out as
+many of its most frequent shared words as it has words beyond d + 1. Passages that many documents hold thus open no buckets.
+Documents that share a bucket are candidates; before candidates are compared on their whole shingle sets, the Hamming distance of
+parity sketches of two bits or more per shingle bounds their difference.
 
 No group is paired off. In each of ``ROUNDS`` rounds a document is compared with one head of the buckets it shares
-with other components (the first round: their smallest member, then others), and components are contracted. Whatever
-then still lies in different components although it shares a bucket is compared pair by pair. So all pairs of a bucket are linked, bounded away,
-or connected already, and components are exact. Equal buckets are combined within each map task before they are
-shuffled, copies of one set are represented once.
+with other components (the first round: their smallest member, then others), and components are contracted. Of a bucket that
+then still holds different components all members but those of the largest one are compared with those of the others.
+So all pairs of a bucket are linked, bounded away, or connected already, and components are exact. Equal buckets are
+combined within each map task before they are shuffled, copies of one set are represented once.
 
 Defined results: null and wordless texts have no shingles and link with nothing; rows with one doc_id are one node;
 rows with a null doc_id get their size and a null component; each input row gives one row; further columns are ignored.
@@ -25,17 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
 from tidewatch.llm.shingles import mix, shingle_set
 
-#: Signature rows that a map task holds before it combines and emits them; members compared by one task per hub.
-HELD_ROWS, HUB_ROWS, ROUNDS, WORDS = 1_000_000, 2_000, 2, 16
+#: Signature rows that a map task holds before it combines and emits them; members compared by one task per hub;
+#: ids of documents to compare (eight bytes each) that are broadcast, more are joined by shuffle.
+HELD_ROWS, HUB_ROWS, ROUNDS, BROADCAST_IDS = 1_000_000, 2_000, 2, 500_000
+
+#: Words of a band's sketch for each one that pigeonhole asks for.
+SPARE = 1.5
 
-INFO = "doc_id bigint, n bigint, h1 bigint, h2 bigint, w array<bigint>"
-_INFO = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "h1", "h2")] + [("w", pa.list_(pa.int64()))])
+INFO = "doc_id bigint, n bigint, h1 bigint, h2 bigint, spare0 bigint, spare1 bigint, w array<bigint>"
+_INFO = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", "spare0", "spare1")] + [("w", pa.list_(pa.int64()))])
 SIGNED = "key bigint, a bigint, b bigint"
 
 
@@ -58,40 +66,52 @@ class Similarity:
             lows.append(lows[-1] * self.den * self.den // (self.num * self.num) + 1)
         return lows
 
+    def sketches(self, n: int, lows: list[int]) -> Iterator[tuple[int, int, int]]:
+        """Of a set of ``n`` elements for each of its bands: the band, its words, the words that a partner may change."""
+        own = int(np.searchsorted(lows, n, side="right")) - 1
+        largest = n * self.den // self.num
+        for band in (own, own + 1):
+            if band > own and n * self.den < lows[band] * self.num:
+                return
+            most = self.difference(2 * (lows[band + 1] - 1))
+            yield band, int((most + 1) * SPARE) + 1 if most else 1, min(most, self.difference(n + largest))
 
-def parity(hashes: np.ndarray, words: int) -> np.ndarray:
-    """XOR sketch of 64 * words bits: the hash's upper half picks the word, its lowest bits the bit."""
-    word = ((hashes >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
-    at = (word * np.uint64(64) + (hashes & np.uint64(63))).astype(np.int64)
-    flips = np.bincount(at, minlength=64 * words) & 1
-    return np.packbits(flips.astype(np.bool_), bitorder="little").view("<u8")
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """XOR sketch of at least two bits per hash, its size a power of two; the hash's lowest bits pick the bit.
 
-#: Words of a band's sketch for each one that pigeonhole asks for, so that most documents can leave empty ones out.
-SPARE = 1.06
+    A sketch of half the size is got by XORing its halves.
+    """
+    bits = max(256, 1 << (2 * len(hashes) - 1).bit_length())
+    flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.bool_), bitorder="little").view("<u8")
 
 
 def signatures(hashes: np.ndarray, sim: Similarity, lows: list[int]) -> np.ndarray:
-    """Bucket keys of one sorted set: the sketch words for its own band and for the next one if it reaches there."""
-    n = len(hashes)
-    own = int(np.searchsorted(lows, n, side="right")) - 1
+    """Bucket keys of one sorted set: sketch words for its own band and for the next one; the lowest bit is the band's."""
     top, scrambled = hashes >> np.uint64(32), mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
     out = []
-    for band in (own, own + 1):
-        if band > own and n * sim.den < lows[band] * sim.num:
-            break
-        most = sim.difference(2 * (lows[band + 1] - 1))
-        words = int((most + 1) * SPARE) + 1 if most else 1
+    for band, words, most in sim.sketches(len(hashes), lows):
         # the upper half of a hash picks the word, so a sorted set lies in word order
         edge = np.searchsorted(top * np.uint64(words) >> np.uint64(32), np.arange(words + 1, dtype=np.uint64))
         filled = edge[1:] > edge[:-1]
         values = np.zeros(words, np.uint64)
         values[filled] = np.bitwise_xor.reduceat(scrambled, edge[:-1][filled]) + (edge[1:] - edge[:-1])[filled].astype(np.uint64)
         keys = mix(values ^ mix(np.arange(words, dtype=np.uint64) + np.uint64((band + 1) << 32)))
+        keys = keys & ~np.uint64(1) | np.uint64(band & 1)
         out.append(keys[filled] if int(filled.sum()) > most else keys)
     return np.concatenate(out)
 
 
+def spare_words(hashes: np.ndarray, sim: Similarity, lows: list[int]) -> list[int]:
+    """How many of a set's words go beyond what pigeonhole asks for, in its even and in its odd band."""
+    top, out = hashes >> np.uint64(32), [0, 0]
+    for band, words, most in sim.sketches(len(hashes), lows):
+        word = top * np.uint64(words) >> np.uint64(32)
+        out[band & 1] = max(0, 1 + int(np.count_nonzero(word[1:] != word[:-1])) - (most + 1))
+    return out
+
+
 def _digests(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     one, two = mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), mix(hashes + np.uint64(0x14057B7EF767814F))
@@ -99,15 +119,21 @@ def _digests(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(sim: Similarity):
-    """Size, name and parity sketch of every row's set."""
+    """Size, name, spare words and parity sketch of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = sim.bands(1)
         for batch in batches:
             rows: list[tuple] = []
             for lo in range(0, batch.num_rows, 500):
                 for text in batch.column(1).slice(lo, 500).to_pylist():
                     h = shingle_set(text, sim.width)
-                    rows.append((len(h), *_digests(h), parity(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), WORDS).view(np.int64).tolist()) if len(h) else (0, None, None, None))
+                    if not len(h):
+                        rows.append((0, None, None, 0, 0, None))
+                        continue
+                    if lows[-3] <= len(h):
+                        lows = sim.bands(len(h))
+                    rows.append((len(h), *_digests(h), *spare_words(h, sim, lows), parity(mix(h ^ np.uint64(0x2545F4914F6CDD1D))).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_INFO)[1:])]], schema=_INFO)
 
     return run
@@ -217,7 +243,8 @@ def verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> tuple[DataFr
     A hub's partners are dealt over several tasks.
     """
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("w"), "left_semi")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.join(wanted.hint("broadcast" if few else "shuffle_hash"), F.col("doc_id") == F.col("w"), "left_semi")
     sets, at = common.saved_at(texts.mapInArrow(_sets(sim.width), "id bigint, hashes binary"), "shingle-sets")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
     mine = hubs.join(sets, hubs.a == sets.id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "hashes")
@@ -226,27 +253,52 @@ def verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> tuple[DataFr
     return dealt.select("a", "b", "hashes").mapInArrow(_compare(sim), "a bigint, b bigint").distinct(), at
 
 
-def _near(sim: Similarity, x: str, y: str) -> Column:
-    """The bounds that two similar sets meet, cheapest first: sizes, the sketch folded to 256 bits, the whole sketch."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = F.aggregate(F.zip_with(f"{x}.w", f"{y}.w", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    sizes = (a * sim.den >= b * sim.num) & (b * sim.den >= a * sim.num)
-    folded = sum((F.bit_count(F.col(f"{x}.f{k}").bitwiseXOR(F.col(f"{y}.f{k}"))) for k in range(4)), F.lit(0))
-    most = (a + b) * (sim.den - sim.num)
-    return F.when(~sizes | (folded * (sim.den + sim.num) > most), False).otherwise(apart * (sim.den + sim.num) <= most)
+def _sizes_fit(sim: Similarity, a: Column, b: Column) -> Column:
+    return (a * sim.den >= b * sim.num) & (b * sim.den >= a * sim.num)
 
 
-def _folds() -> list[Column]:
-    """The sketch of 1024 bits as one of 256: words four apart are XORed."""
-    return [F.aggregate(F.array(*[F.col("w")[j] for j in range(k, WORDS, 4)]), F.lit(0).cast("bigint"), lambda s, v: s.bitwiseXOR(v)).alias(f"f{k}") for k in range(4)]
+def _near(sim: Similarity) -> Column:
+    """Whether the sketches wx and wy of sets of nx and ny elements allow for similar sets; the larger sketch is folded first."""
 
+    def folded(w: str, other: str) -> Column:
+        half = F.size(other)
+        return F.when(F.size(w) > half, F.zip_with(F.slice(w, F.lit(1), half), F.slice(w, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(w))
 
-def _open_members(buckets: DataFrame, place: DataFrame) -> DataFrame:
-    """(key, rep, n, w, label) of the buckets that hold several components."""
-    one, two = (place.select(F.col("doc_id").alias(d), F.col("label").alias(m)) for d, m in (("da", "la"), ("db", "lb")))
-    keys = buckets.join(one, buckets.a == F.col("da")).join(two, buckets.b == F.col("db")).where("la <> lb").select("key").distinct()
-    ids = buckets.select("key", F.col("a").alias("doc_id")).union(buckets.select("key", "b")).join(keys, "key", "left_semi")
-    return ids.join(place.select("doc_id", "rep", "label"), "doc_id").select("key", "rep", "label").distinct()
+    apart = F.aggregate(F.zip_with(folded("wx", "wy"), folded("wy", "wx"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    a, b = F.col("nx"), F.col("ny")
+    return F.when(_sizes_fit(sim, a, b), apart * (sim.den + sim.num) <= (a + b) * (sim.den - sim.num)).otherwise(False)
+
+
+def _postings(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, rep, n): the buckets without each set's spare words, the most frequent ones; only buckets that still have two members."""
+    ids = buckets.select("key", F.col("a").alias("doc_id")).union(buckets.select("key", F.col("b").alias("doc_id"))).distinct()
+    members = common.saved(ids.join(classes, "doc_id").select("key", "rep").distinct(), "bucket-members")
+    sizes = common.saved(members.groupBy("key").agg(F.count("*").alias("size_"), F.count("*").alias("many")).where("many > 1"), "bucket-sizes")
+    spare = sets.groupBy("rep").agg(F.min("n").alias("n"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    band = F.pmod(F.col("key"), F.lit(2))
+    place = F.row_number().over(Window.partitionBy("rep", "band").orderBy(F.desc("many"), "key"))
+    ranked = common.join_groups(members, sizes, ["key"]).join(spare, "rep").withColumn("band", band).withColumn("place", place)
+    left = common.saved(ranked.where(F.col("place") > F.when(F.col("band") == 0, F.col("spare0")).otherwise(F.col("spare1"))).select("key", "rep", "n"), "needed-words")
+    again = common.saved(left.groupBy("key").agg(F.count("*").alias("size_")).where("size_ > 1"), "needed-sizes")
+    return common.join_groups(left, again, ["key"])
+
+
+def _head_pairs(named: DataFrame, sim: Similarity, turn: int) -> DataFrame:
+    """Each set with one head of the buckets that it shares with other components."""
+    order = F.struct((F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "label", "n").alias("head")
+    groups = named.groupBy("key").agg(F.count("*").alias("size_"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("head")).where("low < high")
+    tried = common.join_groups(named, common.saved(groups, "bucket-heads"), ["key"]).where((F.col("label") != F.col("head.label")) & _sizes_fit(sim, F.col("n"), F.col("head.n")))
+    return tried.groupBy("rep").agg(F.min("head").alias("head")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+
+
+def _open_pairs(named: DataFrame, sim: Similarity) -> DataFrame:
+    """All pairs of one bucket and different components."""
+    parts = named.groupBy("key", "label").count()
+    groups = parts.groupBy("key").agg(F.sum("count").alias("size_"), F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    members = common.saved(common.join_groups(named, common.saved(groups.drop("labels"), "open-buckets"), ["key"]), "open-members")
+    x, y = members.where("label <> major").alias("x"), members.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(sim, F.col("x.n"), F.col("y.n"))
+    return x.join(y, apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:  # noqa: B008
@@ -255,48 +307,38 @@ def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> Da
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = common.saved(docs.mapInArrow(_describe(sim), INFO), "parity-sketches")
     some = info.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = common.saved(some.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "set-classes")
-    sets = some.select("doc_id", "n", "w").join(classes.where("doc_id = rep").distinct(), "doc_id")
-    sets = common.saved(sets.select("rep", "n", "w", *_folds()), "set-sketches")
-    buckets = common.saved(docs.mapInArrow(_sign(sim), SIGNED).repartition("key").mapInArrow(_meet, SIGNED), "buckets")
+    reps = common.saved(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size_")), "set-names")
+    classes = common.saved(common.join_groups(some.select("doc_id", "h1", "h2"), reps, ["h1", "h2"]).select("doc_id", "rep"), "set-classes")
+    sets = some.select("doc_id", "n", "spare0", "spare1", "w").join(classes.where("doc_id = rep").distinct(), "doc_id")
+    sets = common.saved(sets.drop("doc_id"), "set-sketches")
+    buckets, buckets_at = common.saved_at(docs.mapInArrow(_sign(sim), SIGNED).repartition("key").mapInArrow(_meet, SIGNED), "buckets")
+    common.release(spark)
+    postings = common.saved(_postings(buckets, classes, sets), "postings")
+    common.remove(spark, buckets_at)
     common.release(spark)
 
     shared = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     edges = common.saved(classes.join(shared, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")), "same-ids")
-    place = classes.withColumn("label", F.col("rep"))
-    part = None
+    part = common.connected_components(edges)
     for turn in range(ROUNDS + 1):
-        members, members_at = common.saved_at(_open_members(buckets, place), "open-buckets")
-        full_at = None
-        if turn < ROUNDS:  # one head per bucket, one partner per document
-            order = F.struct((F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep")
-            heads = members.groupBy("key").agg(F.min(order).alias("h"))
-            tried = members.join(heads, "key").join(place.where("doc_id = rep").select(F.col("rep").alias("hr"), F.col("label").alias("hl")).distinct(), F.col("h.rep") == F.col("hr"))
-            chosen = tried.where("label <> hl").groupBy("rep").agg(F.min("h").alias("h")).select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
-            x, y = (sets.withColumnRenamed("rep", f"{k}r").alias(k) for k in "xy")
-            pairs = chosen.join(x, F.col("a") == F.col("xr")).join(y, F.col("b") == F.col("yr")).where(_near(sim, "x", "y")).select("a", "b")
-        else:
-            full, full_at = common.saved_at(members.join(sets, "rep"), "open-sets")
-            x, y = full.alias("x"), full.alias("y")
-            apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-            pairs = x.join(y, apart & _near(sim, "x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        named = postings.join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        named, named_at = common.saved_at(named, "named-postings")
+        pairs = _head_pairs(named, sim, turn) if turn < ROUNDS else _open_pairs(named, sim)
+        x, y = (sets.select(F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}")) for k in "xy")
+        pairs = pairs.join(x, F.col("a") == F.col("rx")).join(y, F.col("b") == F.col("ry")).where(_near(sim)).select("a", "b").distinct()
         pairs = common.saved(pairs, "pairs")
-        for spent in filter(None, (members_at, full_at)):
-            common.remove(spark, spent)
-        members = heads = tried = chosen = full = x = y = None
+        common.remove(spark, named_at)
         common.release(spark)
-        if turn and not pairs.limit(1).count():
-            continue  # the first turn also joins what shares a doc_id
+        if not pairs.limit(1).count():
+            continue
         links, sets_at = verified(docs, pairs, sim)
         edges = common.saved(edges.union(links), "links")
         common.remove(spark, sets_at)
         del links
         common.release(spark)
         part = common.connected_components(edges)
-        place = common.saved(classes.join(part, F.col("rep") == F.col("id"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("label")), "labels")
-        common.release(spark)
 
+    place = classes.join(part, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("label"))
     whole = place.groupBy("doc_id").agg(F.min("label").alias("component_id"))
     out = info.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
