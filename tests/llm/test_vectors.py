@@ -31,6 +31,16 @@ def test_neighbours_equal_brute_force(spark):
     assert {r.vec_id for r in vector_search.nearest(spark.createDataFrame(data[:3], SCHEMA)).collect()} == {1, 2}
 
 
+def test_windows_alone_find_neighbours_of_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.normal(size=(60, 64)), 40, axis=0) + rng.normal(size=(2400, 64)) * 0.15).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    hits = {(r.query_id, r.vec_id) for r in vector_search.nearest(frame, complete=False).collect()}
+    s = x.astype(np.float64) @ x[::20].astype(np.float64).T
+    true = {(20 * q, int(k)) for q in range(120) for k in [k for k in np.argsort(-s[:, q], kind="stable") if k != 20 * q][:20]}
+    assert len(hits) == len(true) == 2400 and len(hits & true) >= 0.9 * len(true)
+
+
 def test_near_duplicates_recall(spark):
     data, x = rows()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)

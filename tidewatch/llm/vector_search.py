@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product over shifted space-filling curves.
 
-Vectors are projected to ``AXES`` random orthonormal directions, squashed to a grid, shifted differently for each of
-``CURVES`` Hilbert curves and range-partitioned in curve order by Spark. Along a curve every chunk's queries are compared
-with their own chunk and both neighbours; the windows of all curves are merged, which gives each query a lower bound for
-the score of its k-th neighbour.
+For each of ``CURVES`` Hilbert curves vectors are projected to ``AXES`` random orthonormal directions of its own, squashed to
+a grid, shifted and range-partitioned in curve order by Spark. Along a curve every chunk's queries are compared with
+their own chunk and both neighbours; the windows of all curves are merged and reranked, which is the result.
 
-What the windows miss is completed exactly: the chunks of the first curve are the blocks of an index, each with its
-centroid and radius. Blocks of queries meet the blocks whose bound c.c' + |c| r' + |c'| r + r r' reaches the lowest such
-score, and every vector that reaches its query's score is reranked. So recall is 1 for any data; clustered data prune.
+Its recall is measured: ``PROBES`` queries are compared with every row. Where the windows find less than ``ENOUGH`` of
+their neighbours, as with vectors that have no clusters, or if ``complete`` is set, the windows' results are completed: the
+chunks of the first curve are the blocks of an index, each with its centroid and radius. Blocks of queries meet the blocks
+whose bound c.c' + |c| r' + |c'| r + r r' reaches the lowest k-th score of the windows, and what reaches its query's own is merged
+with what the windows found. Recall is 1 then; the work is that of the query set against all rows where nothing can be pruned.
 
 Defined results: rows that take no part (see ``vectors``) are neither queries nor candidates; rows with one vec_id count
 once; a query with fewer candidates gets all of them; without queries or vectors there are no rows; further columns are ignored.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common
 from tidewatch.llm.vectors import dimension, matrix, taking_part
 
-CURVES, AXES, BITS, CHUNK, GROUP = 3, 6, 8, 256, 16
+CURVES, AXES, BITS, CHUNK, GROUP = 4, 6, 8, 256, 16
+PROBES, ENOUGH = 64, 0.97
 #: How far two summation orders may differ; scores that close to a bound are looked at again.
 SLACK = 1e-9
 
@@ -56,22 +58,28 @@ def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _projection(dim: int, axes: int) -> np.ndarray:
-    """``axes`` orthonormal directions that depend on the dimension alone."""
+def _projection(dim: int, axes: int, curve: int) -> np.ndarray:
+    """``axes`` orthonormal directions of a curve; other curves have others as far as the dimension allows."""
     q, _ = np.linalg.qr(np.random.Generator(np.random.PCG64(dim)).normal(size=(dim, dim)))
-    return q[:, : min(axes, dim)]
+    return q[:, (curve * axes + np.arange(min(axes, dim))) % dim]
+
+
+def _score(m: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in one summation order for all, so that copies tie exactly."""
+    return (m * query).sum(axis=1)
 
 
 def _keys(dim: int, scale: float, every: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        way = _projection(dim, AXES)
+        ways = [_projection(dim, AXES, c) for c in range(CURVES)]
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 ids = part.column(0).to_numpy()
-                at = 1 / (1 + np.exp(np.clip(-1.7 * (matrix(part.column(1).to_pylist(), dim) @ way) / scale, -50, 50)))
+                m = matrix(part.column(1).to_pylist(), dim)
                 asks = ids % every == 0 if every else np.zeros(len(ids), np.bool_)
-                for curve in range(CURVES):
+                for curve, way in enumerate(ways):
+                    at = 1 / (1 + np.exp(np.clip(-1.7 * (m @ way) / scale, -50, 50)))
                     grid = np.minimum((at + curve / CURVES) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), curve, np.int32)), pa.array(hilbert(grid, BITS)), part.column(0), part.column(1), pa.array(asks)], names=["curve", "key", "vec_id", "v", "asks"])
 
@@ -122,12 +130,15 @@ def _windows(dim: int, k: int):
             near = [c for c in (before, here, after) if c is not None and c[0] == curve]
             all_ids, all_m = np.concatenate([c[1] for c in near]), np.concatenate([c[2] for c in near])
             q, v, s = [], [], []
-            for query, scores in zip(ids[asks], m[asks] @ all_m.T, strict=True):
-                other = all_ids != query
-                top = _best(all_ids[other], scores[other], k)
+            for query, vector, scores in zip(ids[asks], m[asks], m[asks] @ all_m.T, strict=True):
+                # a few more than k, since the exact scores may order equals otherwise
+                some = _best(all_ids, np.where(all_ids == query, -np.inf, scores), k + 8)
+                some = some[all_ids[some] != query]
+                exact = _score(all_m[some], vector)
+                top = _best(all_ids[some], exact, k)
                 q += [query] * len(top)
-                v += all_ids[other][top].tolist()
-                s += scores[other][top].tolist()
+                v += all_ids[some][top].tolist()
+                s += exact[top].tolist()
             n = len(q)
             return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(schema)[:6]] + [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], schema=schema)
 
@@ -187,8 +198,7 @@ def _complete(dim: int, k: int):
                 reach = qm @ dm.T >= (bounds - SLACK)[:, None]
                 for k_query in np.flatnonzero(reach.any(axis=1)):
                     some = np.flatnonzero(reach[k_query] & (ids != qids[k_query]))
-                    # one summation order for all, so that copies tie exactly
-                    scores = (dm[some] * qm[k_query]).sum(axis=1)
+                    scores = _score(dm[some], qm[k_query])
                     top = _best(ids[some], scores, k)
                     out[0].extend([int(qids[k_query])] * len(top))
                     out[1].extend(ids[some][top].tolist())
@@ -202,8 +212,44 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by ``every``."""
+def _probe(ids: list[int], m: np.ndarray, k: int):
+    """The k nearest of each probe among a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+        for batch in batches:
+            rows, v = batch.column(0).to_numpy(), matrix(batch.column(1).to_pylist(), m.shape[1])
+            for j, scores in enumerate(m @ v.T):
+                own = rows != ids[j]
+                all_ids, all_scores = np.concatenate((best[j][0], rows[own])), np.concatenate((best[j][1], scores[own]))
+                top = _best(all_ids, all_scores, k)
+                best[j] = all_ids[top], all_scores[top]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b[0]) for b in best]), pa.int64()), pa.array(np.concatenate([b[0] for b in best]), pa.int64()), pa.array(np.concatenate([b[1] for b in best]), pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def window_recall(clean: DataFrame, found: DataFrame, dim: int, k: int, every: int) -> float:
+    """Share of the true k nearest of ``PROBES`` queries, those with the smallest hash, that ``found`` holds; 1 without queries."""
+    probes = clean.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).collect()
+    if not probes:
+        return 1.0
+    ids, m = [r["vec_id"] for r in probes], matrix([bytes(r["v"]) for r in probes], dim)
+    true = _ranked(clean.mapInArrow(_probe(ids, m, k), "query_id bigint, vec_id bigint, score double"), k).select("query_id", F.col("vec_id").alias("near"))
+    counts = true.join(found.select("query_id", F.col("vec_id").alias("near"), F.lit(1).alias("hit")), ["query_id", "near"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+    return counts["hits"] / counts["n"] if counts["n"] else 1.0
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, complete: bool | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by ``every``.
+
+    ``complete`` says whether to complete what the windows miss; None leaves it to the measured recall.
+    """
     spark = vectors.sparkSession
     dim = dimension(vectors, "embedding")
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -215,11 +261,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     keyed = clean.mapInArrow(_keys(dim, float(scale), every), "curve int, key bigint, vec_id bigint, v binary, asks boolean")
     ordered = keyed.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
     windows = common.saved(ordered.mapInArrow(_windows(dim, k), _WINDOW), "curve-windows")
-    near = windows.where("query_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    kth = near.withColumn("r", rank).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    merged = common.saved(_ranked(windows.where("query_id is not null").select("query_id", "vec_id", "score").distinct(), k), "merged-windows")
+    found = merged.select("query_id", "vec_id", "score")
+    if complete or complete is None and window_recall(clean, found, dim, k, every) < ENOUGH:
+        more = _completed(clean, windows, merged, dim, float(scale), k, every)
+        return _ranked(found.union(more).distinct(), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _completed(clean: DataFrame, windows: DataFrame, merged: DataFrame, dim: int, scale: float, k: int, every: int) -> DataFrame:
+    """(query_id, vec_id, score) of all that reaches the k-th score of the windows, by blocks."""
+    kth = merged.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     queries = clean.where(F.col("vec_id") % every == 0).join(kth, F.col("vec_id") == F.col("id"), "left").select("vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    with_key = queries.mapInArrow(_query_keys(dim, float(scale)), "vec_id bigint, v binary, bound double, key bigint")
+    with_key = queries.mapInArrow(_query_keys(dim, scale), "vec_id bigint, v binary, bound double, key bigint")
     asked = with_key.repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").select("vec_id", "v", "bound")
     q_schema = "q bigint, qids binary, qm binary, bounds binary, lowest double, q_center array<double>, q_radius double"
     q_blocks = common.saved(asked.mapInArrow(_query_blocks(dim), q_schema), "query-blocks")
@@ -229,8 +283,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     q_blocks = q_blocks.withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
     reach = _dot("center", "q_center") + F.sqrt(_dot("center", "center")) * F.col("q_radius") + F.sqrt(_dot("q_center", "q_center")) * F.col("radius") + F.col("radius") * F.col("q_radius")
     met = q_blocks.join(d_blocks.hint("shuffle_hash"), (F.col("cell") == F.col("to")) & (reach >= F.col("lowest") - SLACK))
-    found = met.select("qids", "qm", "bounds", "ids", "m").mapInArrow(_complete(dim, k), "query_id bigint, vec_id bigint, score double")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return met.select("qids", "qm", "bounds", "ids", "m").mapInArrow(_complete(dim, k), "query_id bigint, vec_id bigint, score double")
 
 
 def _query_keys(dim: int, scale: float):
