@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewatch.llm import common, packing, token_store, trie_bpe
+from tidewatch.llm import common, packing, token_store, tokenization, trie_bpe
 from tests.llm import tables
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -119,3 +119,16 @@ def test_cuts_are_optimal(seed):
     at = [0, *[c for c in cuts if c]]
     assert at[-1] == len(pos) - 1
     assert sum(waste(pos[b] - pos[a]) + penalty[b] for a, b in zip(at, at[1:])) == best[-1]
+
+
+@pytest.mark.parametrize(("make", "path"), [(tokenization.Encoder, BYTE), (tokenization.Encoder, WORD), (trie_bpe.TrieEncoder, WORD)])
+def test_encoders_equal_library_on_every_code_point(make, path):
+    rng = tables.random.Random(4)
+    marks = [c for c in range(0x300, 0x2000) if tokenization.re.match(r"[^\W\d_]|\w", chr(c)) is None]
+    texts = [" ".join(f"A{chr(c)}b7 {chr(c)}'s" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000) for lo in [*range(0, 0x20000, 64), *range(0x20000, 0x110000, 4096)]]
+    texts += ["".join("aΣσ" + "".join(chr(rng.choice(marks)) for _ in range(3)) + rng.choice([" ", "\n", "  ", "\u00a0", "\u2003 ", "\x1c", "\x85"]) for _ in range(40)) for _ in range(300)]
+    texts += ["<|endoftext|> x<|endoftext|>'s <|startoftext|>é", " lead", "trail ", " ", "\n\n x\n", "a\nb c\n", "I'M Σ'RE x'\u212a"]
+    want = [packed(e.ids) for e in library(path).encode_batch(texts, add_special_tokens=False)]
+    encoder = make(path)
+    assert encoder.encode(texts) == want
+    assert encoder.encode(texts[-300:]) == want[-300:] and encoder.encode([]) == [] and encoder.encode([None]) == [b""]

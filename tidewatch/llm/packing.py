@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
-from tidewatch.llm.tokenization import Encoder, encoder
+from tidewatch.llm.tokenization import encoder
 
 SIZE, SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP, POWER_MIN, STRETCH = 4096, 8, 48, 256, 512, 1 << 19
 
@@ -38,26 +38,31 @@ PIECES_WITH_IDS = PIECES + ", ids array<int>"
 def best_cuts(pos: list[int], penalty: list[int], size: int, power_min: int = POWER_MIN) -> list[int]:
     """Indices into ``pos`` of the cheapest cuts. pos[0] is the start, the last entry the end; gaps are at most ``size``."""
     cost, back = [0] * len(pos), [0] * len(pos)
-    queue: deque[tuple[int, int]] = deque([(pos[0], 0)])
-    powers = [1 << k for k in range(power_min.bit_length() - 1, size.bit_length()) if 1 << k >= power_min and 1 << k < size]
-    at = {pos[0]: 0}
+    places = np.asarray(pos)
+    exact: dict[int, list[int]] = {}  # of a cut, those from which a window is a power of two long
+    for w in (1 << k for k in range(size.bit_length()) if power_min <= 1 << k < size):
+        k = np.minimum(np.searchsorted(places, places - w), len(pos) - 1)
+        for j in np.flatnonzero(places[k] == places - w).tolist():
+            exact.setdefault(j, []).append(int(k[j]))
+    keys, at, head = [pos[0]], [0], 0  # the monotone queue: ascending keys and their cuts, from ``head`` on
     for j in range(1, len(pos)):
         x = pos[j]
         low = x - size
-        while pos[queue[0][1]] < low:
-            queue.popleft()
-        best, i = queue[0]
-        best += size - x
-        for w in powers:
-            k = at.get(x - w)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
+        while pos[at[head]] < low:
+            head += 1
+        best, i = keys[head] + size - x, at[head]
+        if j in exact:
+            for k in exact[j]:
+                if cost[k] < best:
+                    best, i = cost[k], k
         best += penalty[j]
-        cost[j], back[j], at[x] = best, i, j
+        cost[j], back[j] = best, i
         key = best + x
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            at.pop()
+        keys.append(key)
+        at.append(j)
     cuts, j = [len(pos) - 1], len(pos) - 1
     while j:
         j = back[j]
@@ -81,11 +86,10 @@ def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndar
     return pos.tolist(), cost.tolist()
 
 
+@lru_cache(maxsize=4)
 def sentence_end_ids(path: str) -> np.ndarray:
     """For each id whether its token closes a sentence."""
-    enc = encoder(path)
-    tok = enc.tok if isinstance(enc, Encoder) else Encoder(path).tok
-    vocab = tok.get_vocab(with_added_tokens=True)
+    vocab = encoder(path).tok.get_vocab(with_added_tokens=True)
     out = np.zeros(max(vocab.values(), default=0) + 1, np.bool_)
     for t, i in vocab.items():
         out[i] = t.removesuffix("</w>")[-1:] in (".", "!", "?", "。")
@@ -140,8 +144,8 @@ def _pack(path: str, end_id: int, size: int, with_ids: bool):
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for lo in range(0, len(docs), 500):
-                for doc, data in zip(docs[lo : lo + 500], enc.encode(batch.column(1).slice(lo, 500).to_pylist()), strict=True):
+            for lo in range(0, len(docs), 2000):
+                for doc, data in zip(docs[lo : lo + 2000], enc.encode(batch.column(1).slice(lo, 2000)), strict=True):
                     n = len(data) // 4 + 1
                     held.append((doc, data + end, 0, n))
                     n_held += n

@@ -152,9 +152,8 @@ def _blocks(path: str, end_id: int):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 500):
-                texts = batch.column(1).slice(lo, 500).to_pylist()
-                for doc, data in zip(ids[lo : lo + 500], enc.encode(texts), strict=True):
+            for lo in range(0, len(ids), 2000):
+                for doc, data in zip(ids[lo : lo + 2000], enc.encode(batch.column(1).slice(lo, 2000)), strict=True):
                     n = len(data) // 4 + 1
                     if parts and held + n > BLOCK_TOKENS:
                         yield flush()

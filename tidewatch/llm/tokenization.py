@@ -1,71 +1,38 @@
 """Exact, cached use of the ``tokenizers`` library inside Spark tasks.
 
-A tokenizer file of the two families used here (byte-level, and lower-cased words) cuts a text into pieces that
-are encoded one by one. Space-delimited chunks of the text are looked up in a dictionary that lives as long as the
-Python worker; an unseen chunk is cut into pieces, and only unseen pieces are handed to the library. Texts in which
-white space could bind chunks together are cut as a whole. A file of any other family is encoded text by text.
+Arrow cuts the texts of a batch into chunks at white space at which neither of the two families of tokenizer files used here
+(byte-level, and lower-cased words) lets anything reach across, and numbers the distinct ones. Only these are looked up in a
+dictionary that lives as long as the Python worker; what it lacks goes to the library, many chunks at once. Ids of
+whole texts are then gathered by Arrow. Normalisation, and the cutting of everything but ASCII into pieces, is the library's
+own, so that Unicode tables can't differ. A file of any other family is encoded text by text.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import sys
-import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 from struct import pack
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
-#: Unicode White_Space, a fixed value of the standard.
-WHITE = "\t-\r \x85\xa0  -     　"
+#: Entries a worker keeps of chunks and of pieces before it starts afresh; characters of a batch that are cut at once.
+CHUNK_ENTRIES, PIECE_ENTRIES, BATCH_BYTES = 500_000, 500_000, 16 << 20
 
-#: Entries a worker keeps of space-delimited chunks and of pieces before it starts afresh; bounds its memory.
-CHUNK_ENTRIES, PIECE_ENTRIES = 600_000, 400_000
-
-
-@lru_cache(maxsize=2)
-def char_class(major: str) -> str:
-    """Ranges of all code points whose general category starts with ``major``, for use inside [...]."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == major
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-def byte_level_pattern() -> re.Pattern:
-    """The published byte-level split pattern, for Python's ``re``."""
-    letter, number = char_class("L"), char_class("N")
-    return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-
-
-def word_pattern() -> re.Pattern:
-    letter, number = char_class("L"), char_class("N")
-    return re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{WHITE}{letter}{number}]+")
-
-
-#: The split pattern of the lower-cased word family, a fixed value of its tokenizer files.
+#: The split pattern of the lower-cased word family, a fixed value of its tokenizer files, and what it comes to in ASCII.
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-
-
-def lower_nfc(text: str) -> str:
-    """NFC, then lower case code point by code point (no final sigma)."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower()
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
 
 def family(spec: dict) -> str:
     """'byte', 'word' or 'other'."""
-    if any(t.get("normalized") or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"]):
+    if any(t.get("normalized") or t.get("single_word") or t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
         return "other"
     pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
     if model.get("type") != "BPE" or model.get("dropout"):
@@ -79,35 +46,8 @@ def family(spec: dict) -> str:
     return "other"
 
 
-class Splitter:
-    """Cuts a text into pieces that the tokenizer encodes independently; special tokens come out as such."""
-
-    def __init__(self, spec: dict):
-        self.family = family(spec)
-        self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
-        self._find = {"byte": byte_level_pattern, "word": word_pattern}.get(self.family, lambda: None)()
-        self.findall = self._find.findall if self._find else None
-
-    def has_special(self, text: str) -> bool:
-        return self._cut is not None and self._cut.search(text) is not None
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.has_special(text):
-            return self.findall(lower_nfc(text) if self.family == "word" else text)
-        out = []
-        for k, part in enumerate(self._cut.split(text)):
-            if k % 2:
-                out.append(part)
-            elif part:
-                out += self.findall(lower_nfc(part) if self.family == "word" else part)
-        return out
-
-
-#: White space next to white space, or separators that Python's split() takes for white space and the standard doesn't.
-_BINDING = re.compile(f"[{WHITE}][{WHITE}]|[\x1c-\x1f]")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White space next to white space: only there does a byte-level piece reach across a space.
+_BINDING = re.compile(r"\s\s")
 
 
 class Encoder:
@@ -116,119 +56,176 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.split = Splitter(spec)
-        self.tok = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)
+        self.family = family(spec)
+        self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.tok, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for t in (self.tok, self.words):
             t.no_truncation()
             t.no_padding()
-        if self.split.family == "word":  # a piece is normalised already and holds no white space
+        if self.family == "word":  # a piece is normalised already and holds no white space
             self.words.normalizer = normalizers.Sequence([])
             self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.splitter = pre_tokenizers.Split(Regex(WORD_SPLIT), "removed", invert=True)
             suffix = spec["model"].get("end_of_word_suffix") or ""
             self.closes = np.array([bool(suffix) and (self.words.id_to_token(i) or "").endswith(suffix) for i in range(self.words.get_vocab_size())])
+        elif self.family == "byte":
+            self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
         self.known_pieces: dict[str, bytes] = {}
         self.known_chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(e.ids)}I", *e.ids) for k in range(0, len(texts), 2_000) for e in self.tok.encode_batch(texts[k : k + 2_000], add_special_tokens=False)]
+
+    # words
+
+    def _pieces(self, chunks: list[str]) -> list[list[str]]:
+        """The pieces of each chunk; special tokens come out as such."""
+        if self._cut is not None and any(map(self._cut.search, chunks)):
+            out = []
+            for chunk in chunks:
+                parts = self._cut.split(chunk)
+                plain = iter(self._plain_pieces(parts[::2]))
+                out.append([p for k, part in enumerate(parts) for p in ([part] if k % 2 else next(plain))])
+            return out
+        return self._plain_pieces(chunks)
+
+    def _plain_pieces(self, chunks: list[str]) -> list[list[str]]:
+        odd = [k for k, c in enumerate(chunks) if not c.isascii()]
+        find = ASCII_WORD.findall
+        out = [[c] if c.isalpha() else find(c) for c in map(str.lower, chunks)]  # those of the odd ones are replaced
+        for lo in range(0, len(odd), 5_000):
+            some = odd[lo : lo + 5_000]
+            lines = self.tok.normalizer.normalize_str(" ".join(chunks[k] for k in some)).split(" ")
+            if len(lines) != len(some):  # some chunk holds white space other than ASCII's
+                lines = [self.tok.normalizer.normalize_str(chunks[k]) for k in some]
+            starts, at = [], 0
+            for k, line in zip(some, lines, strict=True):
+                starts.append(at)
+                at += len(line) + 1
+                out[k] = []
+            for piece, (a, _) in self.splitter.pre_tokenize_str(" ".join(lines)):
+                out[some[bisect_right(starts, a) - 1]].append(piece)
+        return out
 
-    def _learn_pieces(self, pieces) -> None:
+    def _learn_pieces(self, pieces: Iterable[str]) -> None:
         """Encode those that aren't known yet."""
         known = self.known_pieces
         if len(known) > PIECE_ENTRIES:
             known.clear()
         if not known:
-            known.update((s, pack("<I", i)) for s, i in self.split.special.items())
-        unseen = list(set(pieces).difference(known))
-        joined, single = ([], unseen) if self.split.family != "word" else (unseen, [])
-        for lo in range(0, len(joined), 5_000):  # many pieces as one text cost less than many texts
-            part = joined[lo : lo + 5_000]
-            e = self.words.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
+            known.update((s, pack("<I", i)) for s, i in self.special.items())
+        unseen, single = list(set(pieces).difference(known)), []
+        for lo in range(0, len(unseen), 5_000):  # many pieces as one text cost less than many texts
+            part = unseen[lo : lo + 5_000]
+            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             at = np.flatnonzero(self.closes[ids]) + 1
             if len(at) != len(part):
                 single += part
                 continue
             data, ends = ids.tobytes(), (at * 4).tolist()
             known.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
-        for lo in range(0, len(single), 20_000):
-            part = single[lo : lo + 20_000]
-            for w, e in zip(part, self.words.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = pack(f"<{len(ids)}I", *ids)
+        for w, e in zip(single, self.words.encode_batch(single, add_special_tokens=False), strict=True):
+            known[w] = pack(f"<{len(e.ids)}I", *e.ids)
 
-    def _encode_cut(self, cut: list[list[str]]) -> list[bytes]:
+    def _word_chunks(self, chunks: list[str]) -> list[bytes]:
+        cut = self._pieces(chunks)
         self._learn_pieces(chain.from_iterable(cut))
         get = self.known_pieces.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        return [get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for pieces in cut]
+
+    # bytes
+
+    def _byte_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk behind a space. A line feed between them is a piece of its own, so it parts their ids."""
+        out: list[bytes | None] = [None] * len(chunks)
+        whole = [k for k, c in enumerate(chunks) if c and len(c.split()) == 1 and not c[0].isspace() and not c[-1].isspace()] if len(self.feed) == 1 else []
+        for lo in range(0, len(whole), 5_000):
+            some = whole[lo : lo + 5_000]
+            ids = np.array(self.tok.encode("\n".join(" " + chunks[k] for k in some), add_special_tokens=False).ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.feed[0])
+            if len(at) != len(some) - 1:
+                continue
+            data = ids.tobytes()
+            for k, a, b in zip(some, [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(data)], strict=True):
+                out[k] = data[a:b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._alone([" " + chunks[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
 
     def _look_up(self, chunks: list[str]) -> list[bytes]:
-        known, lead = self.known_chunks, "" if self.split.family == "word" else " "
+        known, older = self.known_chunks, self.older_chunks
         found = list(map(known.get, chunks))
         if None in found:
             lacking = [k for k, v in enumerate(found) if v is None]
-            unseen = list({chunks[k] for k in lacking})
-            findall = self.split.findall
-            # no chunk holds a line feed, and neither NFC nor a piece reaches across one
-            cut = lower_nfc("\n".join(unseen)).split("\n") if self.split.family == "word" else [lead + c for c in unseen]
-            fresh = dict(zip(unseen, self._encode_cut([[c] if c.isalpha() and c.isascii() else findall(c) for c in cut]), strict=True))
-            for k in lacking:
-                found[k] = fresh[chunks[k]]
-            if len(known) > CHUNK_ENTRIES:
-                known.clear()
-            known.update(fresh)
+            unseen = [chunks[k] for k in lacking]
+            fresh = list(map(older.get, unseen))
+            if None in fresh:
+                new = [k for k, v in enumerate(fresh) if v is None]
+                texts = [unseen[k] for k in new]
+                for k, v in zip(new, self._word_chunks(texts) if self.family == "word" else self._byte_chunks(texts), strict=True):
+                    fresh[k] = v
+            if len(known) > CHUNK_ENTRIES:  # what isn't met again until this happens once more is forgotten
+                self.older_chunks, self.known_chunks = known, {}
+            self.known_chunks.update(zip(unseen, fresh, strict=True))
+            for k, v in zip(lacking, fresh, strict=True):
+                found[k] = v
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        heads: list[bytes] = []
+        bound: dict[int, bytes] = {}
+        if self.family == "word":
+            lists = pc.ascii_split_whitespace(texts)
+        else:
+            plain = texts.to_pylist()
+            whole = [k for k, t in enumerate(plain) if _BINDING.search(t)]
+            bound = dict(zip(whole, self._alone([plain[k] for k in whole]), strict=True))
+            if whole:
+                for k in whole:
+                    plain[k] = ""
+                texts = pa.array(plain, pa.large_string())
+            lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        named = lists.flatten().dictionary_encode()
+        of, chunks = named.indices.to_numpy(), named.dictionary.to_pylist()
+        if self.family == "byte":  # a text's first chunk has no space before it
+            starts = offsets[:-1]
+            heads = self._alone([chunks[k] for k in of[starts].tolist()])
+            of = of.astype(np.int64)
+            of[starts] = len(chunks) + np.arange(len(heads))
+        found = [*self._look_up(chunks), *heads]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        data = ids.take(pa.array(of)).flatten().to_numpy().tobytes()
+        upto = np.zeros(len(of) + 1, np.int64)
+        np.cumsum(sizes[of], out=upto[1:])
+        at = (upto[offsets] * 4).tolist()
+        out = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for k, x in bound.items():
+            out[k] = x
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """None counts as the empty text."""
-        if self.split.family == "other":
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        word, binds = self.split.family == "word", (_SEPARATORS if self.split.family == "word" else _BINDING).search
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        if self.family == "other":
+            return self._alone(column.to_pylist())
         out: list[bytes] = []
-        for at in range(0, len(texts), 500):
-            part = [t or "" for t in texts[at : at + 500]]
-            whole = [k for k, t in enumerate(part) if binds(t) or self.split.has_special(t)]
-            odd = dict(zip(whole, self._encode_cut([self.split.pieces(part[k]) for k in whole]), strict=True))
-            if word:
-                heads, chunks = None, [t.split() if k not in odd else [] for k, t in enumerate(part)]
-            else:
-                chunks = [t.split(" ") if k not in odd else [""] for k, t in enumerate(part)]
-                heads = self._encode_cut([self.split.findall(c.pop(0)) for c in chunks])
-            ids = self._look_up(list(chain.from_iterable(chunks)))
-            ends = list(accumulate(map(len, chunks)))
-            made = [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-            if heads:
-                made = [h + m for h, m in zip(heads, made, strict=True)]
-            out += [odd.get(k, m) for k, m in enumerate(made)]
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        while len(out) < len(column):
+            at = len(out)
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right"))
+            out += self._some(column.slice(at, max(1, upto - at)))
         return out
 
 
-class RankEncoder:
-    """The byte-level family through its rank table: the same ids as ``Encoder``, four times as fast.
-
-    The ranks are read out of the same tokenizer file: bytes first, then merges in order.
-    """
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        back = {c: b for b, c in byte_alphabet().items()}
-        special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
-        ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        merged = [ranks[bytes(back[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in spec["model"]["merges"]]
-        if family(spec) != "byte" or any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
-            raise ValueError("not a byte-level file whose ids follow the order of merges")
-        self.bpe = tiktoken.Encoding("of-file", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        to_ids = self.bpe.encode_to_numpy
-        return [to_ids(t, allowed_special="all").astype("<u4", copy=False).tobytes() if t else b"" for t in texts]
-
-
-#: The byte-level split pattern, a fixed value of that family.
-BYTE_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
-
-
 def byte_alphabet() -> dict[int, str]:
     """Byte to printable character, as all byte-level vocabularies write it: printable Latin-1 stays, the rest is moved past 255."""
     stay = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -237,8 +234,5 @@ def byte_alphabet() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder | RankEncoder:
-    try:
-        return RankEncoder(path)
-    except (ValueError, KeyError):
-        return Encoder(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)

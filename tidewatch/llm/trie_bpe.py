@@ -157,8 +157,8 @@ class TrieEncoder(Encoder):
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        if self.split.family == "other" or model.get("unk_token") or model.get("ignore_merges"):
-            raise ValueError("the trie takes byte-level BPE files only")
+        if self.family != "word" or model.get("unk_token") or model.get("ignore_merges"):
+            raise ValueError("the trie takes files of the lower-cased word family only")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.table = MergeTable(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self._letters = byte_alphabet()
@@ -172,7 +172,7 @@ class TrieEncoder(Encoder):
         if len(known) > PIECE_ENTRIES:
             known.clear()
         if not known:
-            known.update((s, pack("<I", i)) for s, i in self.split.special.items())
+            known.update((s, pack("<I", i)) for s, i in self.special.items())
         letters = self._letters
         spelt = {p if p.isascii() and p.isalnum() else "".join(letters[b] for b in p.encode()): p for p in set(pieces).difference(known)}
         for word, ids in self.table.encode_sorted(sorted(spelt)):
@@ -192,9 +192,9 @@ def _round_trip(path: str, with_content: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = trie_encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = enc.encode(part.column(1).to_pylist())
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                ids = enc.encode(part.column(1))
                 text = [enc.decode(x) for x in ids]
                 arrays = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(x).hexdigest() for x in text])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
