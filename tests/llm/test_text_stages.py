@@ -65,8 +65,9 @@ def test_quality_learns_and_holds_out(spark):
     docs, labels = _labelled()
     docs += [(5000, None), (5001, ""), (None, "some text"), docs[0], (5002, "word " * 60_000)]
     frame = spark.createDataFrame([*labels, (7, None, None)], "doc_id bigint, quality int, toxic int")
-    stats = common.saved(quality.with_statistics(tables.documents(spark, docs)), "stats")
-    model = quality.fit_quality(stats, frame)
+    table = tables.documents(spark, docs)
+    stats = common.saved(quality.with_statistics(table), "stats")
+    model = quality.fit_quality(table, frame)
     got = quality.score_quality(stats, model).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
@@ -75,7 +76,7 @@ def test_quality_learns_and_holds_out(spark):
     assert sum((r.score >= 0.5) == truth[r.doc_id] for r in held) / len(held) > 0.9
     kept = quality.keep_good(tables.documents(spark, docs), model)
     assert kept.columns == tables.documents(spark, []).columns and 0 < kept.count() < len(docs)
-    none = quality.fit_quality(stats, frame.where("false"))
+    none = quality.fit_quality(table, frame.where("false"))
     assert {r.score for r in quality.score_quality(stats, none).collect()} == {0.5}
 
 

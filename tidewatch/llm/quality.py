@@ -5,8 +5,8 @@ statistic's bins are boosted in turns over all statistics, each adding to that s
 that still explain most of the residual get small two-way tables, boosted the same way. A score is the sigmoid of the
 sum of looked-up cells, so scoring is a handful of vectorised additions.
 
-The statistics of all rows are computed once and kept as a table. The model is fitted on the driver from at most
-``max_rows`` labelled rows (those with the smallest hash of doc_id), which bounds its memory at any corpus size.
+The model is fitted on the driver from at most ``max_rows`` labelled rows (those with the smallest hash of doc_id), which
+bounds its memory at any corpus size; statistics of all rows are computed where they are scored, in one pass.
 
 Defined results: a null text scores as the empty text; labels that are null are ignored, several labels of one doc_id
 are averaged; without labels of both kinds every score is the share of label 1 (0.5 without labels); null doc_ids are
@@ -203,16 +203,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> AdditiveModel:
-    """Fit on the labelled rows that aren't held out; ``labels(doc_id, quality)``."""
-    usable = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
-    usable = usable.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("q") >= 0.5).cast("double").alias("y"))
-    rows = stats.join(usable, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, y): at most ``max_rows`` labelled documents that aren't held out, those with the smallest hash of doc_id.
+
+    Of several texts under one doc_id the smallest counts.
+    """
+    usable = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("q"))
+    usable = usable.where(~held_out(F.col("doc_id"))).select("doc_id", (F.col("q") >= 0.5).cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = common.saved(usable.join(rows.select("doc_id"), "doc_id", "left_semi"), "known-labels")
     # every task would offer max_rows of its own: only hashes up to a bit above the expected last one come that far
-    share = (1.1 * max_rows + 1000) / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.col("h") < int(share * 2.0**64) - (1 << 63))
-    rows = rows.orderBy("h", "doc_id").limit(max_rows).select("y", *_COLUMNS).toPandas()
+    share = (1.1 * max_rows + 1000) / max(1, known.count())
+    cut = known.where(F.col("h") < int(share * 2.0**64) - (1 << 63)) if share < 1 else known
+    chosen = cut.orderBy("h", "doc_id").limit(max_rows).select("doc_id", "y")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> AdditiveModel:
+    """Fit on the ``labelled`` ones of ``docs(doc_id, text)`` by ``labels(doc_id, quality)``."""
+    chosen = common.saved(labelled(docs, labels, max_rows), "labelled")
+    rows = with_statistics(chosen).join(chosen.select("doc_id", "y"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("y", *_COLUMNS).toPandas()
     return AdditiveModel(**settings).fit(rows[_COLUMNS].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
@@ -247,5 +257,5 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOL
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = common.saved(with_statistics(common.read_table(spark, sf_dir, "documents")), "text-statistics")
-    return score_quality(stats, fit_quality(stats, common.read_table(spark, sf_dir, "labels")))
+    docs = common.read_table(spark, sf_dir, "documents")
+    return score_quality(with_statistics(docs), fit_quality(docs, common.read_table(spark, sf_dir, "labels")))
