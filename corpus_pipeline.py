@@ -13,15 +13,14 @@ from tidewatch.llm import common, ngram_join, packing, quality, secrets
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled ones of ``docs``, keep those that score at least the threshold."""
-    model = quality.fit_quality(quality.with_statistics(docs), common.read_table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
+    """Fit on the labelled ones of ``docs``, keep those that score at least the threshold; a null text scores as the empty one."""
+    return quality.keep_good(docs, quality.fit_quality(docs, common.read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of five-word Jaccard similarity 0.8 or more, keep the row of its smallest doc_id.
 
-    Rows without a doc_id stay; of several rows under one doc_id one stays.
+    Rows without a doc_id stay; of several rows under one doc_id one stays. Null and wordless texts are no copies and stay.
     """
     parts = ngram_join.similarity_components(docs)
     heads = parts.where("doc_id = component_id").groupBy("doc_id").count()
@@ -42,6 +41,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids with these ids; a null text is packed as the empty one, its end id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2, with_ids=True)
