@@ -2,7 +2,7 @@
 
 Arrow cuts the texts of a batch into chunks at white space at which neither of the two families of tokenizer files used here
 (byte-level, and lower-cased words) lets anything reach across, and numbers the distinct ones. Only these are looked up in a
-dictionary that lives as long as the Python worker; what it lacks goes to the library, many chunks at once. Ids of
+dictionary that lives as long as the Python worker; pieces of chunks that it lacks are encoded by the library's model. Ids of
 whole texts are then gathered by Arrow. Normalisation, and the cutting of everything but ASCII into pieces, is the library's
 own, so that Unicode tables can't differ. A file of any other family is encoded text by text.
 """
@@ -10,17 +10,18 @@ own, so that Unicode tables can't differ. A file of any other family is encoded
 from __future__ import annotations
 
 import json
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Entries a worker keeps of chunks and of pieces before it starts afresh; characters of a batch that are cut at once.
 CHUNK_ENTRIES, PIECE_ENTRIES, BATCH_BYTES = 500_000, 500_000, 16 << 20
@@ -46,32 +47,32 @@ def family(spec: dict) -> str:
     return "other"
 
 
-#: White space next to white space: only there does a byte-level piece reach across a space.
-_BINDING = re.compile(r"\s\s")
+#: What the byte-level split pattern comes to in ASCII.
+ASCII_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x20\x09-\x0DA-Za-z0-9]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+_WHITE = re.compile(r"\s")
+
+#: White space next to white space, for Arrow: only there does a byte-level piece reach across a space.
+_BINDING = "[{0}][{0}]".format("".join(f"\\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace()))
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's own encoding."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.family = family(spec)
         self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
-        self.tok, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tok, self.words):
-            t.no_truncation()
-            t.no_padding()
-        if self.family == "word":  # a piece is normalised already and holds no white space
-            self.words.normalizer = normalizers.Sequence([])
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.model = self.tok.model
+        self._letters = byte_alphabet()
+        if self.family == "word":
             self.splitter = pre_tokenizers.Split(Regex(WORD_SPLIT), "removed", invert=True)
-            suffix = spec["model"].get("end_of_word_suffix") or ""
-            self.closes = np.array([bool(suffix) and (self.words.id_to_token(i) or "").endswith(suffix) for i in range(self.words.get_vocab_size())])
-        elif self.family == "byte":
-            self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
         self.known_pieces: dict[str, bytes] = {}
         self.known_chunks: dict[str, bytes] = {}
         self.older_chunks: dict[str, bytes] = {}
@@ -110,49 +111,48 @@ class Encoder:
                 out[some[bisect_right(starts, a) - 1]].append(piece)
         return out
 
+    def _spelt(self, piece: str) -> str:
+        """A piece as the library's model takes it, a printable character for each byte."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self._letters[32])
+        return "".join(map(self._letters.__getitem__, piece.encode()))
+
     def _learn_pieces(self, pieces: Iterable[str]) -> None:
         """Encode those that aren't known yet."""
-        known = self.known_pieces
+        known, tokenize, spelt = self.known_pieces, self.model.tokenize, self._spelt
         if len(known) > PIECE_ENTRIES:
             known.clear()
         if not known:
             known.update((s, pack("<I", i)) for s, i in self.special.items())
-        unseen, single = list(set(pieces).difference(known)), []
-        for lo in range(0, len(unseen), 5_000):  # many pieces as one text cost less than many texts
-            part = unseen[lo : lo + 5_000]
-            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(self.closes[ids]) + 1
-            if len(at) != len(part):
-                single += part
-                continue
-            data, ends = ids.tobytes(), (at * 4).tolist()
-            known.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
-        for w, e in zip(single, self.words.encode_batch(single, add_special_tokens=False), strict=True):
-            known[w] = pack(f"<{len(e.ids)}I", *e.ids)
+        for piece in set(pieces).difference(known):
+            ids = [t.id for t in tokenize(spelt(piece))]
+            known[piece] = pack(f"<{len(ids)}I", *ids)
 
-    def _word_chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = self._pieces(chunks)
-        self._learn_pieces(chain.from_iterable(cut))
+    def _joined(self, cut: list[list[str] | None]) -> list[bytes | None]:
+        """Ids of each list of pieces."""
+        self._learn_pieces(chain.from_iterable(filter(None, cut)))
         get = self.known_pieces.__getitem__
-        return [get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for pieces in cut]
+        return [None if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in cut]
+
+    def _word_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._joined(self._pieces(chunks))
 
     # bytes
 
-    def _byte_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk behind a space. A line feed between them is a piece of its own, so it parts their ids."""
-        out: list[bytes | None] = [None] * len(chunks)
-        whole = [k for k, c in enumerate(chunks) if c and len(c.split()) == 1 and not c[0].isspace() and not c[-1].isspace()] if len(self.feed) == 1 else []
-        for lo in range(0, len(whole), 5_000):
-            some = whole[lo : lo + 5_000]
-            ids = np.array(self.tok.encode("\n".join(" " + chunks[k] for k in some), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.feed[0])
-            if len(at) != len(some) - 1:
-                continue
-            data = ids.tobytes()
-            for k, a, b in zip(some, [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(data)], strict=True):
-                out[k] = data[a:b]
+    def _byte_chunks(self, chunks: list[str], lead: str = " ") -> list[bytes]:
+        """Ids of each chunk behind ``lead``. ASCII is cut here, the rest by the library, with white space or special tokens each by itself."""
+        find, white, cut = ASCII_BYTE.findall, _WHITE.search, self._cut.search if self._cut else lambda _: None
+        pieces = [None if cut(c) else find(lead + c) if c.isascii() else None if white(c) or not lead else [] for c in chunks]
+        odd = [k for k, p in enumerate(pieces) if p == [] and chunks[k]]
+        for lo in range(0, len(odd), 5_000):
+            some = odd[lo : lo + 5_000]
+            text = "".join(lead + chunks[k] for k in some)
+            starts = [0, *accumulate(len(chunks[k]) + 1 for k in some)]
+            for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text):
+                pieces[some[bisect_right(starts, a) - 1]].append(text[a:b])
+        out = self._joined(pieces)
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self._alone([" " + chunks[k] for k in rest]), strict=True):
+        for k, x in zip(rest, self._alone([lead + chunks[k] for k in rest]), strict=True):
             out[k] = x
         return out
 
@@ -181,13 +181,11 @@ class Encoder:
         if self.family == "word":
             lists = pc.ascii_split_whitespace(texts)
         else:
-            plain = texts.to_pylist()
-            whole = [k for k, t in enumerate(plain) if _BINDING.search(t)]
-            bound = dict(zip(whole, self._alone([plain[k] for k in whole]), strict=True))
+            binds = pc.match_substring_regex(texts, _BINDING)
+            whole = np.flatnonzero(binds.to_numpy(zero_copy_only=False)).tolist()
+            bound = dict(zip(whole, self._alone([texts[k].as_py() for k in whole]), strict=True))
             if whole:
-                for k in whole:
-                    plain[k] = ""
-                texts = pa.array(plain, pa.large_string())
+                texts = pc.if_else(binds, pa.scalar("", pa.large_string()), texts)
             lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
@@ -195,7 +193,7 @@ class Encoder:
         of, chunks = named.indices.to_numpy(), named.dictionary.to_pylist()
         if self.family == "byte":  # a text's first chunk has no space before it
             starts = offsets[:-1]
-            heads = self._alone([chunks[k] for k in of[starts].tolist()])
+            heads = self._byte_chunks([chunks[k] for k in of[starts].tolist()], "")
             of = of.astype(np.int64)
             of[starts] = len(chunks) + np.arange(len(heads))
         found = [*self._look_up(chunks), *heads]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
-from tidewatch.llm.tokenization import PIECE_ENTRIES, Encoder, byte_alphabet
+from tidewatch.llm.tokenization import PIECE_ENTRIES, Encoder
 
 END, PAIR_ENTRIES = "</w>", 1_000_000
 
@@ -161,7 +161,6 @@ class TrieEncoder(Encoder):
             raise ValueError("the trie takes files of the lower-cased word family only")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.table = MergeTable(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        self._letters = byte_alphabet()
         names = self.tok.get_vocab(with_added_tokens=True)
         self._names = [b""] * (max(names.values()) + 1)
         for t, i in names.items():
@@ -173,8 +172,7 @@ class TrieEncoder(Encoder):
             known.clear()
         if not known:
             known.update((s, pack("<I", i)) for s, i in self.special.items())
-        letters = self._letters
-        spelt = {p if p.isascii() and p.isalnum() else "".join(letters[b] for b in p.encode()): p for p in set(pieces).difference(known)}
+        spelt = {self._spelt(p): p for p in set(pieces).difference(known)}
         for word, ids in self.table.encode_sorted(sorted(spelt)):
             known[spelt[word]] = pack(f"<{len(ids)}I", *ids)
 
