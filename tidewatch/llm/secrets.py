@@ -46,7 +46,8 @@ RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, any_case=True),
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 18),
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{16,}", 16),
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    # a body holds no five dashes, so a match never runs on past the next BEGIN line: the rule stays linear
+    Rule("pem", 2, r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,]|-(?!----))*+-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -113,7 +114,10 @@ class BlobLedger:
         # one row per blob is read: the side of blobs is hashed, texts are neither sorted nor grouped by content
         todo = pending.select(F.col("blob").alias("b"), F.col("path").alias("p"), "rules").hint("shuffle_hash")
         texts = named.join(todo, (named.path.eqNullSafe(F.col("p"))) & (named.blob == F.col("b"))).select("blob", "text", "rules")
+        if versions.groupBy("path").count().where("count > 1").limit(1).count():  # a version may stand in several rows
+            texts = texts.dropDuplicates(["blob"])
         texts.mapInArrow(_scan(self.rules), LEDGER_SCHEMA).write.mode("append").parquet(self.path)
+        common.release(self.spark)
         return pending.count()
 
     def findings(self) -> DataFrame:
@@ -126,8 +130,10 @@ class BlobLedger:
     def by_path(self, versions: DataFrame) -> DataFrame:
         """Findings of every version: path, blob, found (array of start, rank, end; empty if none)."""
         none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-        keyed = versions.select("path", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"))
-        return keyed.join(self.findings(), "blob", "left").select("path", "blob", F.coalesce("found", none).alias("found"))
+        keyed = common.saved(versions.select("path", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob")), "versions")
+        copies = keyed.groupBy("blob").agg(F.count("*").alias("size_")).join(self.findings(), "blob", "left")
+        copies = common.saved(copies.select("blob", "size_", F.coalesce("found", none).alias("found")), "blob-findings")
+        return common.join_groups(keyed, copies, ["blob"]).select("path", "blob", "found")
 
 
 def scan_versions(spark: SparkSession, versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,28 +147,39 @@ def _listed(found, names: list[str]):
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(name, s["rank"] + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, founds = batch.column("text").to_pylist(), batch.column("found").to_pylist()
-        out = []
-        for text, found in zip(texts, founds, strict=True):
-            if found:
-                parts, at = [], 0
-                for s in found:
-                    if s["end"] > at:
-                        parts += [text[at : max(at, s["start"])], "[SECRET]"] if s["start"] >= at else []
-                        at = s["end"]
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "found"], names=[n for n in batch.schema.names if n != "found"])
+def _redact(at: int):
+    """Blank the found spans, the last column, in the text at place ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, marked = batch.columns
+            out = []
+            for text, found in zip(columns[at].to_pylist(), marked.to_pylist(), strict=True):
+                if found and text is not None:
+                    parts, done = [], 0
+                    for s in found:
+                        if s["end"] > done:
+                            parts += [text[done : max(done, s["start"])], "[SECRET]"] if s["start"] >= done else []
+                            done = s["end"]
+                    text = "".join([*parts, text[done:]])
+                out.append(text)
+            columns[at] = pa.array(out, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
 
 
 def redact(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
-    """``docs`` with every found span replaced by [SECRET]; overlapping spans become one. Null texts stay null."""
-    keyed = docs.withColumn("blob_", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = ledger.findings().withColumnRenamed("blob", "b_")
-    marked = keyed.join(found.hint("shuffle_hash"), F.col("blob_") == F.col("b_"), "left").select(*docs.columns, "found")
-    return marked.mapInArrow(_redact, docs.schema)
+    """``docs`` with every found span of ``text`` replaced by [SECRET]; overlapping spans become one.
+
+    Null texts stay null, rows of blobs that the ledger doesn't know stay as they are, and so do all other columns of any name.
+    """
+    names = docs.columns
+    blob, found = (next(n for n in (f"{w}{k}" for k in range(len(names) + 1)) if n not in names) for w in ("blob_", "found_"))
+    marks = ledger.findings().select(F.col("blob").alias(blob), F.col("found").alias(found))
+    keyed = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    marked = keyed.join(marks.hint("shuffle_hash"), blob, "left").select(*[f"`{n}`" for n in names], found)
+    return marked.mapInArrow(_redact(names.index("text")), docs.schema)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
