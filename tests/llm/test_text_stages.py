@@ -40,6 +40,53 @@ def test_ledger_scans_only_what_is_new(spark):
     assert more.scan(rows) == 0
 
 
+def test_secret_cases(spark, tmp_path):
+    import time
+
+    again = spark.createDataFrame([*LEAKY, *LEAKY[:2]], "path bigint, text string")
+    book = secrets.BlobLedger(spark, common.new_path(spark, "ledger"))
+    book.scan(again)
+    assert book.rows().count() == len({t or "" for _, t in LEAKY}) * len(secrets.RULES)
+    assert secrets.scan_versions(spark, again.where("false"), common.new_path(spark, "ledger")).count() == 0
+    pem = next(r for r in secrets.RULES if r.name == "pem").compiled()
+    for text in ("-----BEGIN RSA PRIVATE KEY-----\n" * 60_000, "-----BEGIN PRIVATE KEY-----" + "ab- " * 400_000, "-----BEGIN " + "A1 " * 400_000):
+        began = time.time()
+        assert not pem.findall(text) and time.time() - began < 5
+    clash = spark.createDataFrame([(1, "token=abcdefabcdefabc", "f", "b", 7)], "doc_id bigint, text string, found string, blob_0 string, `found_0` int")
+    got = secrets.redact(clash, _scanned(spark, clash))
+    assert got.columns == clash.columns and tuple(got.first()) == (1, "[SECRET]", "f", "b", 7)
+    assert secrets.redact(clash.where("false"), book).count() == 0
+
+
+def _scanned(spark, docs):
+    book = secrets.BlobLedger(spark, common.new_path(spark, "ledger"))
+    book.scan(docs.selectExpr("doc_id as path", "text"))
+    return book
+
+
+def test_token_counts_equal_sql_on_repeated_rows_and_null_ids(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (2, "a b", "de", "t"), (None, "c d", "en", "s"), (3, None, None, "s"), (4, "", "en", None), (5, "x" * 50_000 + " 12,", "en", "s"), (None, "A-b", "fr", "u"), (None, "A-b", "fr", "u"), (6, "A-b", "fr", "u")]
+    spark.createDataFrame([(*r, 0, 1, 2) for r in rows], "doc_id bigint, text string, lang string, source string, size_ int, first int, rows int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.source, r.lang, r.tokenizer, r.n_docs, r.n_tokens) for r in token_rollups.op2_token_counts(spark, str(tmp_path)).collect()), key=repr)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = sorted(db.execute(f"SELECT source, lang, tokenizer, n_docs, n_tokens FROM ({token_rollups.OP2_SQL})").fetchall(), key=repr)
+    assert got == want
+
+
+def test_library_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = token_rollups.library_counts(tables.documents(spark), path).collect()
+    want = [(d, len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in tables.texts()]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_redaction(spark):
     docs = tables.documents(spark, LEAKY)
     book = secrets.BlobLedger(spark, common.new_path(spark, "ledger"))

@@ -1,7 +1,7 @@
 """Token counts as delta-maintained rollups.
 
 A change is a row (op, source, lang, tokenizer, n_tokens, old_tokens): an insert adds a document and its tokens, a
-delete takes them away, a revision replaces ``old_tokens`` by ``n_tokens``. A batch of changes is summed to signed deltas
+delete takes them away, a revision replaces ``old_tokens`` by ``n_tokens``; an optional column ``times`` says how often. A batch of changes is summed to signed deltas
 by (source, lang, tokenizer), in each map task first, and committed as one folder under its batch id. Committing a batch
 again replaces its folder, so replays don't count twice; totals are the sum of all committed deltas. ``compact`` folds
 committed batches into one base and remembers their ids, so that a late replay of one of them is ignored.
@@ -13,10 +13,14 @@ batch counts twice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.llm.tokenization import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, batch string"
@@ -29,12 +33,27 @@ def token_count(text: Column, tokenizer: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PATTERNS[tokenizer])).cast("bigint")
 
 
+def library_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, source, lang, n_tokens) of every row of ``docs``, counted with the tokenizer file at ``path``; a null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                counts = pa.array([len(x) // 4 for x in encoder(path).encode(part.column(3))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], counts], names=["doc_id", "source", "lang", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+    return rows.mapInArrow(run, "doc_id bigint, source string, lang string, n_tokens bigint")
+
+
 def deltas(changes: DataFrame) -> DataFrame:
     """Signed sums of ``changes`` by key."""
     new, old = F.coalesce(F.col("n_tokens"), F.lit(0)), F.coalesce(F.col("old_tokens"), F.lit(0))
+    times = F.coalesce(F.col("times"), F.lit(0)) if "times" in changes.columns else F.lit(1)
     docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
     tokens = F.when(F.col("op") == "insert", new).when(F.col("op") == "delete", -new).when(F.col("op") == "revise", new - old).otherwise(0)
-    return changes.groupBy(*KEYS).agg(F.sum(docs).cast("bigint").alias("n_docs"), F.sum(tokens).cast("bigint").alias("n_tokens"))
+    return changes.groupBy(*KEYS).agg(F.sum(docs * times).cast("bigint").alias("n_docs"), F.sum(tokens * times).cast("bigint").alias("n_tokens"))
 
 
 class TokenRollup:
@@ -101,23 +120,26 @@ class TokenRollup:
             common.remove(self.spark, f"{self.path}/deltas/batch={b}")
 
 
-def changes_of(rows: DataFrame, op: str, tokenizer: str, tokens: Column, old: Column | None = None) -> DataFrame:
-    return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.cast("bigint").alias("n_tokens"), (old if old is not None else F.lit(0)).cast("bigint").alias("old_tokens"))
+def changes_of(rows: DataFrame, op: str, tokenizer: str, tokens: Column, old: Column | None = None, times: Column | None = None) -> DataFrame:
+    old, times = old if old is not None else F.lit(0), times if times is not None else F.lit(1)
+    return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.cast("bigint").alias("n_tokens"), old.cast("bigint").alias("old_tokens"), times.alias("times"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches over all documents: every document comes in; copies of a text go, but the smallest
-    doc_id; what stays comes in under a second tokenizer with an estimate; the estimates are revised. One is replayed."""
+    """Totals after four batches over all documents: every document comes in; copies of a text go, but the first one by
+    doc_id (nulls last), source and lang; what stays comes in under a second tokenizer with an estimate; the estimates are
+    revised. One batch is replayed. Of equal rows one stays; a null text is the empty text."""
     docs = common.read_table(spark, sf_dir, "documents")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, own = F.coalesce(F.col("text"), F.lit("")), ["h", "doc_id", "source", "lang"]
     counted = docs.select("doc_id", "source", "lang", F.sha2(text, 256).alias("h"), token_count(F.col("text"), "words@1").alias("words"), token_count(F.col("text"), "pieces@1").alias("pieces"), F.ceil(F.length(text) / 4).cast("bigint").alias("guess"))
-    counted = common.saved(counted, "document-counts")
-    first = counted.groupBy("h").agg(F.min("doc_id").alias("first")).withColumnRenamed("h", "k")
-    marked = counted.join(first, F.col("h") == F.col("k"))
-    kept, gone = marked.where("doc_id = first"), marked.where("doc_id > first")
+    counted = common.saved(counted.groupBy(*own).agg(F.count("*").alias("rows"), *[F.min(c).alias(c) for c in ("words", "pieces", "guess")]), "document-counts")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "source", "lang")
+    first = common.saved(counted.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("size_")), "first-copies")
+    marked = common.join_groups(counted, first, ["h"]).withColumn("stays", order.eqNullSafe(F.col("first")))
+    kept = marked.where("stays")
     book = TokenRollup(spark, common.new_path(spark, "rollup"))
-    book.commit("1", changes_of(counted, "insert", "words@1", F.col("words")))
-    copies = changes_of(gone, "delete", "words@1", F.col("words"))
+    book.commit("1", changes_of(counted, "insert", "words@1", F.col("words"), times=F.col("rows")))
+    copies = changes_of(marked, "delete", "words@1", F.col("words"), times=F.col("rows") - F.col("stays").cast("int"))
     book.commit("2", copies)
     book.commit("3", changes_of(kept, "insert", "pieces@1", F.col("guess")))
     book.commit("2", copies)
