@@ -37,7 +37,7 @@ from tidewatch.llm.shingles import mix, shingle_set
 
 #: Signature rows that a map task holds before it combines and emits them; members compared by one task per hub;
 #: ids of documents to compare (eight bytes each) that are broadcast, more are joined by shuffle.
-HELD_ROWS, HUB_ROWS, ROUNDS, BROADCAST_IDS = 1_000_000, 2_000, 2, 500_000
+HELD_ROWS, HUB_ROWS, ROUNDS, BROADCAST_IDS = 500_000, 2_000, 2, 500_000
 
 #: Words of a band's sketch for each one that pigeonhole asks for.
 SPARE = 1.5

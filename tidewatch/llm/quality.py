@@ -204,26 +204,26 @@ def held_out(doc_id):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, text, y): at most ``max_rows`` labelled documents that aren't held out, those with the smallest hash of doc_id.
-
-    Of several texts under one doc_id the smallest counts.
-    """
+    """(doc_id, y): at most ``max_rows`` labelled ids of ``docs`` that aren't held out, those with the smallest hash."""
     usable = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("q"))
     usable = usable.where(~held_out(F.col("doc_id"))).select("doc_id", (F.col("q") >= 0.5).cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = common.saved(usable.join(rows.select("doc_id"), "doc_id", "left_semi"), "known-labels")
+    known = common.saved(usable.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_semi"), "known-labels")
     # every task would offer max_rows of its own: only hashes up to a bit above the expected last one come that far
     share = (1.1 * max_rows + 1000) / max(1, known.count())
     cut = known.where(F.col("h") < int(share * 2.0**64) - (1 << 63)) if share < 1 else known
-    chosen = cut.orderBy("h", "doc_id").limit(max_rows).select("doc_id", "y")
-    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return cut.orderBy("h", "doc_id").limit(max_rows).select("doc_id", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> AdditiveModel:
-    """Fit on the ``labelled`` ones of ``docs(doc_id, text)`` by ``labels(doc_id, quality)``."""
-    chosen = common.saved(labelled(docs, labels, max_rows), "labelled")
-    rows = with_statistics(chosen).join(chosen.select("doc_id", "y"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("y", *_COLUMNS).toPandas()
-    return AdditiveModel(**settings).fit(rows[_COLUMNS].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
+    """Fit on the ``labelled`` ones of ``docs(doc_id, text)`` by ``labels(doc_id, quality)``.
+
+    Of several texts under one doc_id each statistic's smallest value counts.
+    """
+    chosen = common.saved(labelled(docs, labels, max_rows), "chosen-labels")
+    rows = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("chosen_"))), F.col("doc_id").cast("bigint") == F.col("chosen_"), "left_semi")
+    stats = with_statistics(rows).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in _COLUMNS])
+    table = stats.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("y", *_COLUMNS).toPandas()
+    return AdditiveModel(**settings).fit(table[_COLUMNS].to_numpy(np.float64), table["y"].to_numpy(np.float64))
 
 
 def _score(model: AdditiveModel):
@@ -244,9 +244,10 @@ def score_quality(stats: DataFrame, model: AdditiveModel, threshold: float = THR
 def _keep(model: AdditiveModel, threshold: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t or "") for t in batch.column(names.index("text")).to_pylist()]
-            x = np.array(rows, dtype=np.float64).reshape(-1, len(STATISTICS))
-            yield batch.filter(pa.array(model.score(x) >= threshold))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                rows = [statistics(t or "") for t in part.column(names.index("text")).to_pylist()]
+                yield part.filter(pa.array(model.score(np.array(rows, dtype=np.float64)) >= threshold))
 
     return run
 

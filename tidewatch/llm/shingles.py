@@ -17,14 +17,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TURN = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n + 1).bit_length())
-    if size not in _POWERS:
-        _POWERS[size] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE))
-    return _POWERS[size]
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least; one table serves all shorter texts."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(12, n.bit_length())
+        for k, b in enumerate((_BASE, _INVERSE)):
+            _POWERS[k] = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))))
+    return _POWERS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
