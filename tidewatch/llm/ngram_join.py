@@ -39,8 +39,11 @@ from tidewatch.llm.shingles import mix, shingle_set
 #: ids of documents to compare (eight bytes each) that are broadcast, more are joined by shuffle.
 HELD_ROWS, HUB_ROWS, ROUNDS, BROADCAST_IDS = 500_000, 2_000, 2, 500_000
 
+#: Words of the folded sketches that bound differences within the last join.
+FOLDS = (4, 16)
+
 #: Words of a band's sketch for each one that pigeonhole asks for.
-SPARE = 1.5
+SPARE = 1.3
 
 INFO = "doc_id bigint, n bigint, h1 bigint, h2 bigint, spare0 bigint, spare1 bigint, w array<bigint>"
 _INFO = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", "spare0", "spare1")] + [("w", pa.list_(pa.int64()))])
@@ -135,6 +138,7 @@ def _describe(sim: Similarity):
                         lows = sim.bands(len(h))
                     rows.append((len(h), *_digests(h), *spare_words(h, sim, lows), parity(mix(h ^ np.uint64(0x2545F4914F6CDD1D))).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_INFO)[1:])]], schema=_INFO)
+        common.give_back()
 
     return run
 
@@ -177,6 +181,8 @@ def _sign(sim: Similarity):
                         keys, ids, held = [], [], 0
         if held:
             yield _combined(np.concatenate(keys), np.concatenate(ids))
+        del keys, ids
+        common.give_back()
 
     return run
 
@@ -194,12 +200,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     keys, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    heads = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    parts.clear()
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    keys, ids = keys[shared], ids[order[shared]]  # most keys have one head
+    del order, same, shared
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    heads = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(keys))))
     rest = heads != ids
     yield pa.RecordBatch.from_arrays([pa.array(keys[rest]), pa.array(heads[rest]), pa.array(ids[rest])], names=["key", "a", "b"])
+    del keys, ids, starts, heads, rest
+    common.give_back()
 
 
 def _sets(width: int):
@@ -269,6 +284,26 @@ def _near(sim: Similarity) -> Column:
     return F.when(_sizes_fit(sim, a, b), apart * (sim.den + sim.num) <= (a + b) * (sim.den - sim.num)).otherwise(False)
 
 
+def _folds(size: int) -> list[Column]:
+    """The sketch w folded to ``size`` words, as a column each; nulls if it has fewer. Words ``size`` apart are XORed."""
+
+    def part(k: int) -> Column:
+        own = F.filter("w", lambda _, i: i % size == k)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda s, v: s.bitwiseXOR(v))
+
+    return [F.when(F.size("w") >= size, part(k)).alias(f"f{size}_{k}") for k in range(size)]
+
+
+def _folds_near(sim: Similarity, x: str, y: str) -> Column:
+    """The bound on folded sketches, for use as a join's condition; a fold that either set lacks says nothing."""
+    most = (F.col(f"{x}.n") + F.col(f"{y}.n")) * (sim.den - sim.num)
+    near = _sizes_fit(sim, F.col(f"{x}.n"), F.col(f"{y}.n"))
+    for size in FOLDS:
+        apart = sum((F.bit_count(F.col(f"{x}.f{size}_{k}").bitwiseXOR(F.col(f"{y}.f{size}_{k}"))) for k in range(size)), F.lit(0))
+        near = near & F.coalesce(apart * (sim.den + sim.num) <= most, F.lit(True))
+    return near
+
+
 def _postings(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, rep, n): the buckets without each set's spare words, the most frequent ones; only buckets that still have two members."""
     ids = buckets.select("key", F.col("a").alias("doc_id")).union(buckets.select("key", F.col("b").alias("doc_id"))).distinct()
@@ -291,13 +326,15 @@ def _head_pairs(named: DataFrame, sim: Similarity, turn: int) -> DataFrame:
     return tried.groupBy("rep").agg(F.min("head").alias("head")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
 
 
-def _open_pairs(named: DataFrame, sim: Similarity) -> DataFrame:
-    """All pairs of one bucket and different components."""
+def _open_pairs(named: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """All pairs of one bucket and different components that folded sketches don't tell apart."""
     parts = named.groupBy("key", "label").count()
     groups = parts.groupBy("key").agg(F.sum("count").alias("size_"), F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
     members = common.saved(common.join_groups(named, common.saved(groups.drop("labels"), "open-buckets"), ["key"]), "open-members")
+    wide = sets.select("rep", *[c for size in FOLDS for c in _folds(size)]).join(members.select("rep").distinct(), "rep", "left_semi")
+    members = common.saved(members.join(wide, "rep"), "open-sketches")
     x, y = members.where("label <> major").alias("x"), members.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(sim, F.col("x.n"), F.col("y.n"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _folds_near(sim, "x", "y")
     return x.join(y, apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
@@ -323,7 +360,7 @@ def similarity_components(docs: DataFrame, sim: Similarity = Similarity()) -> Da
     for turn in range(ROUNDS + 1):
         named = postings.join(part, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
         named, named_at = common.saved_at(named, "named-postings")
-        pairs = _head_pairs(named, sim, turn) if turn < ROUNDS else _open_pairs(named, sim)
+        pairs = _head_pairs(named, sim, turn) if turn < ROUNDS else _open_pairs(named, sets, sim)
         x, y = (sets.select(F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}")) for k in "xy")
         pairs = pairs.join(x, F.col("a") == F.col("rx")).join(y, F.col("b") == F.col("ry")).where(_near(sim)).select("a", "b").distinct()
         pairs = common.saved(pairs, "pairs")

@@ -153,6 +153,7 @@ def _pack(path: str, end_id: int, size: int, with_ids: bool):
                         yield from place(False)
         if held:
             yield from place(True)
+        enc.rest()
 
     return run
 

@@ -248,6 +248,7 @@ def _keep(model: AdditiveModel, threshold: float, names: list[str]):
                 part = batch.slice(lo, 500)
                 rows = [statistics(t or "") for t in part.column(names.index("text")).to_pylist()]
                 yield part.filter(pa.array(model.score(np.array(rows, dtype=np.float64)) >= threshold))
+        common.give_back()
 
     return run
 

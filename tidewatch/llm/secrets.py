@@ -165,6 +165,7 @@ def _redact(at: int):
                 out.append(text)
             columns[at] = pa.array(out, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        common.give_back()
 
     return run
 

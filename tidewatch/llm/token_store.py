@@ -163,6 +163,7 @@ def _blocks(path: str, end_id: int):
                     held += n
         if parts:
             yield flush()
+        enc.rest()
 
     return run
 

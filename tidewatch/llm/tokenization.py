@@ -23,8 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
+from tidewatch.llm import common
+
 #: Entries a worker keeps of chunks and of pieces before it starts afresh; characters of a batch that are cut at once.
-CHUNK_ENTRIES, PIECE_ENTRIES, BATCH_BYTES = 200_000, 200_000, 8 << 20
+CHUNK_ENTRIES, PIECE_ENTRIES, BATCH_BYTES = 120_000, 150_000, 8 << 20
 
 #: The split pattern of the lower-cased word family, a fixed value of its tokenizer files, and what it comes to in ASCII.
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -221,9 +223,13 @@ class Encoder:
             at = len(out)
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right"))
             out += self._some(column.slice(at, max(1, upto - at)))
-        pa.default_memory_pool().release_unused()
         return out
 
+    def rest(self) -> None:
+        """At the end of a task: keep the younger chunks only."""
+        self.older_chunks = {}
+        common.give_back()
+
 
 def byte_alphabet() -> dict[int, str]:
     """Byte to printable character, as all byte-level vocabularies write it: printable Latin-1 stays, the rest is moved past 255."""
