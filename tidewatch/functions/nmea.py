@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.steps import held
 
+#: Characters of the six-bit values 0 to 63, fixed values: of the payload armour and of base64.
+ARMOUR = "0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVW`abcdefghijklmnopqrstuvw"
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
 #: Six-bit text alphabet, a fixed value of the message format.
 ALPHABET = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
 
@@ -43,45 +47,66 @@ def with_envelope(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     return df.withColumn("code", code).drop("f_", "state_")
 
 
-def bits(payload: Column) -> Column:
-    """Bit string of an armoured payload; null if a character is outside the alphabet."""
-    def one(c: Column) -> Column:
-        a = F.ascii(c)
-        return F.lpad(F.bin(F.when(a.between(48, 87), a - 48).when(a.between(96, 119), a - 56).cast("bigint")), 6, "0")
+def words(payload: Column) -> Column:
+    """The first 480 bits of an armoured payload as eight numbers of 60 bits, zeros behind its end; null if a character is outside the alphabet.
 
-    return F.when(payload.rlike("^[0-W`-w]+$"), F.array_join(F.transform(F.split(payload, ""), one), ""))
+    Both the armour and base64 spell six bits a character, so one translation unpacks the whole payload.
+    """
+    packed = F.hex(F.unbase64(F.translate(F.rpad(payload, 80, "0"), ARMOUR, BASE64)))
+    held_words = [F.conv(F.substring(packed, 15 * k + 1, 15), 16, 10).cast("bigint") for k in range(8)]
+    return F.when(payload.rlike("^[0-W`-w]+$"), F.array(*held_words))
 
 
-def unsigned(b: Column, start: int, n: int) -> Column:
-    return F.conv(F.substring(b, start + 1, n), 2, 10).cast("bigint")
+def unsigned(w: Column, start: int, n: int) -> Column:
+    """``n`` bits, 60 at most, from bit ``start`` of ``words``."""
+    first, skipped = divmod(start, 60)
+    behind = 60 - skipped - n
+    word = F.get(w, F.lit(first))
+    if behind >= 0:
+        return F.shiftright(word, behind).bitwiseAND(F.lit((1 << n) - 1))
+    head = F.shiftleft(word.bitwiseAND(F.lit((1 << (n + behind)) - 1)), -behind)
+    return head.bitwiseOR(F.shiftright(F.get(w, F.lit(first + 1)), 60 + behind))
 
 
-def signed(b: Column, start: int, n: int) -> Column:
-    v = unsigned(b, start, n)
+def signed(w: Column, start: int, n: int) -> Column:
+    v = unsigned(w, start, n)
     return F.when(v >= 1 << (n - 1), v - (1 << n)).otherwise(v)
 
 
-def text(b: Column, start: int, n: int) -> Column:
+def text(w: Column, start: int, n: int) -> Column:
     """Six-bit text: trailing @ and spaces go, inner @ become spaces, empty is null."""
-    letters = F.array(*[F.lit(c) for c in ALPHABET])
-    raw = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n // 6 - 1)), lambda k: F.element_at(letters, F.conv(F.substring(b, F.lit(start + 1) + k * 6, F.lit(6)), 2, 10).cast("int") + 1)), "")
+
+    def letter(at: Column) -> Column:
+        word, skipped = F.floor(at / 60).cast("int"), F.pmod(at, F.lit(60))
+        low = F.when(skipped > 54, F.get(w, word + 1)).otherwise(F.lit(0).cast("bigint"))
+        both = F.call_function("shiftleft", F.get(w, word).bitwiseAND(F.lit((1 << 59) - 1)), F.greatest(skipped - 54, F.lit(0))).bitwiseOR(F.call_function("shiftright", low, F.lit(114) - skipped))
+        value = F.when(skipped > 54, both).otherwise(F.call_function("shiftright", F.get(w, word), F.lit(54) - skipped)).bitwiseAND(F.lit(63))
+        return F.substring(F.lit(ALPHABET), value.cast("int") + 1, F.lit(1))
+
+    raw = F.array_join(F.transform(F.sequence(F.lit(start), F.lit(start + n - 6), F.lit(6)), letter), "")
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(raw, "[@ ]+$", ""), "@", " ")), F.lit(""))
 
 
+def _position_words(w: Column, message_type: Column) -> Column:
+    """The first 180 bits laid out as in types 1 to 3: type 18 has the same fields four bits earlier."""
+    moved = [F.shiftright(F.get(w, F.lit(k)), 4) if not k else F.shiftright(F.get(w, F.lit(k)), 4).bitwiseOR(F.shiftleft(F.get(w, F.lit(k - 1)).bitwiseAND(F.lit(15)), 56)) for k in range(3)]
+    return F.when(message_type == 18, F.array(*moved)).when(message_type.isin(1, 2, 3), F.slice(w, 1, 3))
+
+
 def decoded(df: DataFrame, payload: str = "payload", fill: str = "fill_bits") -> DataFrame:
     """Fields of types 1, 2, 3, 18, 5 and 24, and ``code`` for what can't be decoded."""
-    df = held(df, "b", bits(F.col(payload))).withColumn("n_bits", F.length("b") - F.col(fill))
+    df = held(df, "b", words(F.col(payload))).withColumn("n_bits", F.length(payload) * 6 - F.col(fill))
     b = F.col("b")
-    df = df.withColumn("message_type", F.when(F.col("n_bits") >= 38, unsigned(b, 0, 6)).cast("int")).withColumn("mmsi", unsigned(b, 8, 30).cast("int"))
+    df = held(df, "message_type", F.when(F.col("n_bits") >= 38, unsigned(b, 0, 6)).cast("int")).withColumn("mmsi", unsigned(b, 8, 30).cast("int"))
+    df = held(df, "p", _position_words(b, F.col("message_type")))
+    p = F.col("p")
     t = F.col("message_type")
     position_a, position_b = t.isin(1, 2, 3), t == 18
     part = unsigned(b, 38, 2)
     least = F.when(position_a, 137).when(position_b, 147).when(t == 5, 270).when((t == 24) & (part == 0), 160).when((t == 24) & (part == 1), 162)
     known = t.isin(1, 2, 3, 5, 18, 24)
-    either = lambda a, c: F.when(position_a, a).when(position_b, c)
-    lon_raw, lat_raw = either(signed(b, 61, 28), signed(b, 57, 28)), either(signed(b, 89, 27), signed(b, 85, 27))
-    df = df.withColumns({"lon": lon_raw / 600000.0, "lat": lat_raw / 600000.0})
-    speed, course, head = either(unsigned(b, 50, 10), unsigned(b, 46, 10)), either(unsigned(b, 116, 12), unsigned(b, 112, 12)), either(unsigned(b, 128, 9), unsigned(b, 124, 9))
+    df = df.withColumns({"lon": signed(p, 61, 28) / 600000.0, "lat": signed(p, 89, 27) / 600000.0})
+    speed, course, head = unsigned(p, 50, 10), unsigned(p, 116, 12), unsigned(p, 128, 9)
     bad_place = (F.abs("lat") > 90) | (F.abs("lon") > 180) | ((F.col("lat") == 0) & (F.col("lon") == 0))
     code = (
         F.when(b.isNull() | (F.col("n_bits") < 38), "DECODE_FAILED").when(~known, "UNSUPPORTED_MESSAGE_TYPE").when(~F.col("mmsi").between(1, 999_999_999), "INVALID_MMSI")
@@ -96,7 +121,7 @@ def decoded(df: DataFrame, payload: str = "payload", fill: str = "fill_bits") ->
         "vessel_name": F.when(t == 5, text(b, 112, 120)).when((t == 24) & (part == 0), text(b, 40, 120)), "ship_type": F.when(t == 5, unsigned(b, 232, 8)).when((t == 24) & (part == 1), unsigned(b, 40, 8)).cast("int"),
         "ship_length_m": F.nullif(length, F.lit(0)).cast("int"), "destination": F.when((t == 5) & (F.col("n_bits") >= 422), text(b, 302, 120)),
         "vessel_class": F.when(t.isin(18, 24), "B").otherwise("A"),
-    }).drop("b", "n_bits")
+    }).drop("b", "p", "n_bits")
 
 
 def to_bits(value: Column, n: int) -> Column:
@@ -104,17 +129,23 @@ def to_bits(value: Column, n: int) -> Column:
     return F.right(F.concat(F.lit("0" * n), F.bin(value.cast("bigint"))), F.lit(n))
 
 
+def text_bits(value: Column, n: int) -> Column:
+    """Six-bit text of ``n`` bits; what is missing at the end becomes @, what is not in the alphabet a space."""
+    letters = F.split(F.rpad(F.left(F.coalesce(value, F.lit("")), F.lit(n // 6)), n // 6, "@"), "")
+    return F.array_join(F.transform(letters, lambda c: to_bits(F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)) - 1, F.lit(32)), 6)), "")
+
+
 def armoured(b: Column) -> Column:
     """Payload of a bit string, padded with zero bits to whole characters."""
-    whole = F.rpad(b, F.ceil(F.length(b) / 6) * 6, F.lit("0"))
-    def one(k: Column) -> Column:
-        v = F.conv(F.substring(whole, k * 6 + 1, F.lit(6)), 2, 10).cast("int")
-        return F.char(F.when(v < 40, v + 48).otherwise(v + 56))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(whole) / 6).cast("int") - 1), one), "")
+    pairs = F.ceil(F.length(b) / 120).cast("int")
+    whole = F.rpad(b, pairs * 120, F.lit("0"))
+    word = lambda k: F.lpad(F.conv(F.substring(whole, k * 60 + 1, F.lit(60)), 2, 16), 15, "0")
+    packed = F.array_join(F.transform(F.sequence(F.lit(0), pairs * 2 - 1), word), "")
+    return F.left(F.translate(F.base64(F.unhex(packed)), BASE64, ARMOUR), F.ceil(F.length(b) / 6).cast("int"))
 
 
-def sentence(payload: Column, fill: Column | None = None) -> Column:
-    """A single-part sentence with its checksum."""
-    body = F.concat(F.lit("AIVDM,1,1,,A,"), payload, F.lit(","), fill if fill is not None else F.lit("0"))
+def sentence(payload: Column, fill: Column | None = None, total: int = 1, number: int = 1, sequence_id: Column | None = None) -> Column:
+    """A sentence with its checksum; of several parts if ``total`` says so."""
+    head = F.concat(F.lit(f"AIVDM,{total},{number},"), sequence_id.cast("string") if sequence_id is not None else F.lit(""), F.lit(",A,"))
+    body = F.concat(head, payload, F.lit(","), fill if fill is not None else F.lit("0"))
     return F.concat(F.lit("!"), body, F.lit("*"), checksum(body))

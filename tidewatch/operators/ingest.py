@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions import nmea
 
@@ -23,59 +25,106 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return df.withColumn("code", F.when(at.isNull() | (F.col("sentence") == ""), "INVALID_LOG_LINE"))
 
 
+def record_order(file: Column, line_no: Column, line_type: T.DataType) -> Column:
+    """Text that sorts by (file, line number), whatever number or (split, row) ``line_no`` is."""
+    digits = lambda c: F.lpad(c.cast("string"), 19, "0")
+    if isinstance(line_type, T.StructType):
+        return F.concat_ws(":", file, *[digits(line_no[f.name]) for f in line_type])
+    return F.concat_ws(":", file, digits(line_no))
+
+
+def with_record_order(records: DataFrame) -> DataFrame:
+    """Add ``sequence``: merged files are in the order of (received_ns, sequence), and nothing needs to be shuffled for it."""
+    return records.withColumn("sequence", record_order(F.col("file"), F.col("line_no"), records.schema["line_no"].dataType))
+
+
+def jst_date_number(ns: Column) -> Column:
+    return F.floor((ns / 1000 + JST_US) / 86_400_000_000).cast("int")
+
+
 def replay_order(records: DataFrame) -> DataFrame:
-    """Merge of all files by (time, file order, line number) within each day; ``sequence`` is the ordinal of the day."""
-    day = F.floor((F.col("received_ns") / 1000 + JST_US) / 86_400_000_000)
-    return records.withColumn("day", day).withColumn("sequence", F.row_number().over(Window.partitionBy("day").orderBy("received_ns", "file", "line_no")))
+    """Merge of all files by (time, file order, line number) within each day; ``ordinal`` counts from 1 in each ``day``.
 
+    A minute is numbered in one task and shifted by what earlier minutes of its day hold: counts meet, not lines. Records
+    of one minute must fit in a task.
+    """
+    df = with_record_order(records).withColumn("day", jst_date_number(F.col("received_ns"))).withColumn("minute_", F.floor(F.col("received_ns") / (60 * NS)))
+    counts = df.groupBy("day", "minute_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("day").orderBy("minute_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("day", "minute_").orderBy("received_ns", "sequence"))
+    return df.withColumn("inside_", inside).join(counts.withColumn("before_", before).drop("n_"), ["day", "minute_"]).withColumn("ordinal", F.col("before_") + F.col("inside_")).drop("minute_", "inside_", "before_")
 
-ASSEMBLED = "received_ns bigint, sequence bigint, source_id string, tag string, channel string, payload string, fill_bits int, code string"
 
+def replay_load(records: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
+    """(records of the day with their ordinals, one row: first_ns, last_ns, n and how many lie OUTSIDE_SELECTED_DAY)."""
+    inside = jst_date_number(F.col("received_ns")) == F.datediff(F.lit(day).cast("date"), F.lit("1970-01-01").cast("date"))
+    at = F.when(inside, F.col("received_ns"))
+    span = records.agg(F.min(at).alias("first_ns"), F.max(at).alias("last_ns"), F.count(at).alias("n"), F.count_if(~inside).alias("outside_selected_day"))
+    return replay_order(records.where(inside)), span
 
-def _assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """State machine of one (source, tag, sequence id, channel, total): rows in arrival order."""
-    out: list[tuple] = []
+
+FRAGMENT_KEY = ["source_id", "tag", "sequence_id", "channel", "total"]
+_OUTCOME = ["received_ns", "sequence", "source_id", "tag", "channel", "payload", "fill_bits", "code"]
+
+
+def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """State machine of a key (``FRAGMENT_KEY``) over rows sorted by key and arrival; it holds the parts of one sentence."""
+    key, before = None, None
     parts: dict[int, tuple[str, int]] = {}
     last = 0
+    out: list[tuple] = []
 
     def fail(r, code: str) -> None:
         out.append((r.received_ns, r.sequence, r.source_id, r.tag, r.channel, None, None, code))
 
-    for r in rows.sort_values(["received_ns", "sequence"]).itertuples():
-        if parts and r.received_ns - last > TIMEOUT_NS:
-            fail(r, "INCOMPLETE_FRAGMENT")
-            parts = {}
-        held = parts.get(r.number)
-        if held is not None and held == (r.payload, r.fill_bits):
-            continue
-        if held is not None:
-            parts = {}
-            if r.number == 1:
+    def shown() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=_OUTCOME).astype({"fill_bits": "Int32"})
+
+    for rows in batches:
+        out = []
+        for r in rows.itertuples(index=False):
+            own = (r.source_id, r.tag, r.sequence_id, r.channel, r.total)
+            if own != key and parts:
+                fail(before, "INCOMPLETE_FRAGMENT")
+                parts = {}
+            key, before = own, r
+            if parts and r.received_ns - last > TIMEOUT_NS:
                 fail(r, "INCOMPLETE_FRAGMENT")
-            else:
-                fail(r, "INVALID_FRAGMENT")
+                parts = {}
+            held = parts.get(r.number)
+            if held is not None and held == (r.payload, r.fill_bits):
                 continue
-        parts[r.number] = (r.payload, r.fill_bits)
-        last = r.received_ns
-        if len(parts) == r.total:
-            whole = "".join(parts[k][0] for k in range(1, r.total + 1))
-            out.append((r.received_ns, r.sequence, r.source_id, r.tag, r.channel, whole, parts[r.total][1], None))
-            parts = {}
+            if held is not None:
+                parts = {}
+                if r.number == 1:
+                    fail(r, "INCOMPLETE_FRAGMENT")
+                else:
+                    fail(r, "INVALID_FRAGMENT")
+                    continue
+            parts[r.number] = (r.payload, r.fill_bits)
+            last = r.received_ns
+            if len(parts) == r.total:
+                whole = "".join(parts[k][0] for k in range(1, r.total + 1))
+                out.append((r.received_ns, r.sequence, r.source_id, r.tag, r.channel, whole, parts[r.total][1], None))
+                parts = {}
+        yield shown()
     if parts:
-        fail(rows.iloc[-1], "INCOMPLETE_FRAGMENT")
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ASSEMBLED.split(", ")]).astype({"fill_bits": "Int32"})
+        out = []
+        fail(before, "INCOMPLETE_FRAGMENT")
+        yield shown()
 
 
 def assembled(fragments: DataFrame) -> DataFrame:
     """Complete payloads and failures. Single-part sentences pass in the JVM; only multi-part keys reach Python."""
-    names = [c.split()[0] for c in ASSEMBLED.split(", ")]
-    single = fragments.where("total = 1").withColumn("code", F.lit(None).cast("string")).select(*names)
-    multi = fragments.where("total > 1").select("received_ns", "sequence", "source_id", "tag", "channel", "payload", "fill_bits", "sequence_id", "number", "total")
-    # a key's parts lie within the timeout, so a long-lived key is cut where nothing came for longer than that
-    w = Window.partitionBy("source_id", "tag", "sequence_id", "channel", "total").orderBy("received_ns", "sequence")
-    gap = F.when(F.col("received_ns") - F.lag("received_ns").over(w) > TIMEOUT_NS, 1).otherwise(0)
-    multi = multi.withColumn("gap", gap).withColumn("burst", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
-    return single.unionByName(multi.groupBy("source_id", "tag", "sequence_id", "channel", "total", "burst").applyInPandas(_assemble, ASSEMBLED))
+    single = fragments.where("total = 1").withColumn("code", F.lit(None).cast("string")).select(*_OUTCOME)
+    return single.unionByName(joined_fragments(fragments.where("total > 1")))
+
+
+def joined_fragments(parts: DataFrame) -> DataFrame:
+    """Outcomes of the parts of multi-part sentences. A key's rows are sorted and streamed, so its number of rows doesn't matter."""
+    multi = parts.select(*_OUTCOME[:-1], "sequence_id", "number", "total").repartition(*FRAGMENT_KEY).sortWithinPartitions(*FRAGMENT_KEY, "received_ns", "sequence")
+    kind = parts.schema["sequence"].dataType.simpleString()
+    return multi.mapInPandas(_assemble, f"received_ns bigint, sequence {kind}, source_id string, tag string, channel string, payload string, fill_bits int, code string")
 
 
 def deduplicated(events: DataFrame, keys: tuple[str, ...] = ("mmsi", "message_type", "payload", "fill_bits"), time: str = "received_ns") -> DataFrame:
@@ -89,15 +138,23 @@ def diagnostics(rows: DataFrame, code: str = "code", time: str = "received_ns")
     return rows.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"), F.min(time).alias("first_ns"), F.max(time).alias("last_ns"))
 
 
+def outcomes(lines: DataFrame, source: Column | None = None) -> DataFrame:
+    """What became of ``lines(file, line_no, value)``: a decoded event (code null), or the first step's code that stopped it.
+
+    Parts and repeats only meet within a ``source``, one for all lines unless given. Lines that need no assembly pass without a shuffle until repeats are looked for; parts of sentences are read a second time.
+    """
+    raw = with_record_order(parsed_lines(lines)).withColumnRenamed("code", "line_code").withColumn("source_id", F.lit("log") if source is None else source)
+    framed = nmea.with_envelope(raw).withColumn("code", F.coalesce("line_code", "code"))
+    part = F.col("code").isNull() & (F.col("total") > 1)
+    rows = framed.where(~part).select(*_OUTCOME).unionByName(joined_fragments(framed.where(part)))
+    read = nmea.decoded(rows.withColumnRenamed("code", "before_decoding")).withColumn("code", F.coalesce("before_decoding", "code"))
+    # what has failed repeats nothing: it gets a key of its own
+    w = Window.partitionBy("source_id", "mmsi", "message_type", "payload", "fill_bits", F.when(F.col("code").isNotNull(), F.xxhash64("sequence", "received_ns"))).orderBy("received_ns", "sequence")
+    repeats = F.col("code").isNull() & (F.col("received_ns") - F.lag("received_ns").over(w) <= REPEAT_NS)
+    return read.withColumn("code", F.when(repeats, "DUPLICATE").otherwise(F.col("code"))).drop("before_decoding")
+
+
 def events_of_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, diagnostics) of ``lines(file, line_no, value)``, through all input steps."""
-    raw = parsed_lines(lines)
-    ordered = replay_order(raw.where("code is null").drop("code"))
-    framed = nmea.with_envelope(ordered).withColumn("source_id", F.lit("log"))
-    whole = assembled(framed.where("code is null"))
-    read = nmea.decoded(whole.where("code is null").drop("code"))
-    kept = deduplicated(read.where("code is null"))
-    bad = raw.select("code", "received_ns").union(framed.select("code", "received_ns")).union(whole.select("code", "received_ns")).union(read.select("code", "received_ns"))
-    repeats = read.where("code is null").agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("k")))
-    found = diagnostics(bad).unionByName(repeats.where("n > k").select(F.lit("DUPLICATE").alias("code"), (F.col("n") - F.col("k")).alias("n"), F.lit(None).cast("bigint").alias("first_ns"), F.lit(None).cast("bigint").alias("last_ns")))
-    return kept.drop("code"), found
+    """(events, diagnostics) of ``lines(file, line_no, value)``, through all input steps. Who needs both saves ``outcomes`` once."""
+    found = outcomes(lines)
+    return found.where("code is null").drop("code"), diagnostics(found)

@@ -169,8 +169,12 @@ def oracle_sql() -> dict[str, str]:
         "dedup_1s": "SELECT event_type, count(*) AS kept, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, ns - lag(ns) OVER (PARTITION BY event_type ORDER BY ns, event_id) AS gap FROM (SELECT event_type, event_id, (epoch_us(ts) - 1704067200000000) * 5 AS ns FROM events)) WHERE gap IS NULL OR gap > 1000000000 GROUP BY ALL",
         "log_ingest": f"SELECT mmsi, count(*) AS n FROM ({_REPORTS}) WHERE event_id % 50 <> 0 GROUP BY ALL",
         "log_diagnostics": "SELECT CASE WHEN event_id % 50 = 0 THEN 'INVALID_LOG_LINE' ELSE 'CHECKSUM_MALFORMED' END AS code, count(*) AS n FROM events GROUP BY ALL",
+        "log_replay_days": f"SELECT CAST(day AS DATE) AS day, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, CAST(sum(ordinal * (event_id % 1009)) AS BIGINT) AS order_digest FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts_ns, file, event_id) AS ordinal FROM (SELECT event_id, event_id % 3 AS file, ts_ns // 1000000 * 1000000 AS ts_ns, DATE '1970-01-01' + CAST((ts_ns + {cube.JST_NS}) // {cube.DAY_NS} AS INT) AS day FROM ({_REPORTS}))) GROUP BY ALL",
+        "static_roundtrip": f"""WITH {_UPDATES}, st AS (SELECT *, CAST(floor(seq / 3e0) AS BIGINT) AS k, coalesce(vessel_name, 'NO NAME ' || seq % 100) AS name FROM updates)
+SELECT seq, CASE WHEN seq % 3 = 0 THEN 5 ELSE 24 END AS message_type, mmsi, CASE WHEN seq % 3 = 0 THEN 'A' ELSE 'B' END AS vessel_class, CASE WHEN seq % 3 = 0 THEN nullif(CAST(seq % 100000 AS INT), 0) END AS imo, CASE WHEN seq % 3 <> 1 THEN 'C' || seq % 1000 END AS call_sign,
+  CASE WHEN seq % 3 <> 2 THEN name END AS vessel_name, CASE WHEN seq % 3 <> 1 THEN CAST(seq % 100 AS INT) END AS ship_type, CASE WHEN seq % 3 <> 1 THEN CAST(nullif(seq % 400, 0) AS INT) END AS ship_length_m, CASE WHEN seq % 3 = 0 THEN 'PORT-' || seq % 50 END AS destination FROM st""",
         "metadata_versions": f"WITH {_HISTORY} SELECT * FROM versions",
-        "metadata_as_of": f"WITH reports AS ({_REPORTS}), {_HISTORY} SELECT r.event_id, r.mmsi, v.ship_length_m, v.vessel_name FROM (SELECT * FROM reports WHERE event_id % 10 = 0) r LEFT JOIN versions v ON v.mmsi = r.mmsi AND v.valid_from <= r.ts_ns AND (v.valid_to IS NULL OR r.ts_ns < v.valid_to)",
+        "metadata_as_of": f"WITH reports AS ({_REPORTS}), {_HISTORY} SELECT r.event_id, r.mmsi, v.ship_length_m, v.vessel_name FROM reports r LEFT JOIN versions v ON v.mmsi = r.mmsi AND v.valid_from <= r.ts_ns AND (v.valid_to IS NULL OR r.ts_ns < v.valid_to)",
         "ship_length_reach": f"""{base}, {_DAYS}, {_LENGTHS}, far AS (SELECT length_band, day, vessel_class, mmsi, max(band) AS band, max(band) * 5e0 AS km FROM sized GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY length_band ORDER BY band, day, vessel_class, mmsi) AS k, count(*) OVER (PARTITION BY length_band) AS n FROM far)
 SELECT length_band, count(DISTINCT mmsi) AS vessels, count(*) AS vessel_days, round(avg(km), 6) AS mean_km, count(*) FILTER (km >= 30) AS beyond_30, count(*) FILTER (km >= 50) AS beyond_50, min(band) FILTER (k >= (n + 1) / 2e0) AS median_band, round(count(*) FILTER (km >= 30) * 100e0 / count(*), 6) AS pct_30, round(count(*) FILTER (km >= 50) * 100e0 / count(*), 6) AS pct_50, count(*) >= 30 AND count(DISTINCT mmsi) >= 3 AS sufficient FROM ranked GROUP BY length_band""",
         "ship_length_performance": f"{base}, {_DAYS}, {_LENGTHS} SELECT length_band, band, vessel_class, {_SHOWN}, vessels, days, round({rates.percent('missing', 'observed + missing')} + {_OFF_TIES}, 4) AS loss_pct, round({rates.percent('stale_s', 'observed_s')} + {_OFF_TIES}, 4) AS stale_pct FROM (SELECT length_band, band, vessel_class, count(*) AS observed, CAST(sum(missing) AS BIGINT) AS missing, sum(actual_s) AS observed_s, sum(stale_s) AS stale_s, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days FROM sized GROUP BY ALL)",

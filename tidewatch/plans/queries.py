@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, nmea, rates
@@ -160,7 +160,7 @@ def outside_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a sentence of type 1 or 18, or of static type 5."""
+    """Every event as a sentence of type 1, 2, 3 or 18."""
     df = reports(spark, sf_dir)
     b = nmea.to_bits
     lat, lon = F.round(F.col("lat") * 600000), F.round(F.col("lon") * 600000)
@@ -196,10 +196,15 @@ def dedup_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.deduplicated(df, ("event_type",), "ns").groupBy("event_type").agg(F.count("*").alias("kept"), F.sum("sequence").alias("ids"))
 
 
+def _stamp(ns: str) -> Column:
+    """Time of a log line."""
+    return F.date_format(F.timestamp_micros((F.col(ns) / 1000).cast("bigint") + ingest.JST_US), "yyyyMMddHHmmssSSS")
+
+
 def log_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines written from events, parsed, assembled, decoded and de-duplicated; counts by vessel."""
     df = _encoded(spark, sf_dir)
-    stamp = F.date_format(F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint") + ingest.JST_US), "yyyyMMddHHmmssSSS")
+    stamp = _stamp("ts_ns")
     lines = df.select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 50 == 0, F.lit("broken line")).otherwise(F.concat(stamp, F.lit(" "), F.col("sent"))).alias("value"))
     events, _ = ingest.events_of_lines(lines)
     return events.groupBy("mmsi").agg(F.count("*").alias("n"))
@@ -207,11 +212,49 @@ def log_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _encoded(spark, sf_dir)
-    lines = df.select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 50 == 0, F.lit("broken line")).otherwise(F.concat(F.lit("20240101000000000 "), F.regexp_replace("sent", "[*]..$", "*zz"))).alias("value"))
+    stamp = _stamp("ts_ns")
+    lines = df.select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 50 == 0, F.lit("broken line")).otherwise(F.concat(stamp, F.lit(" "), F.regexp_replace("sent", "[*]..$", "*zz"))).alias("value"))
     _, found = ingest.events_of_lines(lines)
     return found.select("code", "n")
 
 
+def log_replay_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three files merged by day: number, first and last time, and a digest of the order."""
+    df = reports(spark, sf_dir)
+    lines = df.select((F.col("event_id") % 3).cast("string").alias("file"), F.col("event_id").alias("line_no"), F.concat(_stamp("ts_ns"), F.lit(" !AIVDM,x")).alias("value"))
+    merged = ingest.replay_order(ingest.parsed_lines(lines).where("code is null"))
+    days = merged.groupBy("day").agg(F.count("*").alias("n"), F.min("received_ns").alias("first_ns"), F.max("received_ns").alias("last_ns"), F.sum(F.col("ordinal") * (F.col("line_no") % 1009)).alias("order_digest"))
+    return days.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")))
+
+
+def _static_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, part, sent): static updates as type 5 in two parts, as type 24 part A, or as its part B."""
+    df = _updates(spark, sf_dir).withColumn("kind_", F.col("seq") % 3).withColumn("name", F.coalesce("vessel_name", F.concat(F.lit("NO NAME "), (F.col("seq") % 100).cast("string"))))
+    b, letters = nmea.to_bits, nmea.text_bits
+    zero = lambda n: F.lit("0" * n)
+    call, name, port = letters(F.concat(F.lit("C"), (F.col("seq") % 1000).cast("string")), 42), letters(F.col("name"), 120), letters(F.concat(F.lit("PORT-"), (F.col("seq") % 50).cast("string")), 120)
+    bow = F.floor(F.col("seq") % 400 / 3)
+    size = F.concat(b(bow, 9), b(F.col("seq") % 400 - bow, 9))
+    head = lambda t: F.concat(b(F.lit(t), 6), zero(2), b(F.col("mmsi"), 30))
+    five = F.concat(head(5), zero(2), b(F.col("seq") % 100000, 30), call, name, b(F.col("seq") % 100, 8), size, zero(44), port, zero(2))
+    part_a, part_b = F.concat(head(24), b(F.lit(0), 2), name, zero(8)), F.concat(head(24), b(F.lit(1), 2), b(F.col("seq") % 100, 8), zero(42), call, size, zero(18))
+    df = held(df, "payload_", nmea.armoured(F.when(F.col("kind_") == 0, five).when(F.col("kind_") == 1, part_a).otherwise(part_b)))
+    mark = F.col("seq") % 10
+    first, second = nmea.sentence(F.left("payload_", F.lit(60)), None, 2, 1, mark), nmea.sentence(F.substring("payload_", 61, 20), F.lit("2"), 2, 2, mark)
+    whole = F.array(F.when(F.col("kind_") == 0, first).otherwise(nmea.sentence(F.col("payload_"))), F.when(F.col("kind_") == 0, second))
+    return df.select("seq", "ts_ns", F.posexplode(F.array_compact(whole)).alias("part", "sent"))
+
+
+def static_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, call signs, sizes and destinations as log lines, some in two parts, read back through all input steps; ``seq`` is the line's file."""
+    df = _static_sentences(spark, sf_dir)
+    lines = df.select(F.col("seq").cast("string").alias("file"), F.col("part").alias("line_no"), F.concat(_stamp("ts_ns"), F.lit(" "), "sent").alias("value"))
+    # every update is a source of its own here, so that neither parts nor repeats of different ones meet
+    found = ingest.outcomes(lines, F.col("file"))
+    shown = ["imo", "call_sign", "vessel_name", "ship_type", "ship_length_m", "destination"]
+    return found.where("code is null").select(F.split("sequence", ":")[0].cast("bigint").alias("seq"), "message_type", "mmsi", "vessel_class", *shown)
+
+
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static updates derived from events: sparse lengths and names."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25 + 431000000).cast("int").alias("mmsi"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
@@ -394,7 +437,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         loss_by_distance_class, course_state, report_intervals, exclusion_counts, run_summary, snapshot, projection, receiver_distance, bucket_split, missing_positions, grid_allocation, interval_nanoseconds,
-        cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, log_ingest, log_diagnostics,
+        cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
         metadata_versions, metadata_as_of, ship_length_reach, ship_length_performance, ship_length_coverage, daily_quality, pooled_jeffreys, model_parameters, model_with_bootstrap, ideal_transmissions,
         deterministic_uniform, reception_decisions, validation_mae, legacy_bins, legacy_vessels, legacy_summary, legacy_diagnostics, gap_histogram, type5_asof_distance, rolling_7_30, monthly_of_daily, spearman_trend,
         year_comparison, position_density,
