@@ -33,7 +33,7 @@ def with_envelope(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Add the seven fields and ``code``: the first thing that is wrong, null for a good sentence."""
     s = F.col(sentence)
     parts = F.split(F.regexp_replace(s, r"\*[^*]*$", ""), ",", -1)
-    df = df.withColumn("f_", parts)
+    df = held(df, "f_", parts)
     field = lambda k: F.get("f_", F.lit(k))
     df = df.withColumns({"tag": field(0), "total": field(1).try_cast("int"), "number": field(2).try_cast("int"), "sequence_id": field(3), "channel": field(4), "payload": field(5), "fill_bits": field(6).try_cast("int")})
     ints = F.col("total").isNull() | F.col("number").isNull() | F.col("fill_bits").isNull()
@@ -44,17 +44,20 @@ def with_envelope(df: DataFrame, sentence: str = "sentence") -> DataFrame:
         F.when(F.size("f_") != 7, "INVALID_NMEA_FORMAT").when(~F.col("tag").isin("!AIVDM", "!AIVDO"), "UNSUPPORTED_NMEA_SENTENCE").when(ints, "INVALID_NMEA_FORMAT")
         .when(~ranges, "INVALID_FRAGMENT").when(F.col("payload") == "", "INVALID_NMEA_FORMAT").when(state != "VALID", F.concat(F.lit("CHECKSUM_"), state))
     )
-    return df.withColumn("code", code).drop("f_", "state_")
+    return held(df.drop("code"), "code", code).drop("f_", "state_")
 
 
-def words(payload: Column) -> Column:
-    """The first 480 bits of an armoured payload as eight numbers of 60 bits, zeros behind its end; null if a character is outside the alphabet.
+def packed(payload: Column) -> Column:
+    """The first 480 bits of an armoured payload as hex digits, zeros behind its end; null if a character is outside the alphabet.
 
     Both the armour and base64 spell six bits a character, so one translation unpacks the whole payload.
     """
-    packed = F.hex(F.unbase64(F.translate(F.rpad(payload, 80, "0"), ARMOUR, BASE64)))
-    held_words = [F.conv(F.substring(packed, 15 * k + 1, 15), 16, 10).cast("bigint") for k in range(8)]
-    return F.when(payload.rlike("^[0-W`-w]+$"), F.array(*held_words))
+    return F.when(payload.rlike("^[0-W`-w]+$"), F.hex(F.unbase64(F.translate(F.rpad(payload, 80, "0"), ARMOUR, BASE64))))
+
+
+def words(digits: Column) -> Column:
+    """Eight numbers of 60 bits of what ``packed`` gave; hold that in a column first, it would be computed for each of them."""
+    return F.when(digits.isNotNull(), F.array(*[F.conv(F.substring(digits, 15 * k + 1, 15), 16, 10).cast("bigint") for k in range(8)]))
 
 
 def unsigned(w: Column, start: int, n: int) -> Column:
@@ -95,7 +98,7 @@ def _position_words(w: Column, message_type: Column) -> Column:
 
 def decoded(df: DataFrame, payload: str = "payload", fill: str = "fill_bits") -> DataFrame:
     """Fields of types 1, 2, 3, 18, 5 and 24, and ``code`` for what can't be decoded."""
-    df = held(df, "b", words(F.col(payload))).withColumn("n_bits", F.length(payload) * 6 - F.col(fill))
+    df = held(held(df, "packed_", packed(F.col(payload))), "b", words(F.col("packed_"))).withColumn("n_bits", F.length(payload) * 6 - F.col(fill))
     b = F.col("b")
     df = held(df, "message_type", F.when(F.col("n_bits") >= 38, unsigned(b, 0, 6)).cast("int")).withColumn("mmsi", unsigned(b, 8, 30).cast("int"))
     df = held(df, "p", _position_words(b, F.col("message_type")))
@@ -114,14 +117,14 @@ def decoded(df: DataFrame, payload: str = "payload", fill: str = "fill_bits") ->
     )
     aux = F.floor(F.col("mmsi") / 10_000_000) == 98
     length = F.when(t == 5, unsigned(b, 240, 9) + unsigned(b, 249, 9)).when((t == 24) & (part == 1) & ~aux, unsigned(b, 132, 9) + unsigned(b, 141, 9))
-    return df.withColumn("code", code).withColumns({
+    return held(df, "code", code).withColumns({
         "sog": F.when(speed < 1023, speed / 10.0), "cog": F.when(course < 3600, course / 10.0), "heading": F.when(head < 360, head.cast("double")), "nav_status": F.when(position_a, unsigned(b, 38, 4)).cast("int"),
         "class_b_mode": F.when(position_b, F.when(unsigned(b, 141, 1) == 1, "CARRIER_SENSE").otherwise("SELF_ORGANIZING")), "assigned": F.when(position_b, unsigned(b, 146, 1) == 1),
         "imo": F.when(t == 5, F.nullif(unsigned(b, 40, 30), F.lit(0))).cast("int"), "call_sign": F.when(t == 5, text(b, 70, 42)).when((t == 24) & (part == 1), text(b, 90, 42)),
         "vessel_name": F.when(t == 5, text(b, 112, 120)).when((t == 24) & (part == 0), text(b, 40, 120)), "ship_type": F.when(t == 5, unsigned(b, 232, 8)).when((t == 24) & (part == 1), unsigned(b, 40, 8)).cast("int"),
         "ship_length_m": F.nullif(length, F.lit(0)).cast("int"), "destination": F.when((t == 5) & (F.col("n_bits") >= 422), text(b, 302, 120)),
         "vessel_class": F.when(t.isin(18, 24), "B").otherwise("A"),
-    }).drop("b", "p", "n_bits")
+    }).drop("b", "p", "n_bits", "packed_")
 
 
 def to_bits(value: Column, n: int) -> Column:
@@ -138,10 +141,9 @@ def text_bits(value: Column, n: int) -> Column:
 def armoured(b: Column) -> Column:
     """Payload of a bit string, padded with zero bits to whole characters."""
     pairs = F.ceil(F.length(b) / 120).cast("int")
-    whole = F.rpad(b, pairs * 120, F.lit("0"))
-    word = lambda k: F.lpad(F.conv(F.substring(whole, k * 60 + 1, F.lit(60)), 2, 16), 15, "0")
-    packed = F.array_join(F.transform(F.sequence(F.lit(0), pairs * 2 - 1), word), "")
-    return F.left(F.translate(F.base64(F.unhex(packed)), BASE64, ARMOUR), F.ceil(F.length(b) / 6).cast("int"))
+    word = lambda k: F.lpad(F.conv(F.rpad(F.substring(b, k * 60 + 1, F.lit(60)), 60, "0"), 2, 16), 15, "0")
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), pairs * 2 - 1), word), "")
+    return F.left(F.translate(F.base64(F.unhex(digits)), BASE64, ARMOUR), F.ceil(F.length(b) / 6).cast("int"))
 
 
 def sentence(payload: Column, fill: Column | None = None, total: int = 1, number: int = 1, sequence_id: Column | None = None) -> Column:

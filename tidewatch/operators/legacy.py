@@ -41,12 +41,13 @@ def distance_bins(intervals: DataFrame, keys: tuple[str, ...] = ("mmsi", "catego
     return out.withColumn("loss_pct", F.when(F.col("expected") > 0, F.col("loss") * 100.0 / F.col("expected")).otherwise(0.0))
 
 
-def vessel_totals(intervals: DataFrame, least: int = 100) -> DataFrame:
-    """Per vessel and category with at least ``least`` messages."""
+def vessel_totals(intervals: DataFrame, least: int | dict[int, int] = 100) -> DataFrame:
+    """Per vessel and category with at least ``least`` messages, the same for all categories or by category (``LEAST_MESSAGES``)."""
     df = intervals.groupBy("mmsi", "category").agg(
         F.count("*").alias("total"), F.sum("loss").alias("loss"), F.max(F.floor(F.col("actual_s") + 0.5)).cast("bigint").alias("max_s"), F.avg(F.floor(F.col("actual_s") + 0.5)).alias("avg_s"), F.max(F.when(F.col("loss") > 0, F.col("start_km"))).alias("max_lossy_km")
     )
-    return df.where(F.col("total") >= least).withColumn("loss_pct", F.col("loss") * 100.0 / (F.col("total") + F.col("loss")))
+    floor = F.lit(least) if isinstance(least, int) else F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("category")]
+    return df.where(F.col("total") >= floor).withColumn("loss_pct", F.col("loss") * 100.0 / (F.col("total") + F.col("loss")))
 
 
 def across_vessels(totals: DataFrame) -> DataFrame:
@@ -78,6 +79,17 @@ def by_period(daily: DataFrame, key: str) -> DataFrame:
     return df.withColumn("loss_pct", F.expr(rates.percent("loss", "observed + loss")))
 
 
+def matched_period(daily: DataFrame, last: str) -> DataFrame:
+    """Days up to month and day ``last`` (MM-DD) of each year, so that years of different length compare."""
+    return daily.where(F.date_format("day", "MM-dd") <= last)
+
+
+def weekday_means(daily_rates: DataFrame) -> DataFrame:
+    """Mean observed and expected messages a day, by weekday (1 is Monday) and category."""
+    day = (F.weekday("day") + 1).alias("weekday")
+    return daily_rates.groupBy(day, "category").agg(F.count("*").alias("days"), F.avg("observed").alias("mean_observed"), F.avg(F.col("observed") + F.col("loss")).alias("mean_expected"))
+
+
 def rolling(daily_rates: DataFrame, window: int, least: int, value: str = "loss_pct") -> DataFrame:
     """Mean of the last ``window`` rows of a category, given at least ``least`` of them; rows, not days."""
     w = Window.partitionBy("category").orderBy("day").rowsBetween(1 - window, 0)

@@ -37,3 +37,8 @@ def effective(history: DataFrame, at: DataFrame) -> DataFrame:
     found = asked.unionByName(known, allowMissingColumns=True).withColumn("version", F.last("version", ignorenulls=True).over(w)).where("is_row = 1")
     valid = F.col("version.valid_to").isNull() | (F.col("at_ns") < F.col("version.valid_to"))
     return found.select("row.*", *[F.when(valid, F.col(f"version.{c}")).alias(c) for c in shown])
+
+
+def first_known_length(updates: DataFrame) -> DataFrame:
+    """The first positive length that each vessel reported."""
+    return updates.where("ship_length_m > 0").groupBy("mmsi").agg(F.min_by("ship_length_m", F.struct("ts_ns", "seq")).alias("ship_length_m"))

@@ -130,7 +130,7 @@ model AS (SELECT c.band, c.vessel_class, CASE WHEN direct THEN 'DIRECT' WHEN lo.
 _LEGACY = f"""cats AS (SELECT *, CASE WHEN message_type IN (1, 2, 3) THEN 1 ELSE message_type END AS category FROM rated),
 legacy_pairs AS (SELECT *, lag(km) OVER w AS s_km, lag(expected_here) OVER w AS own_s, lag(ts_ns) OVER w AS s_ns, (ts_ns - lag(ts_ns) OVER w) / 1e9 AS gap_s FROM cats WINDOW w AS (PARTITION BY mmsi, category ORDER BY ts_ns, seq)),
 legacy AS MATERIALIZED (SELECT mmsi, category, gap_s, s_km, s_ns, {rates.losses('gap_s', 'own_s')} AS loss, DATE '1970-01-01' + CAST((s_ns + {cube.JST_NS}) // {cube.DAY_NS} AS INT) AS start_day FROM legacy_pairs WHERE s_ns IS NOT NULL AND gap_s >= 0 AND gap_s < 1800 AND abs(km - s_km) <= 30)"""
-_TOTALS = "totals AS (SELECT mmsi, category, count(*) AS total, CAST(sum(loss) AS BIGINT) AS loss, CAST(max(floor(gap_s + 0.5e0)) AS BIGINT) AS max_s, avg(floor(gap_s + 0.5e0)) AS avg_s, max(s_km) FILTER (loss > 0) AS max_lossy_km, sum(loss) * 100e0 / (count(*) + sum(loss)) AS loss_pct FROM legacy GROUP BY ALL HAVING count(*) >= 10)"
+_TOTALS = "totals AS (SELECT mmsi, category, count(*) AS total, CAST(sum(loss) AS BIGINT) AS loss, CAST(max(floor(gap_s + 0.5e0)) AS BIGINT) AS max_s, avg(floor(gap_s + 0.5e0)) AS avg_s, max(s_km) FILTER (loss > 0) AS max_lossy_km, sum(loss) * 100e0 / (count(*) + sum(loss)) AS loss_pct FROM legacy GROUP BY ALL HAVING count(*) >= CASE category WHEN 5 THEN 10 ELSE 100 END)"
 _DAILY = f"daily AS (SELECT CAST(start_day + CAST(mmsi % 25 * 9 AS INT) AS DATE) AS day, category, mmsi, count(*) AS observed, CAST(sum(loss) AS BIGINT) AS loss FROM legacy GROUP BY ALL), daily_rates AS (SELECT *, {rates.percent('loss', 'observed + loss')} AS loss_pct FROM (SELECT day, category, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(loss) AS BIGINT) AS loss, count(DISTINCT mmsi) AS vessels FROM daily GROUP BY ALL))"
 _RESEARCH = {"year": "strftime(day, '%Y')", "month": "strftime(day, '%Y-%m')", "date": "strftime(day, '%Y-%m-%d')", "weekday": "dayname(day)", "iso_week": "strftime(day, '%G-W%V')"}
 
@@ -201,6 +201,19 @@ SELECT year, category, bin, coalesce(observed, 0) AS observed, coalesce(loss, 0)
     }
     for name, period in _PERIODS.items():
         sql[f"rollup_{name}"] = f"{base}, {_BAND_ROWS} SELECT period, band, vessel_class, {_SHOWN}, vessels, days, {_RATES} FROM {_rolled(period)}"
+        if name != "year":
+            kept = f"(SELECT {period} AS period, band, vessel_class, {_SUMS}, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days FROM parts WHERE day <> DATE '2024-01-03' AND day BETWEEN DATE '2023-12-31' AND DATE '2024-12-31' GROUP BY ALL)"
+            sql[f"stored_rollup_{name}"] = f"{base}, {_BAND_ROWS} SELECT period, band, vessel_class, {_SHOWN}, first_bucket, last_bucket, vessels, days, {_RATES} FROM {kept}"
+    run_days = f"{base}, {_BAND_ROWS}, run_days AS (SELECT DISTINCT day FROM parts)"
+    sql |= {
+        "stored_days": f"{run_days} SELECT s.day, CASE WHEN r.day IS NULL THEN 0 ELSE 1 END AS runs, CASE WHEN s.day = DATE '2024-01-03' THEN 'EXCLUDED' WHEN r.day IS NULL THEN 'MISSING' ELSE 'INCLUDED' END AS state FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-01-12', INTERVAL 1 DAY)) AS DATE) AS day) s LEFT JOIN run_days r ON r.day = s.day",
+        "runs_overlapping": f"{run_days} SELECT * FROM (SELECT 'r' || turn || '-' || strftime(day, '%Y-%m-%d') AS run_id, day, epoch_us(day) + turn AS started_us, CASE WHEN day(day) % 2 = 0 THEN epoch_us(day) + 3600000000 END AS ended_us FROM run_days CROSS JOIN (SELECT unnest([1, 2]) AS turn)) WHERE coalesce(ended_us, started_us) >= 1704153600000000 + 1800000000 AND started_us < 1704153600000000 + 86400000002",
+        "current_aggregate": f"{base}, {_BAND_ROWS} SELECT vessel_class, band, {_SHOWN} FROM (SELECT vessel_class, band, {_SUMS} FROM parts GROUP BY ALL)",
+        "first_known_length": f"WITH {_UPDATES} SELECT mmsi, ship_length_m FROM updates WHERE ship_length_m > 0 QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY ts_ns, seq) = 1",
+        "weekday_means": f"{base}, {_LEGACY}, {_DAILY} SELECT CAST(isodow(day) AS INT) AS weekday, category, count(*) AS days, round(avg(observed), 6) AS mean_observed, round(avg(observed + loss), 6) AS mean_expected FROM daily_rates GROUP BY ALL",
+        "matched_years": f"{base}, {_LEGACY}, {_DAILY} SELECT strftime(day, '%Y') AS period, category, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(loss) AS BIGINT) AS loss, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days, round(sum(loss) * 100e0 / sum(observed + loss), 6) AS loss_pct FROM daily WHERE month(day) < 7 OR (month(day) = 7 AND day(day) <= 3) GROUP BY ALL",
+        "position_density": f"SELECT gx, gy, count(*) AS n FROM (SELECT CAST(floor((lon - {geo.RECEIVER_LON!r} + hx) / (2 * hx / 40)) AS INT) AS gx, CAST(floor((lat - {geo.RECEIVER_LAT!r} + hy) / (2 * hy / 40)) AS INT) AS gy FROM (SELECT lat, lon, 80e0 / 111.32e0 AS hy, 80e0 / (111.32e0 * cos(radians({geo.RECEIVER_LAT!r}))) AS hx FROM ({_REPORTS}))) WHERE gx BETWEEN 0 AND 39 AND gy BETWEEN 0 AND 39 GROUP BY ALL",
+    }
     for name, period in _RESEARCH.items():
         sql[f"research_{name}"] = f"{base}, {_LEGACY}, {_DAILY} SELECT {period} AS period, category, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(loss) AS BIGINT) AS loss, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days, round(sum(loss) * 100e0 / sum(observed + loss), 6) AS loss_pct FROM daily GROUP BY ALL"
     return sql

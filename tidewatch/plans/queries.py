@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, nmea, rates
 from tidewatch.functions.steps import held, with_steps
-from tidewatch.operators import calibrate, cube, ingest, intervals, legacy, metadata, shiplength
+from tidewatch.operators import calibrate, cube, ingest, intervals, legacy, metadata, shiplength, stored
 from tidewatch.operators.reports import reports_of_events
+from tidewatch.sources import store
 
 NS = rates.NS
 
@@ -155,6 +156,52 @@ def daily_distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.where("days > 0").select("band", "vessel_class", "pooled_pct", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "days"), 4)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> store.ResultStore:
+    """Facts and presence of all days, published as a run a day, twice: the first runs are superseded and hold doubled facts."""
+    df = bands(spark, sf_dir).withColumn("day", cube.jst_day(F.col("bucket")))
+    kept = store.ResultStore(spark, store.new_store_path(spark, "runs"))
+    sums = [F.sum(m).alias(m) for m in cube.MEASURES]
+    df.groupBy("day", "bucket", "band", "vessel_class", "mmsi").agg(*sums).write.parquet(f"{kept.path}/work")
+    vessels = spark.read.parquet(f"{kept.path}/work")
+    hour = F.col("bucket") - F.pmod(F.col("bucket"), F.lit(3600 * NS))
+    present = vessels.select("day", hour.alias("hour_ns"), "band", "vessel_class", "mmsi").distinct()
+    facts = vessels.groupBy("day", "bucket", "band", "vessel_class").agg(*sums)
+    started = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
+    for turn in (1, 2):
+        name = F.concat(F.lit(f"r{turn}-"), F.col("day").cast("string")).alias("run_id")
+        runs = vessels.select("day").distinct().select(name, "day", F.lit("f").alias("fingerprint"), F.lit("rx").alias("receiver"), F.lit("p").alias("profile"), (started + turn).alias("started_us"), F.when(F.dayofmonth("day") % 2 == 0, started + 3_600_000_000).alias("ended_us"))
+        doubled = facts if turn == 2 else facts.withColumns({m: F.col(m) * 2 for m in cube.MEASURES})
+        kept.publish_days(runs, {"distance_5m": doubled.select(name, *[c for c in facts.columns if c != "day"]), "presence": present.select(name, *[c for c in present.columns if c != "day"])})
+    return kept
+
+
+EXCLUDED_DAYS = ("2024-01-03",)
+
+
+def _stored_rollup(dimension: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept = _stored(spark, sf_dir)
+        runs = stored.included(kept.runs(), "2023-12-31", "2024-12-31", EXCLUDED_DAYS)
+        return rounded(stored.rollup(kept.read("distance_5m"), kept.read("presence"), runs, dimension), 4)
+
+    return run
+
+
+def stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each day of a range contributes to stored results."""
+    return stored.day_states(_stored(spark, sf_dir).runs(), "2023-12-30", "2024-01-12", EXCLUDED_DAYS)
+
+
+def runs_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published runs, superseded ones too, that reach into half a day."""
+    start = 1_704_153_600_000_000
+    return stored.overlapping(_stored(spark, sf_dir).every_run(), start + 1_800_000_000, start + 86_400_000_002).select("run_id", "day", "started_us", "ended_us")
+
+
+def current_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stored.current(cube.facts(bands(spark, sf_dir), ["band"], distinct=False)), 4)
+
+
 def outside_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.outside_count(accepted(spark, sf_dir))
 
@@ -274,6 +321,10 @@ def metadata_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.effective(history, at).select("event_id", "mmsi", "ship_length_m", "vessel_name")
 
 
+def first_known_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.first_known_length(_updates(spark, sf_dir))
+
+
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updates(spark, sf_dir).where("ship_length_m is not null").select("mmsi", F.col("ts_ns").alias("valid_from"), "ship_length_m").groupBy("mmsi", "valid_from").agg(F.max("ship_length_m").alias("ship_length_m"))
 
@@ -373,11 +424,11 @@ def legacy_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(legacy.vessel_totals(_legacy(spark, sf_dir), 10))
+    return rounded(legacy.vessel_totals(_legacy(spark, sf_dir), legacy.LEAST_MESSAGES))
 
 
 def legacy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(legacy.across_vessels(legacy.vessel_totals(_legacy(spark, sf_dir), 10)))
+    return rounded(legacy.across_vessels(legacy.vessel_totals(_legacy(spark, sf_dir), legacy.LEAST_MESSAGES)))
 
 
 def legacy_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,6 +474,15 @@ def spearman_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(legacy.trends(_daily_rates(spark, sf_dir)))
 
 
+def weekday_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(legacy.weekday_means(_daily_rates(spark, sf_dir)))
+
+
+def matched_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly sums of the days up to the third of July of each year."""
+    return rounded(legacy.by_period(legacy.matched_period(_daily(spark, sf_dir), "07-03"), "YEAR"))
+
+
 def year_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _legacy(spark, sf_dir).withColumn("bin", F.floor(F.col("start_km") / 10).cast("int")).withColumn("day", F.date_add("start_day", (F.col("mmsi") % 3 * 366).cast("int")))
     daily = df.groupBy("day", "category", "bin", "mmsi").agg(F.count("*").alias("observed"), F.sum("loss").alias("loss"))
@@ -440,8 +500,9 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
         metadata_versions, metadata_as_of, ship_length_reach, ship_length_performance, ship_length_coverage, daily_quality, pooled_jeffreys, model_parameters, model_with_bootstrap, ideal_transmissions,
         deterministic_uniform, reception_decisions, validation_mae, legacy_bins, legacy_vessels, legacy_summary, legacy_diagnostics, gap_histogram, type5_asof_distance, rolling_7_30, monthly_of_daily, spearman_trend,
-        year_comparison, position_density,
+        year_comparison, position_density, stored_days, runs_overlapping, current_aggregate, first_known_length, weekday_means, matched_years,
     )
 }
 ALL |= {f"rollup_{d.lower()}": _rollup(d) for d in ("DAY", "DAY_OF_WEEK", "MONTH", "YEAR", "HOUR_OF_DAY")}
 ALL |= {f"research_{k.lower()}": _by_period(k) for k in legacy.PERIOD_KEYS}
+ALL |= {f"stored_rollup_{d.lower()}": _stored_rollup(d) for d in ("DAY", "DAY_OF_WEEK", "MONTH", "HOUR_OF_DAY")}

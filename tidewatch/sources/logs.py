@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.cube import jst_day
 from tidewatch.operators.ingest import parsed_lines
@@ -20,12 +21,25 @@ def read_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
 
 def catalog(lines: DataFrame) -> DataFrame:
-    """Per file: day of the first line that parses (null: unclassified), lines, and a digest of its uncompressed lines."""
+    """Per file: day of the first line that parses (null: unclassified), lines, and a digest of its uncompressed lines in their order.
+
+    The digest sums each line's hash times its place in the file. A place is known only within a split, but the sum is linear
+    in it, so splits are summed first and shifted by the lines before them; a file never meets in one task.
+    """
     df = parsed_lines(lines)
-    mark = F.xxhash64("value")
-    first = F.min_by("received_ns", F.when(F.col("code").isNull(), F.col("line_no")))
-    out = df.groupBy("file").agg(first.alias("first_ns"), F.count("*").alias("n_lines"), F.sum(F.length("value") + 1).alias("n_chars"), F.bit_xor(mark).alias("d1"), F.bit_xor(F.xxhash64(mark, F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("d2"))
-    digest = F.sha2(F.concat_ws(",", "n_lines", "n_chars", "d1", "x", "d2"), 256)
+    line = df.schema["line_no"].dataType
+    split, row = (F.col("line_no.split"), F.col("line_no.row")) if isinstance(line, T.StructType) else (F.lit(0).cast("bigint"), F.col("line_no").cast("bigint"))
+    mark, low = F.xxhash64("value"), F.lit((1 << 31) - 1)
+    df = df.withColumns({"split_": split, "row_": row, "h1_": mark.bitwiseAND(low).cast("decimal(20,0)"), "h2_": F.shiftright(mark, 32).bitwiseAND(low).cast("decimal(20,0)")})
+    first = F.min_by(F.struct("received_ns"), F.when(F.col("code").isNull(), F.col("row_")))
+    sums = [f(c).alias(n) for h in ("h1_", "h2_") for n, f, c in ((f"{h}s", F.sum, F.col(h)), (f"{h}p", F.sum, (F.col(h) * F.col("row_").cast("decimal(12,0)")).cast("decimal(38,0)")))]
+    parts = df.groupBy("file", "split_").agg(first.alias("first_"), F.count("*").alias("n"), F.sum(F.length("value") + 1).alias("chars"), F.min("row_").alias("low_"), *[s.cast("decimal(38,0)").alias(n) for s, n in zip(sums, ("s1", "p1", "s2", "p2"), strict=True)])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("shift_", (before - F.col("low_")).cast("decimal(12,0)"))
+    placed = [F.sum(F.col(f"p{k}") + (F.col(f"s{k}").cast("decimal(25,0)") * F.col("shift_")).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias(f"o{k}") for k in (1, 2)]
+    whole = [F.sum(f"s{k}").cast("decimal(38,0)").cast("string").alias(f"t{k}") for k in (1, 2)]
+    out = parts.groupBy("file").agg(F.min_by("first_.received_ns", F.when(F.col("first_").isNotNull(), F.col("split_"))).alias("first_ns"), F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"), *placed, *whole)
+    digest = F.sha2(F.concat_ws(",", "n_lines", "n_chars", "o1", "o2", "t1", "t2"), 256)
     return out.select("file", F.when(F.col("first_ns").isNotNull(), jst_day(F.col("first_ns"))).alias("day"), "n_lines", "n_chars", digest.alias("digest"))
 
 

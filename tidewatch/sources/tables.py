@@ -26,6 +26,35 @@ def decoded_rows(lines: DataFrame) -> DataFrame:
     return df.withColumn("valid", F.col("local_us").isNotNull() & kind.isNotNull() & F.col("mmsi").isNotNull()).drop("f_")
 
 
+def hourly_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Decoded rows of an archive of hourly files below ``root``: ``hour`` is that of the row's time, or of digits YYMMDDHH in the file's name."""
+    raw = spark.read.option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("file"), "value")
+    df = decoded_rows(raw)
+    named = F.try_to_timestamp(F.nullif(F.regexp_extract("file", r"([0-9]{8})[^/0-9]*$", 1), F.lit("")), F.lit("yyMMddHH"))
+    own = F.date_trunc("hour", F.timestamp_micros("local_us"))
+    return df.withColumn("hour", F.coalesce(own, named)).withColumn("hour_from_name", own.isNull() & named.isNotNull())
+
+
+def daily_results(spark: SparkSession, root: str, max_km: int = 80) -> DataFrame:
+    """Rows of daily result files with a header (date, mmsi, type, bin, observed, loss): ``bin_km`` is the first number of ``bin``.
+
+    Rows without a bin of [0, max_km) or without a count that parses are left out.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("header", True).csv(root)
+    typed = {"day": F.col("date").try_cast("date"), "mmsi": F.col("mmsi").try_cast("int"), "category": F.col("type").try_cast("int"), "bin_km": F.regexp_extract("bin", r"^\s*([0-9]+)", 1).try_cast("int"), "observed": F.col("observed").try_cast("bigint"), "loss": F.col("loss").try_cast("bigint")}
+    df = raw.select(*[c.alias(n) for n, c in typed.items()])
+    return df.where(F.col("day").isNotNull() & F.col("bin_km").between(0, max_km - 1) & F.col("observed").isNotNull() & F.col("loss").isNotNull())
+
+
+def adapted(rows: DataFrame) -> DataFrame:
+    """Older decoded rows as events: local time becomes received_ns, values that stand for nothing become null."""
+    place = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
+    return rows.withColumns({
+        "received_ns": (F.col("local_us") - 9 * 3600 * 1_000_000) * 1000, "sog": F.when((F.col("sog") >= 0) & (F.col("sog") < 102.3), F.col("sog")), "cog": F.when((F.col("cog") >= 0) & (F.col("cog") < 360), F.col("cog")),
+        "heading": F.when((F.col("heading") >= 0) & (F.col("heading") < 360), F.col("heading")), "nav_status": F.when(F.col("nav_status").between(0, 15), F.col("nav_status")), "lat": F.when(place, F.col("lat")), "lon": F.when(place, F.col("lon")),
+    })
+
+
 def table_summary(rows: DataFrame) -> DataFrame:
     """Counts by type of valid rows, repeats and vessels."""
     known = rows.where("valid")
