@@ -10,6 +10,7 @@ import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,7 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, cased: bool = False) -> np.ndarray:
+    """A hash for each word; ``cased`` tells A-Z from a-z."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
@@ -50,7 +52,7 @@ def word_hashes(text: str) -> np.ndarray:
         return np.empty(0, np.uint64)
     up, down = _powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum((_CASED if cased else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
