@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import compression_rules, filter_audit, html_main, ngram_join, packing, quality, secrets, token_rollups, token_store, trie_bpe, vector_dedup, vector_search
+from tidewatch.llm import compression_rules, filter_audit, hard_negatives, html_main, ngram_join, packing, quality, secrets, token_rollups, token_store, trie_bpe, vector_dedup, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html_main.op8_html_extraction,
         "op9_embedding_near_dedup": vector_dedup.op9_embedding_near_dedup,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_quality_rules": compression_rules.op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_counts": token_rollups.OP2_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+    return {"op2_token_counts": token_rollups.OP2_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
