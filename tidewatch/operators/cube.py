@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, rates
-from tidewatch.functions.steps import with_steps
+from tidewatch.functions.steps import held, with_steps
 
 NS, BUCKET_NS, DAY_NS, JST_NS = rates.NS, 300 * rates.NS, 86_400 * rates.NS, 9 * 3600 * rates.NS
 MEASURES = ["observed", "missing", "observed_s", "stale_s"]
+_QUADRATIC = ["qa", "qb", "qc"]
 
 
 def bucket(ns: Column) -> Column:
@@ -57,10 +58,15 @@ def _cuts_on_axis(a: str, b: str) -> Column:
     return F.transform(lines, lambda k: (k * geo.GRID_M - F.col(a)) / (F.col(b) - F.col(a)))
 
 
+def _ordered(cuts: Column) -> Column:
+    """Distinct ratios from 0 to 1, both ends included."""
+    inside = F.filter(cuts, lambda r: (r > 1e-12) & (r < 1 - 1e-12))
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inside)))
+
+
 def _pieces(df: DataFrame, cuts: Column) -> DataFrame:
     """Explode sorted cut ratios to pieces with times piece_ns..piece_end_ns and the midpoint me, mn."""
-    inside = F.filter(cuts, lambda r: (r > 1e-12) & (r < 1 - 1e-12))
-    df = df.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inside))))
+    df = df.withColumn("cuts", _ordered(cuts))
     df = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)))
     df = df.withColumn("r0", F.element_at("cuts", F.col("k"))).withColumn("r1", F.element_at("cuts", F.col("k") + 1)).drop("cuts", "k")
     mid = (F.col("r0") + F.col("r1")) / 2
@@ -69,9 +75,13 @@ def _pieces(df: DataFrame, cuts: Column) -> DataFrame:
     return df.where("piece_ns < piece_end_ns")
 
 
+def _grid_cuts() -> Column:
+    return F.concat(_cuts_on_axis("e0", "e1"), _cuts_on_axis("n0", "n1"))
+
+
 def grid_pieces(intervals: DataFrame) -> DataFrame:
     """Parts of each interval by grid cell (col, row)."""
-    df = _pieces(intervals, F.concat(_cuts_on_axis("e0", "e1"), _cuts_on_axis("n0", "n1")))
+    df = _pieces(intervals, _grid_cuts())
     return df.withColumn("col", F.expr(geo.cell("me"))).withColumn("row", F.expr(geo.cell("mn")))
 
 
@@ -93,15 +103,21 @@ def within_bands(df: DataFrame, km: str) -> DataFrame:
     return df.withColumn("km_", F.expr(km)).withColumn("band", F.explode(F.array_compact(F.array(F.expr(geo.band("km_")))))).drop("km_")
 
 
-def ring_pieces(intervals: DataFrame, center: tuple[float, float] | None = None) -> DataFrame:
-    """Parts of each interval by distance band; cut by circles in the plane, named by the midpoint's spherical distance."""
+def _with_circles(intervals: DataFrame, center: tuple[float, float] | None = None) -> tuple[DataFrame, Column]:
+    """(rows with the coefficients ``_QUADRATIC``, ratios at which they cross the bands' circles)."""
     ce, cn = center or receiver_utm()
     de, dn, fe, fn = F.col("e1") - F.col("e0"), F.col("n1") - F.col("n0"), F.col("e0") - ce, F.col("n0") - cn
     df = intervals.withColumns({"qa": de * de + dn * dn, "qb": 2 * (fe * de + fn * dn), "qc": fe * fe + fn * fn})
     radii = F.array(*[F.lit(geo.BAND_KM * 1000 * k) for k in range(1, geo.BANDS + 1)])
     disc = lambda r: F.col("qb") * F.col("qb") - 4 * F.col("qa") * (F.col("qc") - r * r)
     root = lambda sign: F.transform(F.filter(radii, lambda r: (F.col("qa") > 1e-18) & (disc(r) >= 0)), lambda r: (-F.col("qb") + sign * F.sqrt(disc(r))) / (2 * F.col("qa")))
-    df = _pieces(df, F.concat(root(-1), root(1))).drop("qa", "qb", "qc")
+    return df, F.concat(root(-1), root(1))
+
+
+def ring_pieces(intervals: DataFrame, center: tuple[float, float] | None = None) -> DataFrame:
+    """Parts of each interval by distance band; cut by circles in the plane, named by the midpoint's spherical distance."""
+    df, cuts = _with_circles(intervals, center)
+    df = _pieces(df, cuts).drop(*_QUADRATIC)
     df = with_steps(df, geo.from_utm("me", "mn", "m_lat", "m_lon"), geo.geo_scratch("m_lat"))
     return within_bands(df, geo.receiver_km("m_lat", "m_lon"))
 
@@ -110,17 +126,46 @@ def _counts(df: DataFrame, at: str, place: list[Column], observed: int) -> DataF
     return df.select(bucket(F.col(at)).alias("bucket"), *place, "vessel_class", "mmsi", F.lit(observed).cast("bigint").alias("observed"), F.lit(1 - observed).cast("bigint").alias("missing"), F.lit(0.0).alias("observed_s"), F.lit(0.0).alias("stale_s"))
 
 
-def _durations(pieces: DataFrame, place: list[str]) -> DataFrame:
-    df = split_buckets(pieces, "piece_ns", "piece_end_ns")
-    stale = F.greatest(F.lit(0), F.col("part_end_ns") - F.greatest("part_ns", "stale_start_ns")) / float(NS)
-    return df.select("bucket", *place, "vessel_class", "mmsi", F.lit(0).cast("bigint").alias("observed"), F.lit(0).cast("bigint").alias("missing"), F.col("part_s").alias("observed_s"), stale.alias("stale_s"))
+#: What an interval gives: its start, each missed point, each piece between cuts.
+_START, _MISSED, _PIECE = 0, 1, 2
+_ATOM = "struct<kind:int,r0:double,r1:double,a:bigint,b:bigint>"
+
+
+def _atoms(flat: DataFrame, cuts: Column) -> DataFrame:
+    """Start, missed points and pieces of each projected interval out of one generator: ``kind``, times a..b, and the place me, mn.
+
+    So an interval is computed, read and projected once, whatever it contributes to.
+    """
+    df = held(flat, "cuts_", _ordered(cuts))
+    at = lambda r: F.col("start_ns") + F.floor(F.col("delta_ns") * r + 0.5).cast("bigint")
+    atom = lambda kind, r0, r1, a, b: F.struct(F.lit(kind).alias("kind"), r0.alias("r0"), r1.alias("r1"), a.alias("a"), b.alias("b"))
+    start = F.array(atom(_START, F.lit(0.0), F.lit(0.0), F.col("start_ns"), F.col("start_ns")))
+    step = lambda i: F.floor(i * F.col("expected_s") * NS + 0.5).cast("bigint")
+    missed = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("missing")), lambda i: atom(_MISSED, step(i) / F.col("delta_ns"), step(i) / F.col("delta_ns"), F.col("start_ns") + step(i), F.col("start_ns") + step(i)))
+    cut = lambda k: F.element_at("cuts_", k)
+    pieces = F.transform(F.sequence(F.lit(1), F.size("cuts_") - 1), lambda k: atom(_PIECE, cut(k), cut(k + 1), at(cut(k)), at(cut(k + 1))))
+    some = F.when(F.col("missing") > 0, missed.cast(f"array<{_ATOM}>")).otherwise(F.array().cast(f"array<{_ATOM}>"))
+    every = F.concat(start.cast(f"array<{_ATOM}>"), some, F.filter(pieces, lambda x: x["a"] < x["b"]).cast(f"array<{_ATOM}>"))
+    df = df.select("vessel_class", "mmsi", "stale_start_ns", "start_km", "e0", "n0", "e1", "n1", F.inline(every))
+    mid = (F.col("r0") + F.col("r1")) / 2
+    return df.withColumns({"me": F.col("e0") + (F.col("e1") - F.col("e0")) * mid, "mn": F.col("n0") + (F.col("n1") - F.col("n0")) * mid})
+
+
+def _measured(atoms: DataFrame, place: list[str]) -> DataFrame:
+    """Atoms with a place, cut at buckets: (bucket, place, vessel_class, mmsi, measures)."""
+    buckets = F.when(F.col("kind") == _PIECE, F.sequence(bucket(F.col("a")), bucket(F.col("b") - 1), F.lit(BUCKET_NS))).otherwise(F.array(bucket(F.col("a"))))
+    df = atoms.withColumn("bucket", F.explode(buckets))
+    lo, hi = F.greatest("a", "bucket"), F.least(F.col("b"), F.col("bucket") + BUCKET_NS)
+    stale = F.greatest(F.lit(0), hi - F.greatest(lo, F.col("stale_start_ns"))) / float(NS)
+    one = lambda kind: (F.col("kind") == kind).cast("bigint")
+    lasting = lambda c: F.when(F.col("kind") == _PIECE, c).otherwise(0.0)
+    return df.select("bucket", *place, "vessel_class", "mmsi", one(_START).alias("observed"), one(_MISSED).alias("missing"), lasting((hi - lo) / float(NS)).alias("observed_s"), lasting(stale).alias("stale_s"))
 
 
 def cell_contributions(intervals: DataFrame) -> DataFrame:
     """(bucket, col, row, vessel_class, mmsi, measures) before they are summed."""
-    flat = projected(intervals)
-    place = lambda e, n: [F.expr(geo.cell(e)).alias("col"), F.expr(geo.cell(n)).alias("row")]
-    return _counts(flat, "start_ns", place("e0", "n0"), 1).union(_counts(missing_positions(flat), "at_ns", place("pe", "pn"), 0)).union(_durations(grid_pieces(flat), ["col", "row"]))
+    atoms = _atoms(projected(intervals), _grid_cuts())
+    return _measured(atoms.withColumn("col", F.expr(geo.cell("me"))).withColumn("row", F.expr(geo.cell("mn"))), ["col", "row"])
 
 
 def band_counts(flat: DataFrame) -> DataFrame:
@@ -130,8 +175,9 @@ def band_counts(flat: DataFrame) -> DataFrame:
 
 
 def band_contributions(intervals: DataFrame) -> DataFrame:
-    flat = projected(intervals)
-    return band_counts(flat).union(_durations(ring_pieces(flat), ["band"]))
+    """(bucket, band, vessel_class, mmsi, measures) before they are summed; a start lies where its report does."""
+    df = with_steps(_atoms(*_with_circles(projected(intervals))), geo.from_utm("me", "mn", "m_lat", "m_lon"), geo.geo_scratch("m_lat"))
+    return _measured(within_bands(df, f"CASE WHEN kind = {_START} THEN start_km ELSE {geo.receiver_km('m_lat', 'm_lon')} END"), ["band"])
 
 
 def outside_count(intervals: DataFrame) -> DataFrame:

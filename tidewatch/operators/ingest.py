@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import nmea
+from tidewatch.operators import fragments
 
 NS = 1_000_000_000
-TIMEOUT_NS, REPEAT_NS, JST_US = 30 * NS, NS, 9 * 3600 * 1_000_000
+REPEAT_NS, JST_US = NS, 9 * 3600 * 1_000_000
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
@@ -63,68 +61,14 @@ def replay_load(records: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
     return replay_order(records.where(inside)), span
 
 
-FRAGMENT_KEY = ["source_id", "tag", "sequence_id", "channel", "total"]
-_OUTCOME = ["received_ns", "sequence", "source_id", "tag", "channel", "payload", "fill_bits", "code"]
-
-
-def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """State machine of a key (``FRAGMENT_KEY``) over rows sorted by key and arrival; it holds the parts of one sentence."""
-    key, before = None, None
-    parts: dict[int, tuple[str, int]] = {}
-    last = 0
-    out: list[tuple] = []
-
-    def fail(r, code: str) -> None:
-        out.append((r.received_ns, r.sequence, r.source_id, r.tag, r.channel, None, None, code))
-
-    def shown() -> pd.DataFrame:
-        return pd.DataFrame(out, columns=_OUTCOME).astype({"fill_bits": "Int32"})
-
-    for rows in batches:
-        out = []
-        for r in rows.itertuples(index=False):
-            own = (r.source_id, r.tag, r.sequence_id, r.channel, r.total)
-            if own != key and parts:
-                fail(before, "INCOMPLETE_FRAGMENT")
-                parts = {}
-            key, before = own, r
-            if parts and r.received_ns - last > TIMEOUT_NS:
-                fail(r, "INCOMPLETE_FRAGMENT")
-                parts = {}
-            held = parts.get(r.number)
-            if held is not None and held == (r.payload, r.fill_bits):
-                continue
-            if held is not None:
-                parts = {}
-                if r.number == 1:
-                    fail(r, "INCOMPLETE_FRAGMENT")
-                else:
-                    fail(r, "INVALID_FRAGMENT")
-                    continue
-            parts[r.number] = (r.payload, r.fill_bits)
-            last = r.received_ns
-            if len(parts) == r.total:
-                whole = "".join(parts[k][0] for k in range(1, r.total + 1))
-                out.append((r.received_ns, r.sequence, r.source_id, r.tag, r.channel, whole, parts[r.total][1], None))
-                parts = {}
-        yield shown()
-    if parts:
-        out = []
-        fail(before, "INCOMPLETE_FRAGMENT")
-        yield shown()
-
-
-def assembled(fragments: DataFrame) -> DataFrame:
-    """Complete payloads and failures. Single-part sentences pass in the JVM; only multi-part keys reach Python."""
-    single = fragments.where("total = 1").withColumn("code", F.lit(None).cast("string")).select(*_OUTCOME)
-    return single.unionByName(joined_fragments(fragments.where("total > 1")))
-
-
-def joined_fragments(parts: DataFrame) -> DataFrame:
-    """Outcomes of the parts of multi-part sentences. A key's rows are sorted and streamed, so its number of rows doesn't matter."""
-    multi = parts.select(*_OUTCOME[:-1], "sequence_id", "number", "total").repartition(*FRAGMENT_KEY).sortWithinPartitions(*FRAGMENT_KEY, "received_ns", "sequence")
-    kind = parts.schema["sequence"].dataType.simpleString()
-    return multi.mapInPandas(_assemble, f"received_ns bigint, sequence {kind}, source_id string, tag string, channel string, payload string, fill_bits int, code string")
+_OUTCOME = fragments.OUTCOME
+
+
+def assembled(parts: DataFrame) -> DataFrame:
+    """Complete payloads and failures. Single-part sentences pass in the JVM; only parts of several reach Python."""
+    single = parts.where("total = 1").withColumn("code", F.lit(None).cast("string")).select(*_OUTCOME)
+    clock = parts.select("received_ns", F.lit(True).alias("is_fragment"))
+    return single.unionByName(fragments.assembled_parts(parts.where("total > 1"), clock))
 
 
 def deduplicated(events: DataFrame, keys: tuple[str, ...] = ("mmsi", "message_type", "payload", "fill_bits"), time: str = "received_ns") -> DataFrame:
@@ -141,12 +85,19 @@ def diagnostics(rows: DataFrame, code: str = "code", time: str = "received_ns")
 def outcomes(lines: DataFrame, source: Column | None = None) -> DataFrame:
     """What became of ``lines(file, line_no, value)``: a decoded event (code null), or the first step's code that stopped it.
 
-    Parts and repeats only meet within a ``source``, one for all lines unless given. Lines that need no assembly pass without a shuffle until repeats are looked for; parts of sentences are read a second time.
+    Parts and repeats only meet within a ``source``, one for all lines unless given. Lines that need no assembly pass without a shuffle until repeats are looked for; parts of
+    sentences are read and written apart when this is called (see ``fragments``), and lines once more for their times where sentences stay incomplete.
     """
     raw = with_record_order(parsed_lines(lines)).withColumnRenamed("code", "line_code").withColumn("source_id", F.lit("log") if source is None else source)
     framed = nmea.with_envelope(raw).withColumn("code", F.coalesce("line_code", "code"))
     part = F.col("code").isNull() & (F.col("total") > 1)
-    rows = framed.where(~part).select(*_OUTCOME).unionByName(joined_fragments(framed.where(part)))
+    clock = framed.where("received_ns IS NOT NULL").select("received_ns", F.col("code").isNull().alias("is_fragment"))
+    rows = framed.where(~part).select(*_OUTCOME).unionByName(fragments.assembled_parts(framed.where(part), clock))
+    return finished(rows)
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Whole payloads decoded and repeats marked; ``rows`` are those of ``fragments.OUTCOME``."""
     read = nmea.decoded(rows.withColumnRenamed("code", "before_decoding")).withColumn("code", F.coalesce("before_decoding", "code"))
     # what has failed repeats nothing: it gets a key of its own
     w = Window.partitionBy("source_id", "mmsi", "message_type", "payload", "fill_bits", F.when(F.col("code").isNotNull(), F.xxhash64("sequence", "received_ns"))).orderBy("received_ns", "sequence")

@@ -135,6 +135,24 @@ _DAILY = f"daily AS (SELECT CAST(start_day + CAST(mmsi % 25 * 9 AS INT) AS DATE)
 _RESEARCH = {"year": "strftime(day, '%Y')", "month": "strftime(day, '%Y-%m')", "date": "strftime(day, '%Y-%m-%d')", "weekday": "dayname(day)", "iso_week": "strftime(day, '%G-W%V')"}
 
 
+#: One part after the other of every key, by recursion; what is open is a part, since sentences have two.
+_FRAGMENTS = """WITH RECURSIVE timed AS (SELECT event_id, user_id, event_type, ((epoch_us(ts) - 1704067200000000) // 50000) * 1000000 AS ns, event_id % 8 AS way FROM events),
+places AS (SELECT * FROM (VALUES (0, 1, 2, 0, '', 0), (3, 1, 2, 0, '', 0), (4, 1, 2, 0, '', 0), (5, 1, 2, 0, '', 0), (7, 1, 2, 0, '', 0), (1, 2, 2, 0, '', 0), (2, 2, 2, 0, '', 0), (6, 1, 1, 0, '', 0), (2, 1, 2, 100, '', 1), (3, 1, 2, 50, '', 1), (4, 1, 2, 50, 'x', 1), (1, 2, 2, 50, 'x', 1),
+  (3, 2, 2, 100, '', 2), (4, 2, 2, 100, '', 2), (5, 2, 2, 9000, '', 2), (7, 2, 2, 100, '', 2)) AS t(way, number, total, ms, mark, place)),
+sent AS MATERIALIZED (SELECT ns + ms * CAST(1000000 AS BIGINT) AS ns, event_id * 4 + place AS seq, total, number, event_type || number || mark AS payload, CASE WHEN total = 2 AND number = 2 THEN 2 ELSE 0 END AS fill, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS channel, (event_id % 10) * 2 + user_id % 2 AS key FROM timed JOIN places USING (way)),
+multi AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ns, seq) AS k FROM sent WHERE total = 2),
+steps AS (SELECT key, CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS held, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS ns, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS payload, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS gone, CAST(NULL AS BIGINT) AS gone_seq FROM (SELECT DISTINCT key FROM multi)
+  UNION ALL SELECT key, k, CASE WHEN open IS NULL OR (open = number AND (body = payload OR number = 1)) THEN number END, CASE WHEN open = number AND body = payload THEN body ELSE payload END, CASE WHEN open = number AND body = payload THEN last ELSE ns END, CASE WHEN open = number AND body = payload THEN first ELSE seq END,
+    ns, CASE WHEN open = number AND number = 1 THEN first ELSE seq END, CASE WHEN open <> number THEN CASE WHEN number = 2 THEN body || payload ELSE payload || body END END,
+    CASE WHEN open = number AND body <> payload THEN CASE WHEN number = 1 THEN 'INCOMPLETE_FRAGMENT' ELSE 'INVALID_FRAGMENT' END WHEN open <> number THEN 'WHOLE' END, CASE WHEN late THEN last END, CASE WHEN late THEN first END
+  FROM (SELECT m.*, s.body, s.last, s.first, s.held IS NOT NULL AND m.ns - s.last > 30000000000 AS late, CASE WHEN m.ns - s.last <= 30000000000 THEN s.held END AS open FROM steps s JOIN multi m ON m.key = s.key AND m.k = s.k + 1)),
+expired AS (SELECT key, gone, gone_seq FROM steps WHERE gone IS NOT NULL UNION ALL SELECT key, last, first FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1) WHERE held IS NOT NULL),
+named AS (SELECT DISTINCT key, channel FROM sent)
+SELECT ns AS received_ns, seq AS sequence, channel, payload, fill AS fill_bits, CAST(NULL AS VARCHAR) AS code FROM sent WHERE total = 1
+UNION ALL SELECT ns, seq, channel, payload, CASE WHEN code = 'WHOLE' THEN 2 END, nullif(code, 'WHOLE') FROM steps JOIN named USING (key) WHERE code IS NOT NULL
+UNION ALL SELECT coalesce(f.ns, (SELECT max(ns) FROM sent)), gone_seq, channel, NULL, NULL, 'INCOMPLETE_FRAGMENT' FROM (SELECT *, gone + 30000000000 AS due FROM expired) e JOIN named USING (key) ASOF LEFT JOIN (SELECT DISTINCT ns FROM sent) f ON f.ns > e.due"""
+
+
 def _round(columns: str, doubles: str, digits: int = 6) -> str:
     return ", ".join([*columns.split(), *(f"round({d}, {digits}) AS {d}" for d in doubles.split())])
 
@@ -167,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "decode_roundtrip": f"SELECT event_id, message_type, mmsi, CASE WHEN message_type = 18 THEN 'B' ELSE 'A' END AS vessel_class, round(sog, 6) AS sog, round(cog, 6) AS cog, heading, nav_status, round(round(lat * 600000) / 600000e0, 6) AS lat, round(round(lon * 600000) / 600000e0, 6) AS lon FROM ({_REPORTS})",
         "checksum": "SELECT event_id, upper(printf('%02x', list_reduce([ascii(c) FOR c IN string_split(body, '')], lambda a, x: xor(a, x)))) AS checksum, CASE event_id % 5 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'MALFORMED' WHEN 2 THEN 'INVALID' ELSE 'VALID' END AS state FROM (SELECT event_id, 'AIVDM,' || event_type || props AS body FROM events)",
         "dedup_1s": "SELECT event_type, count(*) AS kept, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, ns - lag(ns) OVER (PARTITION BY event_type ORDER BY ns, event_id) AS gap FROM (SELECT event_type, event_id, (epoch_us(ts) - 1704067200000000) * 5 AS ns FROM events)) WHERE gap IS NULL OR gap > 1000000000 GROUP BY ALL",
+        "fragment_outcomes": _FRAGMENTS,
         "log_ingest": f"SELECT mmsi, count(*) AS n FROM ({_REPORTS}) WHERE event_id % 50 <> 0 GROUP BY ALL",
         "log_diagnostics": "SELECT CASE WHEN event_id % 50 = 0 THEN 'INVALID_LOG_LINE' ELSE 'CHECKSUM_MALFORMED' END AS code, count(*) AS n FROM events GROUP BY ALL",
         "log_replay_days": f"SELECT CAST(day AS DATE) AS day, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, CAST(sum(ordinal * (event_id % 1009)) AS BIGINT) AS order_digest FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts_ns, file, event_id) AS ordinal FROM (SELECT event_id, event_id % 3 AS file, ts_ns // 1000000 * 1000000 AS ts_ns, DATE '1970-01-01' + CAST((ts_ns + {cube.JST_NS}) // {cube.DAY_NS} AS INT) AS day FROM ({_REPORTS}))) GROUP BY ALL",

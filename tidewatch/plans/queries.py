@@ -243,6 +243,28 @@ def dedup_1s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.deduplicated(df, ("event_type",), "ns").groupBy("event_type").agg(F.count("*").alias("kept"), F.sum("sequence").alias("ids"))
 
 
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sentences of one or two parts, on squeezed time: parts lost, swapped, repeated, changed or seconds apart."""
+    ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 50_000).cast("bigint")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (ms * 1_000_000).alias("ns"), (F.col("event_id") % 8).alias("way"))
+
+    def part(*ways: int, number: int = 1, total: int = 2, after_ms: int = 0, mark: str = "", place: int = 0) -> Column:
+        made = F.struct((F.col("ns") + after_ms * 1_000_000).alias("received_ns"), (F.col("event_id") * 4 + place).alias("sequence"), F.lit(total).alias("total"), F.lit(number).alias("number"), F.concat("event_type", F.lit(f"{number}{mark}")).alias("payload"))
+        return F.when(F.col("way").isin(*ways), made)
+
+    sent = F.array_compact(F.array(
+        part(0, 3, 4, 5, 7), part(1, 2, number=2), part(6, total=1), part(2, after_ms=100, place=1), part(3, after_ms=50, place=1), part(4, after_ms=50, place=1, mark="x"), part(1, number=2, after_ms=50, place=1, mark="x"),
+        part(3, 4, number=2, after_ms=100, place=2), part(5, number=2, after_ms=9000, place=2), part(7, number=2, after_ms=100, place=2)))
+    df = e.select("event_id", "user_id", F.explode(sent).alias("p")).select("event_id", "user_id", "p.*")
+    fill = F.when((F.col("total") == 2) & (F.col("number") == 2), 2).otherwise(0)
+    return df.select("received_ns", "sequence", F.lit("rx").alias("source_id"), F.lit("!AIVDM").alias("tag"), "total", "number", (F.col("event_id") % 10).cast("string").alias("sequence_id"), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("channel"), "payload", fill.alias("fill_bits"))
+
+
+def fragment_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every sentence: its whole payload, or why its parts came to nothing and when that was noticed."""
+    return ingest.assembled(_fragments(spark, sf_dir)).select("received_ns", "sequence", "channel", "payload", "fill_bits", "code")
+
+
 def _stamp(ns: str) -> Column:
     """Time of a log line."""
     return F.date_format(F.timestamp_micros((F.col(ns) / 1000).cast("bigint") + ingest.JST_US), "yyyyMMddHHmmssSSS")
@@ -497,7 +519,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         loss_by_distance_class, course_state, report_intervals, exclusion_counts, run_summary, snapshot, projection, receiver_distance, bucket_split, missing_positions, grid_allocation, interval_nanoseconds,
-        cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
+        cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, fragment_outcomes, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
         metadata_versions, metadata_as_of, ship_length_reach, ship_length_performance, ship_length_coverage, daily_quality, pooled_jeffreys, model_parameters, model_with_bootstrap, ideal_transmissions,
         deterministic_uniform, reception_decisions, validation_mae, legacy_bins, legacy_vessels, legacy_summary, legacy_diagnostics, gap_histogram, type5_asof_distance, rolling_7_30, monthly_of_daily, spearman_trend,
         year_comparison, position_density, stored_days, runs_overlapping, current_aggregate, first_known_length, weekday_means, matched_years,
