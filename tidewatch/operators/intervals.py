@@ -86,13 +86,3 @@ def run_summary(intervals: DataFrame) -> DataFrame:
 
 def exclusion_counts(intervals: DataFrame) -> DataFrame:
     return intervals.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-def snapshot(reports: DataFrame, at_ns: int, classes: tuple[str, ...] = ("A", "B"), visible_s: int = 600, trail_s: int = 3600) -> DataFrame:
-    """Latest report of each vessel at a time, its freshness and its trail; the class filter looks at that report."""
-    seen = analyzed(reports.where(F.col("ts_ns") <= at_ns))
-    trail = F.array_sort(F.collect_list(F.when(F.col("ts_ns") >= at_ns - trail_s * NS, F.struct("ts_ns", "lat", "lon"))))
-    last = F.max_by(F.struct("ts_ns", "vessel_class", "lat", "lon", "heading", "cog", "expected_here"), F.struct("ts_ns", "seq"))
-    df = seen.groupBy("mmsi").agg(last.alias("r"), F.size(trail).alias("trail_points"))
-    df = df.select("mmsi", "r.vessel_class", "r.lat", "r.lon", F.coalesce("r.heading", "r.cog").alias("direction"), ((F.lit(at_ns) - F.col("r.ts_ns")) / float(NS)).alias("age_s"), F.col("r.expected_here").alias("expected_s"), "trail_points")
-    return df.where(F.col("vessel_class").isin(*classes) & (F.col("age_s") < visible_s)).withColumn("state", F.expr(rates.freshness_state("age_s", "expected_s")))

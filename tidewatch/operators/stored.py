@@ -34,7 +34,7 @@ def _period(at: Column, dimension: str) -> Column:
 def rollup(facts: DataFrame, presence: DataFrame, runs: DataFrame, dimension: str, place: tuple[str, ...] = ("band",), vessel_class: str | None = None) -> DataFrame:
     """Stored facts of ``runs`` by period, place and class: measures, first and last bucket, days, and vessels from presence.
 
-    ``presence`` has a row per run, hour, place, class and vessel, so vessels are exact at any grain.
+    ``presence`` has a row per run, hour, place, class and vessel, so vessels are exact at any grain. Facts without presence have 0 vessels.
     """
     keys = ["period", *place, "vessel_class"]
     ids = runs.select("run_id")
@@ -45,7 +45,53 @@ def rollup(facts: DataFrame, presence: DataFrame, runs: DataFrame, dimension: st
 
     sums = chosen(facts, "bucket").groupBy(*keys).agg(*[F.sum(m).alias(m) for m in cube.MEASURES], F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.countDistinct(cube.jst_day(F.col("bucket"))).alias("days"))
     vessels = chosen(presence, "hour_ns").groupBy(*keys).agg(F.countDistinct("mmsi").alias("vessels"))
-    return cube.evaluated(sums.join(vessels, keys))
+    return cube.evaluated(sums.join(vessels, keys, "left").fillna(0, ["vessels"]))
+
+
+def run_days(runs: DataFrame, first: str, last: str, excluded: tuple[str, ...] = (), receiver: str | None = None, profile: str | None = None) -> DataFrame:
+    """(day, run_id) of the days of a range that count: not excluded, with one active run of the receiver and profile.
+
+    What the other days lack, ``day_states`` says; two active runs on a day are its AMBIGUOUS, and neither counts.
+    """
+    for column, wanted in (("receiver", receiver), ("profile", profile)):
+        runs = runs if wanted is None else runs.where(F.col(column) == wanted)
+    return included(runs, first, last, excluded).groupBy("day").agg(F.min("run_id").alias("run_id"), F.count("*").alias("n_")).where("n_ = 1").drop("n_")
+
+
+def demand_one_run(runs: DataFrame, first: str, last: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """``run_days`` that fail when read if a day has several active runs."""
+    days = included(runs, first, last, excluded).groupBy("day").agg(F.min("run_id").alias("run_id"), F.count("*").alias("n_"))
+    wrong = F.raise_error(F.concat(F.lit("several active runs on "), F.col("day").cast("string")))
+    return days.withColumn("run_id", F.when(F.col("n_") > 1, wrong.cast("string")).otherwise(F.col("run_id"))).drop("n_")
+
+
+def _of_days(table: DataFrame, days: DataFrame) -> DataFrame:
+    return table.join(days, "run_id")
+
+
+def calibration_rows(facts: DataFrame, presence: DataFrame, days: DataFrame) -> DataFrame:
+    """Per day, band and class: counts, and the vessels present, those of a known class only. Facts lead: presence without them is left out."""
+    keys = ["day", "band", "vessel_class"]
+    sums = _of_days(facts, days).where("vessel_class IN ('A', 'B')").groupBy(*keys).agg(F.sum("observed").alias("observed"), F.sum("missing").alias("missing"))
+    # a day's vessels in a band and class are one receiver's: some thousands
+    there = _of_days(presence, days).groupBy(*keys).agg(F.array_sort(F.collect_set("mmsi")).alias("vessels"))
+    return sums.join(there, keys, "left").withColumn("vessels", F.coalesce("vessels", F.array().cast("array<int>")))
+
+
+def observed_validation(facts: DataFrame, presence: DataFrame, days: DataFrame) -> DataFrame:
+    """Per band and class: pooled measures, days, distinct vessels, and the daily loss and stale percentages in order of days.
+
+    A day whose denominator is zero gives no rate; vessels are 0 without presence.
+    """
+    keys = ["band", "vessel_class"]
+    daily = _of_days(facts, days).groupBy("day", *keys).agg(*[F.sum(m).alias(m) for m in cube.MEASURES])
+    rate = lambda part, whole: F.when(whole > 0, part * 100.0 / whole)
+    rated = daily.withColumns({"loss_pct": rate(F.col("missing"), F.col("observed") + F.col("missing")), "stale_pct": rate(F.col("stale_s"), F.col("observed_s"))})
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("day", c)))), lambda x: x[c])
+    lists = [in_order(c).alias(f"daily_{c}") for c in ("loss_pct", "stale_pct")]
+    pooled = rated.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in cube.MEASURES], F.count("*").alias("days"), *lists)
+    vessels = _of_days(presence, days).groupBy(*keys).agg(F.countDistinct("mmsi").alias("vessels"))
+    return pooled.join(vessels, keys, "left").fillna(0, ["vessels"])
 
 
 def current(facts: DataFrame) -> DataFrame:

@@ -153,6 +153,25 @@ UNION ALL SELECT ns, seq, channel, payload, CASE WHEN code = 'WHOLE' THEN 2 END,
 UNION ALL SELECT coalesce(f.ns, (SELECT max(ns) FROM sent)), gone_seq, channel, NULL, NULL, 'INCOMPLETE_FRAGMENT' FROM (SELECT *, gone + 30000000000 AS due FROM expired) e JOIN named USING (key) ASOF LEFT JOIN (SELECT DISTINCT ns FROM sent) f ON f.ns > e.due"""
 
 
+def _snapshots(times: tuple[int, ...], mmsi: str = "mmsi", of: str = "true") -> str:
+    """Latest report of each vessel at each time among those ``of`` the same day as the time."""
+    rows = f"shown AS (SELECT t.at_ns, {mmsi} AS vessel, r.* FROM rated r JOIN (SELECT unnest([{', '.join(map(str, times))}]) AS at_ns) t ON r.ts_ns <= t.at_ns AND {of})"
+    last = "SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY at_ns, vessel ORDER BY ts_ns DESC, seq DESC) = 1"
+    points = "SELECT at_ns, vessel, count(*) AS n_points FROM shown WHERE ts_ns >= at_ns - 3600000000000 GROUP BY ALL"
+    return f"""{rows} SELECT at_ns, CAST(vessel AS INT) AS mmsi, vessel_class, round(lat, 6) AS lat, round(lon, 6) AS lon, round(coalesce(heading, cog), 6) AS direction, round(age, 6) AS age_s, round(expected_here, 6) AS expected_s,
+  CASE WHEN age <= expected_here THEN 'NORMAL' WHEN age <= 3 * expected_here THEN 'CAUTION' ELSE 'VIOLATION' END AS state, age < 600 AS visible, CAST(coalesce(n_points, 0) AS INT) AS trail_points
+FROM (SELECT *, (at_ns - ts_ns) / 1e9 AS age FROM ({last})) LEFT JOIN ({points}) USING (at_ns, vessel)"""
+
+
+_DAY_NO = f"((%s + {cube.JST_NS}) // {cube.DAY_NS})"
+#: Vessels of each day apart: the engine's partitions take the day from the number.
+_DAYS_APART = f"WITH reports AS MATERIALIZED (SELECT * REPLACE (CAST(mmsi AS BIGINT) * 100000 + {_DAY_NO % 'ts_ns'} AS mmsi) FROM ({_REPORTS})), paired AS MATERIALIZED ({_PAIRED}), {_course()}"
+
+_GAPS = """gaps0 AS (SELECT mmsi, seq, sog, class_b_mode, CASE WHEN seq % 40 = 7 THEN ts_ns - 400000000000 ELSE ts_ns END AS at_ns, expected_here, CASE WHEN message_type IN (1, 2, 3) THEN 1 ELSE message_type END AS category FROM rated),
+gaps1 AS (SELECT category, ((at_ns - lag(at_ns) OVER w) // 1000000) / 1e3 AS gap_s, lag(expected_here) OVER w AS own_s, lag(sog) OVER w AS sog, lag(class_b_mode) OVER w AS unit, lag(seq) OVER w IS NULL AS is_first FROM gaps0 WINDOW w AS (PARTITION BY mmsi, category ORDER BY seq)),
+gaps AS MATERIALIZED (SELECT *, CASE WHEN is_first THEN 'FIRST' WHEN gap_s < 0 THEN 'NEGATIVE' WHEN gap_s >= 1800 THEN 'TRACK_GAP' ELSE 'VALID' END AS kind, greatest(0, floor(gap_s / own_s + 0.5) - 1) AS loss, greatest(0, floor(floor(gap_s + 0.5) / own_s + 0.5) - 1) AS whole_loss FROM gaps1)"""
+
+
 def _round(columns: str, doubles: str, digits: int = 6) -> str:
     return ", ".join([*columns.split(), *(f"round({d}, {digits}) AS {d}" for d in doubles.split())])
 
@@ -223,6 +242,24 @@ SELECT year, category, bin, coalesce(observed, 0) AS observed, coalesce(loss, 0)
         if name != "year":
             kept = f"(SELECT {period} AS period, band, vessel_class, {_SUMS}, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days FROM parts WHERE day <> DATE '2024-01-03' AND day BETWEEN DATE '2023-12-31' AND DATE '2024-12-31' GROUP BY ALL)"
             sql[f"stored_rollup_{name}"] = f"{base}, {_BAND_ROWS} SELECT period, band, vessel_class, {_SHOWN}, first_bucket, last_bucket, vessels, days, {_RATES} FROM {kept}"
+    from tidewatch.plans.queries import SNAPSHOT_NS
+
+    used = "day NOT IN (DATE '2024-01-03', DATE '2024-01-04') AND day BETWEEN DATE '2023-12-31' AND DATE '2024-01-12'"
+    same_day = f"{_DAY_NO % 'r.ts_ns'} = {_DAY_NO % 't.at_ns'}"
+    listed = lambda c: ", ".join(f"{f} AS {c}_{n}" for n, f in (("days", f"CAST(count({c}) AS INT)"), ("least", f"round(min({c}) + {_OFF_TIES}, 4)"), ("most", f"round(max({c}) + {_OFF_TIES}, 4)"), ("first", f"round(arg_min({c}, day) + {_OFF_TIES}, 4)")))
+    sql |= {
+        "snapshot": f"{base}, {_snapshots(SNAPSHOT_NS)}",
+        "replay_seek": f"{_DAYS_APART}, {_snapshots(SNAPSHOT_NS, 'r.mmsi // 100000', same_day)}",
+        "stored_calibration": f"{base}, {_BAND_ROWS} SELECT day, band, vessel_class, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(missing) AS BIGINT) AS missing, CAST(count(DISTINCT mmsi) AS INT) AS vessels, CAST(sum(DISTINCT mmsi) AS BIGINT) AS mmsi_sum FROM parts WHERE {used} GROUP BY ALL",
+        "stored_validation": f"""{base}, {_BAND_ROWS}, daily AS (SELECT *, {rates.percent('missing', 'observed + missing')} AS loss_pct, {rates.percent('stale_s', 'observed_s')} AS stale_pct FROM (SELECT day, band, vessel_class, {_SUMS} FROM parts WHERE {used} GROUP BY ALL)),
+seen AS (SELECT band, vessel_class, count(DISTINCT mmsi) AS vessels FROM parts WHERE {used} GROUP BY ALL)
+SELECT band, vessel_class, {_SHOWN}, days, vessels, COLUMNS('_pct_') FROM (SELECT band, vessel_class, {_SUMS}, count(*) AS days, {listed('loss_pct')}, {listed('stale_pct')} FROM daily GROUP BY ALL) JOIN seen USING (band, vessel_class)""",
+        "gap_totals": f"""{base}, {_GAPS} SELECT category, count(*) AS messages, count(*) FILTER (kind <> 'FIRST') AS intervals, count(*) FILTER (kind = 'NEGATIVE') AS negative, count(*) FILTER (gap_s = 0) AS zero, count(*) FILTER (gap_s >= 0 AND gap_s < 0.5) AS below_half, count(*) FILTER (kind = 'TRACK_GAP') AS track_gaps,
+  CAST(0 AS BIGINT) AS no_expected, count(*) FILTER (kind = 'VALID') AS valid, CAST(coalesce(sum(loss) FILTER (kind = 'VALID'), 0) AS BIGINT) AS loss, CAST(coalesce(sum(whole_loss) FILTER (kind = 'VALID'), 0) AS BIGINT) AS integer_loss, CAST(0 AS BIGINT) AS ceil_loss, count(*) FILTER (kind = 'VALID' AND loss <> whole_loss) AS changed FROM gaps GROUP BY ALL""",
+        "gap_expected": f"{base}, {_GAPS} SELECT category, round(own_s, 6) AS expected_s, count(*) AS n FROM gaps WHERE kind = 'VALID' GROUP BY ALL",
+        "gap_class_b": f"""{base}, {_GAPS} SELECT CASE WHEN unit = 'CARRIER_SENSE' THEN 'CS' ELSE 'SO' END AS unit, CASE WHEN sog IS NULL OR sog <= 2 THEN '0-2' WHEN sog <= 14 THEN '2-14' ELSE '>14' END AS speed, count(*) AS n, CAST(sum(loss) AS BIGINT) AS loss,
+  {', '.join(f"CAST(quantile_disc(CAST(floor(gap_s + 0.5) AS BIGINT), {f}) FILTER (floor(gap_s + 0.5) < 1800) AS BIGINT) AS p{round(f * 100)}" for f in (0.5, 0.75, 0.9))} FROM gaps WHERE kind = 'VALID' AND category = 18 GROUP BY ALL""",
+    }
     run_days = f"{base}, {_BAND_ROWS}, run_days AS (SELECT DISTINCT day FROM parts)"
     sql |= {
         "stored_days": f"{run_days} SELECT s.day, CASE WHEN r.day IS NULL THEN 0 ELSE 1 END AS runs, CASE WHEN s.day = DATE '2024-01-03' THEN 'EXCLUDED' WHEN r.day IS NULL THEN 'MISSING' ELSE 'INCLUDED' END AS state FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-01-12', INTERVAL 1 DAY)) AS DATE) AS day) s LEFT JOIN run_days r ON r.day = s.day",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, nmea, rates
 from tidewatch.functions.steps import held, with_steps
-from tidewatch.operators import calibrate, cube, ingest, intervals, legacy, metadata, shiplength, stored
+from tidewatch.operators import calibrate, cube, gaps, ingest, intervals, legacy, metadata, replay, shiplength, stored
 from tidewatch.operators.reports import reports_of_events
 from tidewatch.sources import store
 
@@ -69,10 +69,26 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.run_summary(intervals.analyzed(reports(spark, sf_dir)))
 
 
+SNAPSHOT_NS = tuple((1_704_067_200 + s) * NS for s in (30 * 3600 + 1234, 3 * 86_400, 5 * 86_400 - 777))
+
+
+def _displayed(shown: DataFrame, at_ns: int) -> DataFrame:
+    return rounded(shown.select(F.lit(at_ns).alias("at_ns"), "mmsi", "vessel_class", "lat", "lon", "direction", "age_s", "expected_s", "state", "visible", F.size("trail").alias("trail_points")))
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions three days in, with freshness state and trail length."""
-    at = (1_704_067_200 + 3 * 86_400) * NS
-    return rounded(intervals.snapshot(reports(spark, sf_dir), at, visible_s=7200).select("mmsi", "vessel_class", "lat", "lon", "direction", "age_s", "expected_s", "state", "trail_points"))
+    """What is displayed at three times, over all that came before."""
+    rows = intervals.analyzed(reports(spark, sf_dir)).select("mmsi", *replay.STATE)
+    shown = [_displayed(replay.displayed(replay.latest(rows.where(F.col("ts_ns") <= t)), replay.trails(rows, t), t), t) for t in SNAPSHOT_NS]
+    return shown[0].union(shown[1]).union(shown[2])
+
+
+def replay_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same times reached by a seek in the replay of their days, which begin without states."""
+    index = replay.ReplayIndex(spark, store.new_store_path(spark, "replay"))
+    index.build(reports(spark, sf_dir))
+    shown = [_displayed(index.seek(t), t) for t in SNAPSHOT_NS]
+    return shown[0].union(shown[1]).union(shown[2])
 
 
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +208,31 @@ def stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.day_states(_stored(spark, sf_dir).runs(), "2023-12-30", "2024-01-12", EXCLUDED_DAYS)
 
 
+#: A day with a second active run, which a dataset doesn't take.
+DOUBLED_DAY = "2024-01-04"
+
+
+def _dataset_days(kept: store.ResultStore) -> DataFrame:
+    runs = kept.runs()
+    again = runs.where(F.col("day") == F.lit(DOUBLED_DAY).cast("date")).withColumn("run_id", F.concat("run_id", F.lit("-again")))
+    return stored.run_days(runs.unionByName(again), "2023-12-31", "2024-01-12", EXCLUDED_DAYS, "rx", "p")
+
+
+def stored_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts and vessels by band and class out of stored runs: an excluded day and one with two runs are left out."""
+    kept = _stored(spark, sf_dir)
+    rows = stored.calibration_rows(kept.read("distance_5m"), kept.read("presence"), _dataset_days(kept))
+    return rows.select("day", "band", "vessel_class", "observed", "missing", F.size("vessels").alias("vessels"), F.aggregate("vessels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mmsi_sum"))
+
+
+def stored_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled measures and daily rates by band and class out of the same runs."""
+    kept = _stored(spark, sf_dir)
+    rows = stored.observed_validation(kept.read("distance_5m"), kept.read("presence"), _dataset_days(kept))
+    shown = [f(F.col(f"daily_{c}")).alias(f"{c}_{n}") for c in ("loss_pct", "stale_pct") for n, f in (("days", F.size), ("least", F.array_min), ("most", F.array_max), ("first", lambda a: F.get(a, F.lit(0))))]
+    return rounded(rows.select("band", "vessel_class", *cube.MEASURES, "days", "vessels", *shown), 4)
+
+
 def runs_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published runs, superseded ones too, that reach into half a day."""
     start = 1_704_153_600_000_000
@@ -461,6 +502,24 @@ def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(legacy.gap_histogram(_legacy(spark, sf_dir)))
 
 
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = intervals.with_course(intervals.paired(reports(spark, sf_dir))).withColumn("expected_here", F.expr(rates.expected_seconds()))
+    # every 40th message bears the time of an earlier one, as after a step of the clock
+    return gaps.message_gaps(df.withColumn("ts_ns", F.when(F.col("seq") % 40 == 7, F.col("ts_ns") - 400 * NS).otherwise(F.col("ts_ns"))))
+
+
+def gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.gap_totals(_gaps(spark, sf_dir))
+
+
+def gap_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.expected_histogram(_gaps(spark, sf_dir))
+
+
+def gap_class_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.class_b_groups(_gaps(spark, sf_dir))
+
+
 def type5_asof_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static updates with the distance of the latest position before them."""
     static = _updates(spark, sf_dir).where("seq % 6 = 0").withColumn("ts_ns", F.floor((F.col("ts_ns") - 1_704_067_200_000_000_000) / 5).cast("bigint") + 1_704_067_200_000_000_000)
@@ -518,7 +577,7 @@ def position_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        loss_by_distance_class, course_state, report_intervals, exclusion_counts, run_summary, snapshot, projection, receiver_distance, bucket_split, missing_positions, grid_allocation, interval_nanoseconds,
+        loss_by_distance_class, course_state, report_intervals, exclusion_counts, run_summary, snapshot, projection, receiver_distance, bucket_split, missing_positions, grid_allocation, interval_nanoseconds, replay_seek, gap_totals, gap_expected, gap_class_b, stored_calibration, stored_validation,
         cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, fragment_outcomes, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
         metadata_versions, metadata_as_of, ship_length_reach, ship_length_performance, ship_length_coverage, daily_quality, pooled_jeffreys, model_parameters, model_with_bootstrap, ideal_transmissions,
         deterministic_uniform, reception_decisions, validation_mae, legacy_bins, legacy_vessels, legacy_summary, legacy_diagnostics, gap_histogram, type5_asof_distance, rolling_7_30, monthly_of_daily, spearman_trend,
