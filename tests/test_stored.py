@@ -106,3 +106,30 @@ def test_older_files(spark, tmp_path):
     assert lines == ["\ufeff# receiver: rx", "name,n,v", '"a,b",,0.500', '"say ""x""",2,']
     days = spark.createDataFrame([(datetime.date(2024, 7, 3), 1), (datetime.date(2024, 7, 4), 2)], "day date, k int")
     assert [r.k for r in legacy.matched_period(days, "07-03").collect()] == [1]
+
+
+def test_digest_sees_line_ends_and_blocks(spark, tmp_path):
+    lines = [f"2024010200{k // 60:02d}{k % 60:02d}000 !AIVDM,{k}" for k in range(3000)]
+    put = lambda name, text: (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+    whole = "\n".join(lines) + "\n"
+    put("a.ais", whole)
+    put("a.ais.gz", whole)
+    put("crlf.ais", whole.replace("\n", "\r\n"))
+    put("swap.ais", "\n".join([*lines[:1023], lines[1024], lines[1023], *lines[1025:]]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.file.rpartition("/")[2]: r for r in logs.catalog(logs.read_lines(spark, str(tmp_path), exact_ends=True)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got["a.ais"].digest == got["a.ais.gz"].digest and len({r.digest for r in got.values()}) == 3
+    assert {r.n_lines for r in got.values()} == {3000} and got["a.ais"].n_chars == len(whole) and got["crlf.ais"].n_chars == len(whole) + 3000
+    assert {str(r.day) for r in got.values()} == {"2024-01-02"}
+
+
+def test_repeated_lines_are_counted(spark):
+    stamp = "20240102000000000 "
+    rows = [("f", 0, stamp + "!AIVDM,1,1,,A,13aG?P0000,0*00"), ("f", 1, stamp + "!AIVDM,1,1,,A,13aG?P0000,0*00"), ("f", 2, "junk"), ("f", 3, "junk"), ("f", 4, stamp + "!AIVDM,1,1,,A,4xx,0*00"), ("g", 0, stamp + "!AIVDM,1,1,,A,B3aG?P0000,0*00")]
+    kept, counts = logs.drop_repeats_counted(spark.createDataFrame(rows, "file string, line_no bigint, value string"))
+    assert sorted((r.file, r.line_no) for r in kept.collect()) == [("f", 0), ("f", 2), ("f", 4), ("g", 0)]
+    assert sorted(tuple(r) for r in counts.select("file", "total", "duplicate", "invalid", "target").collect()) == [("f", 5, 2, 1, 1), ("g", 1, 0, 0, 1)]

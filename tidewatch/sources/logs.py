@@ -10,37 +10,63 @@ from tidewatch.operators.cube import jst_day
 from tidewatch.operators.ingest import parsed_lines
 
 
-def read_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
+BLOCK_LINES = 1024
+
+
+def read_lines(spark: SparkSession, root: str | list[str], exact_ends: bool = False) -> DataFrame:
     """(file, line_no, value) of all log files below ``root``; .gz is decoded by its name.
 
-    ``line_no`` is (split, row): it orders the lines of a file without bringing a file into one task.
+    ``line_no`` is (split, row): it orders the lines of a file without bringing a file into one task. ``exact_ends``: only a line feed ends a
+    line, so that a carriage return stays in the value and in the file's digest.
     """
-    raw = spark.read.option("recursiveFileLookup", True).text(root)
+    reader = spark.read.option("recursiveFileLookup", True)
+    raw = (reader.option("lineSep", "\n") if exact_ends else reader).text(root)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return raw.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("split"), row.alias("row")).alias("line_no"), "value")
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their place in the file from 0, ``place``: splits are counted, and a line's row is shifted by the splits before."""
+    line = lines.schema["line_no"].dataType
+    split, row = (F.col("line_no.split"), F.col("line_no.row")) if isinstance(line, T.StructType) else (F.lit(0).cast("bigint"), F.col("line_no").cast("bigint"))
+    df = lines.withColumns({"split_": split, "row_": row})
+    counts = df.groupBy("file", "split_").agg(F.count("*").alias("n_"), F.min("row_").alias("low_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("file").orderBy("split_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("file", "split_", (before - F.col("low_")).alias("shift_"))
+    return df.join(shifts, ["file", "split_"]).withColumn("place", F.col("row_") + F.col("shift_")).drop("split_", "row_", "shift_")
+
+
 def catalog(lines: DataFrame) -> DataFrame:
-    """Per file: day of the first line that parses (null: unclassified), lines, and a digest of its uncompressed lines in their order.
+    """Per file: day of the first line that parses (null: unclassified), lines, bytes, and a digest of its uncompressed lines in their order.
 
-    The digest sums each line's hash times its place in the file. A place is known only within a split, but the sum is linear
-    in it, so splits are summed first and shifted by the lines before them; a file never meets in one task.
+    The digest is a tree of SHA-256: of each line, of the digests of ``BLOCK_LINES`` lines, of a file's blocks. Of a line 32 bytes
+    move, and what meets in a task is a block, or a file's 32 bytes for each block. Whether the last line ends with a line feed isn't seen.
     """
-    df = parsed_lines(lines)
-    line = df.schema["line_no"].dataType
-    split, row = (F.col("line_no.split"), F.col("line_no.row")) if isinstance(line, T.StructType) else (F.lit(0).cast("bigint"), F.col("line_no").cast("bigint"))
-    mark, low = F.xxhash64("value"), F.lit((1 << 31) - 1)
-    df = df.withColumns({"split_": split, "row_": row, "h1_": mark.bitwiseAND(low).cast("decimal(20,0)"), "h2_": F.shiftright(mark, 32).bitwiseAND(low).cast("decimal(20,0)")})
-    first = F.min_by(F.struct("received_ns"), F.when(F.col("code").isNull(), F.col("row_")))
-    sums = [f(c).alias(n) for h in ("h1_", "h2_") for n, f, c in ((f"{h}s", F.sum, F.col(h)), (f"{h}p", F.sum, (F.col(h) * F.col("row_").cast("decimal(12,0)")).cast("decimal(38,0)")))]
-    parts = df.groupBy("file", "split_").agg(first.alias("first_"), F.count("*").alias("n"), F.sum(F.length("value") + 1).alias("chars"), F.min("row_").alias("low_"), *[s.cast("decimal(38,0)").alias(n) for s, n in zip(sums, ("s1", "p1", "s2", "p2"), strict=True)])
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("shift_", (before - F.col("low_")).cast("decimal(12,0)"))
-    placed = [F.sum(F.col(f"p{k}") + (F.col(f"s{k}").cast("decimal(25,0)") * F.col("shift_")).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias(f"o{k}") for k in (1, 2)]
-    whole = [F.sum(f"s{k}").cast("decimal(38,0)").cast("string").alias(f"t{k}") for k in (1, 2)]
-    out = parts.groupBy("file").agg(F.min_by("first_.received_ns", F.when(F.col("first_").isNotNull(), F.col("split_"))).alias("first_ns"), F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"), *placed, *whole)
-    digest = F.sha2(F.concat_ws(",", "n_lines", "n_chars", "o1", "o2", "t1", "t2"), 256)
-    return out.select("file", F.when(F.col("first_ns").isNotNull(), jst_day(F.col("first_ns"))).alias("day"), "n_lines", "n_chars", digest.alias("digest"))
+    df = numbered(lines).withColumn("line_digest_", F.sha2("value", 256)).withColumn("bytes_", F.octet_length("value") + 1).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    df = parsed_lines(df)
+    first = F.min(F.when(F.col("code").isNull(), F.struct("place", "received_ns")))
+    tied = lambda at, digest: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, digest))), lambda x: x[digest]), ""), 256)
+    blocks = df.groupBy("file", F.floor(F.col("place") / BLOCK_LINES).alias("block_")).agg(tied("place", "line_digest_").alias("block_digest_"), first.alias("first_"), F.count("*").alias("n_"), F.sum("bytes_").alias("b_"))
+    out = blocks.groupBy("file").agg(tied("block_", "block_digest_").alias("digest"), F.min("first_").alias("first_"), F.sum("n_").alias("n_lines"), F.sum("b_").alias("n_chars"))
+    first_ns = F.col("first_.received_ns")
+    return out.select("file", F.when(first_ns.isNotNull(), jst_day(first_ns)).alias("day"), "n_lines", "n_chars", "digest")
+
+
+def drop_repeats_counted(lines: DataFrame, target_types: tuple[int, ...] = (1, 2, 3, 5, 18)) -> tuple[DataFrame, DataFrame]:
+    """(lines without exact repeats, per file: total, duplicate, invalid and target lines).
+
+    A line is invalid if it has no time stamp and sentence, and a target if the first character of its payload is that of a wanted type. The
+    counts and the rest come out of one grouping by (file, line), which combines before it shuffles.
+    """
+    from tidewatch.functions import nmea
+
+    kept = lines.groupBy("file", "value").agg(F.min("line_no").alias("line_no"), F.count("*").alias("times"))
+    read = parsed_lines(kept)
+    kind = F.instr(F.lit(nmea.ARMOUR), F.left(F.get(F.split("sentence", ","), F.lit(5)), F.lit(1))) - 1
+    good = F.col("code").isNull()
+    counts = read.groupBy("file").agg(
+        F.sum("times").alias("total"), F.sum(F.col("times") - 1).alias("duplicate"), F.coalesce(F.sum(F.when(~good, 1)), F.lit(0)).alias("invalid"), F.count_if(good & kind.isin(*target_types)).alias("target"))
+    return kept.select("file", "line_no", "value"), counts
 
 
 def without_counterparts(files: DataFrame, same_content: bool = True) -> DataFrame:
