@@ -79,3 +79,14 @@ def test_a_timeout_is_noticed_by_any_sentence(spark):
 def test_fill_bits_do_not_tell_repeats_apart(spark):
     rows = [(0, 0, "s", "!AIVDM", 2, 2, "1", "A", "DEF", 2), (NS, 1, "s", "!AIVDM", 2, 2, "1", "A", "DEF", 4), (2 * NS, 2, "s", "!AIVDM", 2, 1, "1", "A", "ABC", 0)]
     assert shown(fr.assembled_parts(spark.createDataFrame(rows, SCHEMA))) == [(2 * NS, 2, "ABCDEF", 2, None)]
+
+
+def test_older_rule(spark):
+    def run(*parts):
+        rows = [(int(t * NS), k, "s", "!AIVDM", total, n, "1", "A", p, f) for k, (t, total, n, p, f) in enumerate(parts)]
+        got = fr.assembled_parts(spark.createDataFrame(rows, SCHEMA), machine=fr.OldAssembler, keys=["sequence_id", "channel"], timeout_ns=1 << 62, slice_ns=60 * NS)
+        return sorted((r.received_ns // NS, r.payload, r.fill_bits) for r in got.collect())
+
+    assert run((0, 2, 1, "ABC", 0), (4000, 2, 2, "DEF", 2)) == [(4000, "ABCDEF", 2)]  # no timeout
+    assert run((0, 2, 2, "DEF", 2), (1, 2, 2, "XXX", 3), (2, 2, 1, "ABC", 0)) == [(2, "ABCDEF", 0)]  # what is there stays, the last fill counts
+    assert run((0, 2, 1, "ABC", 0), (1, 3, 3, "GHI", 0), (2, 2, 2, "DEF", 2)) == []  # beyond the first part's number: all is dropped

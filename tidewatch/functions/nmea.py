@@ -76,17 +76,22 @@ def signed(w: Column, start: int, n: int) -> Column:
     return F.when(v >= 1 << (n - 1), v - (1 << n)).otherwise(v)
 
 
-def text(w: Column, start: int, n: int) -> Column:
-    """Six-bit text: trailing @ and spaces go, inner @ become spaces, empty is null."""
+def letters(w: Column, start: int, n: int, alphabet: str = ALPHABET) -> Column:
+    """``n`` bits as six-bit text."""
 
     def letter(at: Column) -> Column:
         word, skipped = F.floor(at / 60).cast("int"), F.pmod(at, F.lit(60))
         low = F.when(skipped > 54, F.get(w, word + 1)).otherwise(F.lit(0).cast("bigint"))
         both = F.call_function("shiftleft", F.get(w, word).bitwiseAND(F.lit((1 << 59) - 1)), F.greatest(skipped - 54, F.lit(0))).bitwiseOR(F.call_function("shiftright", low, F.lit(114) - skipped))
         value = F.when(skipped > 54, both).otherwise(F.call_function("shiftright", F.get(w, word), F.lit(54) - skipped)).bitwiseAND(F.lit(63))
-        return F.substring(F.lit(ALPHABET), value.cast("int") + 1, F.lit(1))
+        return F.substring(F.lit(alphabet), value.cast("int") + 1, F.lit(1))
+
+    return F.array_join(F.transform(F.sequence(F.lit(start), F.lit(start + n - 6), F.lit(6)), letter), "")
 
-    raw = F.array_join(F.transform(F.sequence(F.lit(start), F.lit(start + n - 6), F.lit(6)), letter), "")
+
+def text(w: Column, start: int, n: int) -> Column:
+    """Six-bit text: trailing @ and spaces go, inner @ become spaces, empty is null."""
+    raw = letters(w, start, n)
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(raw, "[@ ]+$", ""), "@", " ")), F.lit(""))
 
 

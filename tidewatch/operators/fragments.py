@@ -51,7 +51,7 @@ class Assembler:
         self.parts = {}
         return self.last, self.first, None, None, "EXPIRED"
 
-    def add(self, at: int, sequence, number: int, payload: str, fill: int) -> list[tuple]:
+    def add(self, at: int, sequence, number: int, payload: str, fill: int, total: int | None = None) -> list[tuple]:
         out = [self.expired()] if self.parts and at - self.last > self.timeout_ns else []
         held = self.parts.get(number)
         if held is not None and held == payload:
@@ -72,11 +72,41 @@ class Assembler:
         return out
 
 
+class OldAssembler:
+    """The older decoder's rule: no timeout, the first part says how many there are, a part that is there stays, and the fill bits are those of the part that came last.
+
+    A part beyond that number drops what is open. Nothing is reported but whole payloads.
+    """
+
+    def __init__(self, total: int, state: str | None = None, timeout_ns: int = 0):
+        self.total, self.parts, self.fill, self.last, self.first = 0, {}, 0, 0, None
+        if state:
+            self.total, parts, self.last, self.first = json.loads(state)
+            self.parts = {int(k): v for k, v in parts.items()}
+
+    def state(self) -> str | None:
+        return json.dumps((self.total, self.parts, self.last, self.first)) if self.parts else None
+
+    def add(self, at: int, sequence, number: int, payload: str, fill: int, total: int) -> list[tuple]:
+        if not self.parts:
+            self.total, self.first = total, sequence
+        if not 1 <= number <= self.total:
+            self.parts = {}
+            return []
+        self.parts.setdefault(number, payload)
+        self.last = at
+        if len(self.parts) < self.total:
+            return []
+        whole = "".join(self.parts[k] for k in range(1, self.total + 1))
+        self.parts = {}
+        return [(at, sequence, whole, fill, None)]
+
+
 _READ = ["key_", "slice_", "received_ns", "sequence", "number", "payload", "fill_bits", "total", "source_id", "tag", "channel", "carry_"]
 _SHAPE = "key_ string, slice_ bigint, open_ boolean, first_ns bigint, state_ string, received_ns bigint, sequence {kind}, source_id string, tag string, channel string, payload string, fill_bits int, code string"
 
 
-def _slices(timeout_ns: int, kind: pa.DataType):
+def _slices(timeout_ns: int, kind: pa.DataType, machine: type):
     """Parts sorted by key, slice and arrival: outcomes, and for each slice a row with what it leaves open (``open_`` true, state null if nothing)."""
     types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), kind, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
     names = [c.split()[0] for c in _SHAPE.split(", ")]
@@ -97,8 +127,8 @@ def _slices(timeout_ns: int, kind: pa.DataType):
                 if (key, number_of_slice) != at:
                     if at is not None:
                         out.append(left())
-                    at, own, first, held = (key, number_of_slice), (source, tag, channel), ns, Assembler(total, carry, timeout_ns)
-                out += [(*at, False, None, None, e[0], e[1], *own, *e[2:]) for e in held.add(ns, sequence, number, payload, fill)]
+                    at, own, first, held = (key, number_of_slice), (source, tag, channel), ns, machine(total, carry, timeout_ns)
+                out += [(*at, False, None, None, e[0], e[1], *own, *e[2:]) for e in held.add(ns, sequence, number, payload, fill, total)]
             yield shown(out)
         if at is not None:
             yield shown([left()])
@@ -125,19 +155,19 @@ def noticed(expired: DataFrame, clock: DataFrame, timeout_ns: int = TIMEOUT_NS)
     return df.withColumn("received_ns", at).select(*expired.columns)
 
 
-def assembled_parts(parts: DataFrame, clock: DataFrame | None = None, slice_ns: int = SLICE_NS, timeout_ns: int = TIMEOUT_NS, rounds: int = ROUNDS) -> DataFrame:
+def assembled_parts(parts: DataFrame, clock: DataFrame | None = None, slice_ns: int = SLICE_NS, timeout_ns: int = TIMEOUT_NS, rounds: int = ROUNDS, machine: type = Assembler, keys: list[str] = KEY) -> DataFrame:
     """Outcomes (``OUTCOME``) of the parts of multi-part sentences: whole payloads, and failures with their code.
 
-    ``clock(received_ns, is_fragment)`` holds all lines of the input; without it the parts themselves are the clock.
+    ``clock(received_ns, is_fragment)`` holds all lines of the input; without it the parts themselves are the clock. ``machine`` holds what is open of a key of ``keys``.
     """
     kind = parts.schema["sequence"].dataType
     shape, arrow = _SHAPE.format(kind=kind.simpleString()), pa.string() if kind.simpleString() == "string" else pa.int64()
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY])
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
     rows = saved(parts.select(key.alias("key_"), F.floor(F.col("received_ns") / slice_ns).cast("bigint").alias("slice_"), *[c for c in _READ if c not in ("key_", "slice_", "carry_")]), "parts")
 
     def run(df: DataFrame, name: str) -> DataFrame:
         dealt = df.select(*_READ).repartition("key_", "slice_").sortWithinPartitions("key_", "slice_", "received_ns", "sequence")
-        return saved(dealt.mapInArrow(_slices(timeout_ns, arrow), shape), name)
+        return saved(dealt.mapInArrow(_slices(timeout_ns, arrow, machine), shape), name)
 
     nothing = F.lit(None).cast("string")
     results = run(rows.withColumn("carry_", nothing), "slices").withColumn("carry_", nothing)
@@ -163,6 +193,8 @@ def assembled_parts(parts: DataFrame, clock: DataFrame | None = None, slice_ns:
             again = run(late, "slices-rest").withColumn("carry_", nothing)
             results = results.join(start.select("key_", "from_"), "key_", "left").where("from_ IS NULL OR slice_ < from_").select(*columns).unionByName(again.select(*columns))
 
+    if machine is OldAssembler:
+        return results.where("NOT open_").select(*OUTCOME)
     ends = results.where("open_").withColumn("next_", F.lead("first_ns").over(order))
     left = ends.where((F.col("state_").isNotNull()) & (F.col("next_").isNull() | (F.col("next_") - F.col("received_ns") > timeout_ns)))
     done = results.where("NOT open_")

@@ -205,6 +205,10 @@ def oracle_sql() -> dict[str, str]:
         "checksum": "SELECT event_id, upper(printf('%02x', list_reduce([ascii(c) FOR c IN string_split(body, '')], lambda a, x: xor(a, x)))) AS checksum, CASE event_id % 5 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'MALFORMED' WHEN 2 THEN 'INVALID' ELSE 'VALID' END AS state FROM (SELECT event_id, 'AIVDM,' || event_type || props AS body FROM events)",
         "dedup_1s": "SELECT event_type, count(*) AS kept, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, ns - lag(ns) OVER (PARTITION BY event_type ORDER BY ns, event_id) AS gap FROM (SELECT event_type, event_id, (epoch_us(ts) - 1704067200000000) * 5 AS ns FROM events)) WHERE gap IS NULL OR gap > 1000000000 GROUP BY ALL",
         "fragment_outcomes": _FRAGMENTS,
+        "old_decoder": f"""WITH {_UPDATES} SELECT event_id AS seq, message_type, mmsi, nav_status, round(sog, 6) AS sog, round(cog, 6) AS cog, heading, round(round(lat * 600000) / 600000e0, 6) AS lat, round(round(lon * 600000) / 600000e0, 6) AS lon,
+  CAST(NULL AS INT) AS imo, CAST(NULL AS VARCHAR) AS call_sign, CAST(NULL AS VARCHAR) AS vessel_name, CAST(NULL AS INT) AS ship_type, CAST(NULL AS INT) AS ship_length_m, CAST(NULL AS VARCHAR) AS destination FROM ({_REPORTS})
+UNION ALL SELECT seq, 5, mmsi, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN seq % 7 <= 5 THEN CAST(seq % 7 AS INT) END, CASE WHEN seq % 7 <= 4 THEN 'C' || chr(CAST(65 + seq % 26 AS INT)) END, CASE WHEN seq % 7 <= 3 THEN CASE WHEN vessel_name IS NULL THEN 'NO NAME4' || chr(CAST(65 + seq % 26 AS INT)) ELSE 'V' END END,
+  CASE WHEN seq % 7 <= 2 THEN CAST(seq % 100 AS INT) END, CASE WHEN seq % 7 <= 1 THEN CAST(seq % 400 AS INT) END, CASE WHEN seq % 7 = 0 THEN 'PORT4' || chr(CAST(65 + seq % 26 AS INT)) END FROM updates""",
         "log_ingest": f"SELECT mmsi, count(*) AS n FROM ({_REPORTS}) WHERE event_id % 50 <> 0 GROUP BY ALL",
         "log_diagnostics": "SELECT CASE WHEN event_id % 50 = 0 THEN 'INVALID_LOG_LINE' ELSE 'CHECKSUM_MALFORMED' END AS code, count(*) AS n FROM events GROUP BY ALL",
         "log_replay_days": f"SELECT CAST(day AS DATE) AS day, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, CAST(sum(ordinal * (event_id % 1009)) AS BIGINT) AS order_digest FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts_ns, file, event_id) AS ordinal FROM (SELECT event_id, event_id % 3 AS file, ts_ns // 1000000 * 1000000 AS ts_ns, DATE '1970-01-01' + CAST((ts_ns + {cube.JST_NS}) // {cube.DAY_NS} AS INT) AS day FROM ({_REPORTS}))) GROUP BY ALL",

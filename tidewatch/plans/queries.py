@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import geo, nmea, rates
 from tidewatch.functions.steps import held, with_steps
 from tidewatch.operators import calibrate, cube, gaps, ingest, intervals, legacy, metadata, replay, shiplength, stored
+from tidewatch.operators import old_decoder as old
 from tidewatch.operators.reports import reports_of_events
 from tidewatch.sources import store
 
@@ -365,6 +366,33 @@ def static_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("code is null").select(F.split("sequence", ":")[0].cast("bigint").alias("seq"), "message_type", "mmsi", "vessel_class", *shown)
 
 
+def old_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position reports, those of type 18 cut to 133 bits, and static reports in two parts cut after various fields, all with a wrong checksum, through the older decoder."""
+    b, text_ = nmea.to_bits, nmea.text_bits
+    zero = lambda n: F.lit("0" * n)
+    e = reports(spark, sf_dir)
+    lat, lon, head = F.round(F.col("lat") * 600000), F.round(F.col("lon") * 600000), F.coalesce("heading", F.lit(511.0))
+    first = F.concat(b(F.col("message_type"), 6), zero(2), b(F.col("mmsi"), 30))
+    place = F.concat(b(F.round(F.col("sog") * 10), 10), zero(1), b(lon, 28), b(lat, 27), b(F.round(F.col("cog") * 10), 12), b(head, 9))
+    bits = F.when(F.col("message_type") == 18, F.concat(first, zero(8), place)).otherwise(F.concat(first, b(F.coalesce("nav_status", F.lit(15)), 4), zero(8), place, zero(31)))
+    p = held(held(e, "bits_", bits), "payload_", nmea.armoured(F.col("bits_")))
+    fill = F.when(F.col("message_type") == 18, F.lit("5")).otherwise(F.lit("0"))
+    positions = p.select(F.col("ts_ns").alias("received_ns"), (F.col("seq") * 4).alias("sequence"), F.concat(F.lit("!AIVDM,1,1,,A,"), "payload_", F.lit(","), fill, F.lit("*zz")).alias("sentence"))
+    u = _updates(spark, sf_dir)
+    letter = F.char(F.lit(65) + F.col("seq") % 26)
+    name = F.coalesce("vessel_name", F.concat(F.lit("NO-NAME "), letter))
+    five = F.concat(b(F.lit(5), 6), zero(2), b(F.col("mmsi"), 30), zero(2), b(F.col("seq") % 7, 30), text_(F.concat(F.lit("C"), letter), 42), text_(name, 120), b(F.col("seq") % 100, 8), b(F.col("seq") % 400, 9), zero(9), zero(44), text_(F.concat(F.lit("PORT "), letter), 120), zero(2))
+    cut = F.element_at(F.array(*[F.lit(n) for n in (432, 276, 240, 234, 114, 72, 66)]), (F.col("seq") % 7 + 1).cast("int"))
+    s = held(held(u, "bits_", F.rpad(F.substring(five, F.lit(1), cut), cut, "0")), "payload_", nmea.armoured(F.col("bits_")))
+    half = F.floor(F.length("payload_") / 2).cast("int")
+    part = lambda k, body: F.struct(F.lit(k).alias("k"), F.concat(F.lit(f"!AIVDM,2,{k},"), (F.col("seq") % 10).cast("string"), F.lit(",B,"), body, F.lit(",0*zz")).alias("text"))
+    both = F.array(part(1, F.substring("payload_", F.lit(1), half)), part(2, F.substring("payload_", half + 1, F.length("payload_"))))
+    statics = s.select("ts_ns", "seq", F.explode(both).alias("x")).select(F.col("ts_ns").alias("received_ns"), (F.col("seq") * 4 + F.col("x.k")).alias("sequence"), F.col("x.text").alias("sentence"))
+    found = old.messages(positions.unionByName(statics).withColumn("source_id", F.lit("rx")))
+    shown = ["message_type", "mmsi", "nav_status", "sog", "cog", "heading", "lat", "lon", "imo", "call_sign", "vessel_name", "ship_type", "ship_length_m", "destination"]
+    return rounded(found.select(F.floor(F.col("sequence") / 4).alias("seq"), *shown))
+
+
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static updates derived from events: sparse lengths and names."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25 + 431000000).cast("int").alias("mmsi"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
@@ -578,7 +606,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         loss_by_distance_class, course_state, report_intervals, exclusion_counts, run_summary, snapshot, projection, receiver_distance, bucket_split, missing_positions, grid_allocation, interval_nanoseconds, replay_seek, gap_totals, gap_expected, gap_class_b, stored_calibration, stored_validation,
-        cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, fragment_outcomes, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
+        cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, fragment_outcomes, old_decoder, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
         metadata_versions, metadata_as_of, ship_length_reach, ship_length_performance, ship_length_coverage, daily_quality, pooled_jeffreys, model_parameters, model_with_bootstrap, ideal_transmissions,
         deterministic_uniform, reception_decisions, validation_mae, legacy_bins, legacy_vessels, legacy_summary, legacy_diagnostics, gap_histogram, type5_asof_distance, rolling_7_30, monthly_of_daily, spearman_trend,
         year_comparison, position_density, stored_days, runs_overlapping, current_aggregate, first_known_length, weekday_means, matched_years,
