@@ -24,7 +24,7 @@ from tidewatch.operators import fragments, ingest
 
 PATIENCE_S, SALTS = 600, 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PLAIN = "received_ns bigint, sequence string, source_id string, tag string, channel string, payload string, fill_bits int, code string"
+_PLAIN = "received_ns bigint, sequence string, source_id string, session bigint, tag string, channel string, payload string, fill_bits int, code string"
 
 
 def ready(spark: SparkSession) -> None:
@@ -34,7 +34,7 @@ def ready(spark: SparkSession) -> None:
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"received_ns": "int64", "fill_bits": "Int32"})
+    return pd.DataFrame(rows, columns=names).astype({"received_ns": "int64", "session": "Int64", "fill_bits": "Int32"})
 
 
 class Parts(StatefulProcessor):
@@ -60,8 +60,8 @@ class Parts(StatefulProcessor):
         held = self.open.get() if self.open.exists() else None
         state = fragments.Assembler(int(every["total"].iloc[0]), held[0] if held else None, self.timeout_ns)
         own = None
-        for ns, sequence, source, tag, channel, number, payload, fill in zip(*(every[c].tolist() for c in ("received_ns", "sequence", "source_id", "tag", "channel", "number", "payload", "fill_bits")), strict=True):
-            own = [source, tag, channel]
+        for ns, sequence, source, session, tag, channel, number, payload, fill in zip(*(every[c].tolist() for c in ("received_ns", "sequence", "source_id", "session", "tag", "channel", "number", "payload", "fill_bits")), strict=True):
+            own = [source, int(session), tag, channel]
             out += self._rows(state.add(int(ns), sequence, int(number), payload, int(fill)), own)
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
@@ -128,8 +128,10 @@ def _text(c: str, passes: Column) -> Column:
 
 
 def live_outcomes(lines: DataFrame, patience_s: int = PATIENCE_S) -> DataFrame:
-    """Streaming ``ingest.outcomes`` of ``lines(received_ns, sequence, sentence)``; ``source_id`` may be given, and ``code`` for lines that are known to be bad."""
-    df = lines.withColumn("sequence", F.col("sequence").cast("string"))
+    """Streaming ``ingest.outcomes`` of ``lines(received_ns, sequence, sentence)``; ``source_id`` and ``session`` may be given, and ``code`` for rows that are known to be no sentence."""
+    # as text of equal length, so that it sorts like the number
+    df = lines.withColumn("sequence", F.col("sequence") if lines.schema["sequence"].dataType.simpleString() == "string" else F.lpad(F.col("sequence").cast("string"), 19, "0"))
+    df = df if "session" in df.columns else df.withColumn("session", F.lit(0).cast("bigint"))
     df = df if "source_id" in df.columns else df.withColumn("source_id", F.lit("live"))
     df = df.withColumn("line_code", F.col("code") if "code" in df.columns else F.lit(None).cast("string")).drop("code")
     framed = nmea.with_envelope(df).withColumn("code", F.coalesce("line_code", "code"))
@@ -144,6 +146,12 @@ def live_outcomes(lines: DataFrame, patience_s: int = PATIENCE_S) -> DataFrame:
     return read.withColumn("code", F.coalesce("before_decoding", "code", F.when(F.col("repeated"), "DUPLICATE"))).drop("before_decoding", "repeated")
 
 
+def live_reports(outcomes: DataFrame) -> DataFrame:
+    """Position reports out of ``live_outcomes``, as ``live_intervals`` takes them; numbers of records must be numbers here."""
+    rows = outcomes.where("code IS NULL AND lat IS NOT NULL")
+    return rows.select("mmsi", "vessel_class", "class_b_mode", F.col("received_ns").alias("ts_ns"), F.col("sequence").cast("bigint").alias("seq"), "session", "sog", "cog", "heading", "nav_status", "lat", "lon")
+
+
 def unfinished(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What a stopped stream's checkpoint holds open: an INCOMPLETE_FRAGMENT each, at the last part's time plus the timeout."""
     known = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains('"open"')).select("operatorId").distinct().collect()
@@ -151,4 +159,4 @@ def unfinished(spark: SparkSession, checkpoint: str) -> DataFrame:
     parts = F.from_json("value.text", "array<string>")
     last, first = parts[2].cast("bigint"), parts[3]
     own = F.from_json("value.own", "array<string>")
-    return held.select((last + fragments.TIMEOUT_NS).alias("received_ns"), first.alias("sequence"), own[0].alias("source_id"), own[1].alias("tag"), own[2].alias("channel"), F.lit("INCOMPLETE_FRAGMENT").alias("code"))
+    return held.select((last + fragments.TIMEOUT_NS).alias("received_ns"), first.alias("sequence"), own[0].alias("source_id"), own[1].cast("bigint").alias("session"), own[2].alias("tag"), own[3].alias("channel"), F.lit("INCOMPLETE_FRAGMENT").alias("code"))
