@@ -127,9 +127,10 @@ def test_calibration(spark):
     assert lo < hi and (lo, hi) == calibrate.day_bootstrap([(90, 100), (70, 100), (80, 100), (60, 100), (75, 100)], 1000, 42)
 
 
-def test_split_mix_equals_the_java_library(spark):
-    other, mine = spark._jvm.java.util.SplittableRandom(20251101), calibrate.SplittableRandom(20251101)
-    assert [other.nextInt(30) for _ in range(200)] == [mine.below(30) for _ in range(200)]
+@pytest.mark.parametrize("bound", [1, 2, 3, 30, 64, 1_500_000_001])
+def test_draws_equal_the_java_library(spark, bound):
+    other = spark._jvm.java.util.SplittableRandom(20251101)
+    assert [other.nextInt(bound) for _ in range(300)] == calibrate.splittable_below(20251101, bound, 300).tolist()
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -27,31 +27,24 @@ def pooled(days: DataFrame) -> DataFrame:
     return df.withColumns({"raw_loss": F.when(some, F.col("missing") / F.col("expected")), "raw_reception": F.when(some, F.col("observed") / F.col("expected")), "p": F.when(some, F.expr(jeffreys("observed", "expected")))})
 
 
-class SplittableRandom:
-    """The published SplitMix64 generator with bounded integers, as java.util.SplittableRandom draws them."""
+def splittable_below(seed: int, bound: int, count: int) -> np.ndarray:
+    """``count`` integers in [0, bound), as java.util.SplittableRandom (the published SplitMix64) draws them.
 
-    def __init__(self, seed: int):
-        self.state, self.gamma = seed & _M64, 0x9E3779B97F4A7C15
-
-    def _mix32(self, z: int) -> int:
-        z = (z ^ z >> 33) * 0x62A9D9ED799705F5 & _M64
-        return ((z ^ z >> 28) * 0xCB24D0A5C88C35B3 & _M64) >> 32
-
-    def next_int(self) -> int:
-        self.state = self.state + self.gamma & _M64
-        r = self._mix32(self.state)
-        return r - (1 << 32) if r >= 1 << 31 else r
+    Its state is a counter, so all draws are made at once. A draw that would favour small numbers is skipped, which only moves on the counter.
+    """
+    def draws(first: int, n: int) -> np.ndarray:
+        z = np.uint64(seed & _M64) + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(33))) * np.uint64(0x62A9D9ED799705F5)
+        return ((z ^ (z >> np.uint64(28))) * np.uint64(0xCB24D0A5C88C35B3)) >> np.uint64(32)
 
-    def below(self, bound: int) -> int:
-        """Uniform in [0, bound), by masking powers of two and rejecting the uneven rest."""
-        r = self.next_int()
-        m = bound - 1
-        if bound & m == 0:
-            return r & m
-        u = (r & 0xFFFFFFFF) >> 1
-        while u + m - u % bound >= 1 << 31:
-            u = (self.next_int() & 0xFFFFFFFF) >> 1
-        return u % bound
+    if bound & (bound - 1) == 0:
+        return (draws(0, count) & np.uint64(bound - 1)).astype(np.int64)
+    found, at = np.empty(0, np.int64), 0
+    while len(found) < count:
+        n = count - len(found) + 16
+        u = (draws(at, n) >> np.uint64(1)).astype(np.int64)
+        found, at = np.concatenate((found, (u % bound)[u + bound - 1 - u % bound < 1 << 31])), at + n
+    return found[:count]
 
 
 def cell_seed(seed: int, band: int, vessel_class: str) -> int:
@@ -61,8 +54,8 @@ def cell_seed(seed: int, band: int, vessel_class: str) -> int:
 
 def day_bootstrap(rows: list[tuple[int, int]], iterations: int, seed: int) -> tuple[float, float]:
     """2.5 and 97.5 percent bounds of the Jeffreys rate over resampled days (observed, expected)."""
-    draw, n = SplittableRandom(seed), len(rows)
-    picks = np.array([draw.below(n) for _ in range(iterations * n)], np.int64).reshape(iterations, n)
+    n = len(rows)
+    picks = splittable_below(seed, n, iterations * n).reshape(iterations, n)
     table = np.array(rows, np.float64)[picks].sum(axis=1)
     rates = np.sort((table[:, 0] + 0.5) / (table[:, 1] + 1))
     return float(rates[int(np.floor(0.025 * (iterations - 1)))]), float(rates[int(np.ceil(0.975 * (iterations - 1)))])

@@ -233,7 +233,7 @@ SELECT s.day, buckets, first_bucket, last_bucket, coalesce(accepted, 0) AS accep
         "legacy_summary": f"{base}, {_LEGACY}, {_TOTALS} SELECT category, count(*) AS vessels, round(avg(loss_pct), 6) AS mean_pct, round(quantile_cont(loss_pct, 0.5), 6) AS median_pct, round(max(loss_pct), 6) AS max_pct, round(max(max_lossy_km), 6) AS max_km FROM totals GROUP BY ALL",
         "legacy_diagnostics": f"{base}, {_LEGACY} SELECT category, count(*) AS n, count(*) FILTER (gap_s = 0) AS zero, count(*) FILTER (gap_s < 0.5) AS below_half, CAST(sum(loss) AS BIGINT) AS loss, round(quantile_cont(gap_s, 0.5), 6) AS p50, round(quantile_cont(gap_s, 0.75), 6) AS p75, round(quantile_cont(gap_s, 0.9), 6) AS p90 FROM legacy GROUP BY ALL",
         "gap_histogram": f"{base}, {_LEGACY} SELECT category, gap_bucket, count(*) AS n, round(quantile_cont(gap_s, 0.5), 6) AS p50, round(quantile_cont(gap_s, 0.9), 6) AS p90 FROM (SELECT *, CASE WHEN gap_s <= 360 THEN 0 WHEN gap_s <= 539 THEN 1 WHEN gap_s <= 720 THEN 2 WHEN gap_s <= 1079 THEN 3 WHEN gap_s <= 1439 THEN 4 WHEN gap_s <= 1799 THEN 5 WHEN gap_s <= 2159 THEN 6 WHEN gap_s <= 3599 THEN 7 ELSE 8 END AS gap_bucket FROM legacy) GROUP BY ALL",
-        "type5_asof_distance": f"WITH reports AS ({_REPORTS}), {_UPDATES}, static AS (SELECT seq, mmsi, CAST((ts_ns - 1704067200000000000) // 5 AS BIGINT) + 1704067200000000000 AS ts_ns FROM updates WHERE seq % 6 = 0), dynamic AS (SELECT mmsi, ts_ns, seq, {geo.receiver_km('lat', 'lon')} AS km FROM reports WHERE event_id % 6 <> 0) SELECT s.seq, s.mmsi, round(d.km, 6) AS km FROM static s ASOF LEFT JOIN dynamic d ON s.mmsi = d.mmsi AND d.ts_ns <= s.ts_ns",
+        "type5_asof_distance": f"WITH reports AS ({_REPORTS}), {_UPDATES}, static AS (SELECT seq, mmsi, CAST((ts_ns - 1704067200000000000) // 5 AS BIGINT) + 1704067200000000000 AS ts_ns FROM updates), dynamic AS (SELECT mmsi, ts_ns, seq, {geo.receiver_km('lat', 'lon')} AS km FROM reports) SELECT s.seq, s.mmsi, round(d.km, 6) AS km FROM static s ASOF LEFT JOIN dynamic d ON s.mmsi = d.mmsi AND d.ts_ns <= s.ts_ns",
         "rolling_7_30": f"{base}, {_LEGACY}, {_DAILY} SELECT day, category, round(loss_pct, 6) AS loss_pct, round(CASE WHEN count(loss_pct) OVER s >= 4 THEN avg(loss_pct) OVER s END, 6) AS rolling_7, round(CASE WHEN count(loss_pct) OVER l >= 15 THEN avg(loss_pct) OVER l END, 6) AS rolling_30 FROM daily_rates WINDOW s AS (PARTITION BY category ORDER BY day ROWS 6 PRECEDING), l AS (PARTITION BY category ORDER BY day ROWS 29 PRECEDING)",
         "monthly_of_daily": f"{base}, {_LEGACY}, {_DAILY} SELECT strftime(day, '%Y-%m') AS month, category, round(avg(vessels), 6) AS mean_vessels, round(quantile_cont(loss_pct, 0.25), 6) AS q1, round(quantile_cont(loss_pct, 0.5), 6) AS median, round(quantile_cont(loss_pct, 0.75), 6) AS q3 FROM daily_rates GROUP BY ALL",
         "spearman_trend": f"{base}, {_LEGACY}, {_DAILY}, ranks AS (SELECT *, date_diff('day', DATE '2000-01-01', day) AS x, rank() OVER (PARTITION BY category ORDER BY observed + loss) + (count(*) OVER (PARTITION BY category, observed + loss) - 1) / 2e0 AS re, rank() OVER (PARTITION BY category ORDER BY loss_pct) + (count(*) OVER (PARTITION BY category, loss_pct) - 1) / 2e0 AS rr FROM daily_rates WHERE loss_pct IS NOT NULL) SELECT category, round(regr_slope(loss_pct, x) * 30, 6) AS slope_30d, round(corr(re, rr), 6) AS spearman, round(avg(loss_pct), 6) AS mean_pct, round(stddev_samp(loss_pct), 6) AS sd_pct FROM ranks GROUP BY ALL",

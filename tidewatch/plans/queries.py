@@ -460,7 +460,7 @@ def model_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_with_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _calibration_days(spark, sf_dir)
-    return rounded(calibrate.parameters(calibrate.pooled(days), calibrate.intervals_by_bootstrap(days, 200)))
+    return rounded(calibrate.parameters(calibrate.pooled(days), calibrate.intervals_by_bootstrap(days)))
 
 
 def _ideal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,8 +550,8 @@ def gap_class_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type5_asof_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static updates with the distance of the latest position before them."""
-    static = _updates(spark, sf_dir).where("seq % 6 = 0").withColumn("ts_ns", F.floor((F.col("ts_ns") - 1_704_067_200_000_000_000) / 5).cast("bigint") + 1_704_067_200_000_000_000)
-    dynamic = reports(spark, sf_dir).where("event_id % 6 <> 0").withColumn("km", F.expr(geo.receiver_km("lat", "lon")))
+    static = _updates(spark, sf_dir).withColumn("ts_ns", F.floor((F.col("ts_ns") - 1_704_067_200_000_000_000) / 5).cast("bigint") + 1_704_067_200_000_000_000)
+    dynamic = reports(spark, sf_dir).withColumn("km", F.expr(geo.receiver_km("lat", "lon")))
     return rounded(legacy.static_positions(static, dynamic).select("seq", "mmsi", "km"))
 
 

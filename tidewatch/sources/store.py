@@ -38,7 +38,8 @@ class ResultStore:
     def publish_days(self, runs: DataFrame, tables: dict[str, DataFrame]) -> None:
         """Many runs in one job a table: ``tables`` carry ``run_id``; their rows of these runs are replaced, then the runs appear."""
         for name, rows in tables.items():
-            rows.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.path}/{name}")
+            # by run, but a run of many rows is cut into several files
+            rows.hint("rebalance", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.path}/{name}")
         rows = runs.withColumn("of", F.col("run_id")) if "ended_us" in runs.columns else runs.withColumn("of", F.col("run_id")).withColumn("ended_us", F.lit(None).cast("bigint"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of").parquet(f"{self.path}/runs")
 
