@@ -72,9 +72,9 @@ PERIOD_KEYS = {
 }
 
 
-def by_period(daily: DataFrame, key: str) -> DataFrame:
-    """``daily(day, category, mmsi, observed, loss)`` by a period and category: sums, vessels, active days, rate."""
-    df = daily.withColumn("period", PERIOD_KEYS[key](F.col("day"))).groupBy("period", "category")
+def by_period(daily: DataFrame, key: str, *more: str) -> DataFrame:
+    """``daily(day, category, mmsi, observed, loss)`` by a period, category and ``more`` columns such as ``bin``: sums, vessels, active days, rate."""
+    df = daily.withColumn("period", PERIOD_KEYS[key](F.col("day"))).groupBy("period", "category", *more)
     df = df.agg(F.sum("observed").alias("observed"), F.sum("loss").alias("loss"), F.countDistinct("mmsi").alias("vessels"), F.countDistinct("day").alias("days"))
     return df.withColumn("loss_pct", F.expr(rates.percent("loss", "observed + loss")))
 
@@ -122,6 +122,29 @@ def year_comparison(daily_bins: DataFrame, max_km: int = 80, least_vessels: int
     return df.withColumns({"loss_pct": F.expr(rates.percent("loss", "observed + loss")), "loss_per_vessel_day": F.expr("CASE WHEN vessel_days > 0 THEN CAST(loss AS DOUBLE) / vessel_days END"), "small_sample": F.col("vessels") < least_vessels})
 
 
+WEEKDAYS = ("MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY")
+
+
+def on_weekday(daily: DataFrame, weekday: str = "ALL") -> DataFrame:
+    return daily if weekday == "ALL" else daily.where(F.weekday("day") == WEEKDAYS.index(weekday))
+
+
+def bin_metrics(daily_bins: DataFrame, weekday: str = "ALL", max_km: int = 80, width: int = BIN_KM, least_vessels: int = 3) -> DataFrame:
+    """Every bin up to ``max_km`` on one weekday or all: sums, rate, and losses per vessel and day (vessels times days); rates are null below ``least_vessels``."""
+    chosen = on_weekday(daily_bins, weekday)
+    sums = chosen.groupBy("bin").agg(F.sum("observed").alias("observed"), F.sum("loss").alias("loss"), F.countDistinct("mmsi").alias("vessels"), F.countDistinct("day").alias("days"))
+    spine = daily_bins.sparkSession.range((max_km - width // 2 + width - 1) // width).select(F.col("id").cast("int").alias("bin"))
+    df = spine.join(sums, "bin", "left").fillna(0, ["observed", "loss", "vessels", "days"]).withColumn("small_sample", F.col("vessels") < least_vessels)
+    sure = lambda c: F.when(~F.col("small_sample"), c)
+    return df.withColumns({"loss_pct": sure(F.expr(rates.percent("loss", "observed + loss"))), "loss_per_vessel_day": sure(F.expr("CASE WHEN vessels > 0 THEN CAST(loss AS DOUBLE) / (vessels * days) END"))})
+
+
+def overall_metrics(daily_bins: DataFrame, weekday: str = "ALL", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Totals over all bins, whose vessels and days count once; zeros where nothing is."""
+    df = on_weekday(daily_bins, weekday).groupBy(*keys).agg(F.countDistinct("day").alias("days"), F.countDistinct("mmsi").alias("vessels"), F.coalesce(F.sum("observed"), F.lit(0)).alias("observed"), F.coalesce(F.sum("loss"), F.lit(0)).alias("loss"))
+    return df.withColumns({"loss_pct": F.expr(f"coalesce({rates.percent('loss', 'observed + loss')}, 0e0)"), "loss_per_vessel_day": F.expr("CASE WHEN vessels > 0 THEN CAST(loss AS DOUBLE) / (vessels * days) ELSE 0e0 END")})
+
+
 def density(reports: DataFrame, max_km: float = 80.0, size: int = 40) -> DataFrame:
     """Counts on a square latitude-longitude grid around the receiver; the outer edges are closed."""
     half_lat = max_km / 111.32

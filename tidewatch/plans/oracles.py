@@ -246,6 +246,16 @@ SELECT year, category, bin, coalesce(observed, 0) AS observed, coalesce(loss, 0)
         if name != "year":
             kept = f"(SELECT {period} AS period, band, vessel_class, {_SUMS}, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days FROM parts WHERE day <> DATE '2024-01-03' AND day BETWEEN DATE '2023-12-31' AND DATE '2024-12-31' GROUP BY ALL)"
             sql[f"stored_rollup_{name}"] = f"{base}, {_BAND_ROWS} SELECT period, band, vessel_class, {_SHOWN}, first_bucket, last_bucket, vessels, days, {_RATES} FROM {kept}"
+    shifted = "shifted AS MATERIALIZED (SELECT category, CAST(floor(s_km / 10) AS INT) AS bin, mmsi, CAST(start_day + CAST(mmsi % 3 * 366 AS INT) AS DATE) AS day, loss FROM legacy)"
+    counted = "count(*) AS observed, CAST(sum(loss) AS BIGINT) AS loss, count(DISTINCT mmsi) AS vessels, count(DISTINCT day) AS days"
+    pct = "round(loss * 100e0 / (observed + loss), 6)"
+    sql |= {
+        "research_bins": f"{base}, {_LEGACY}, {shifted} SELECT *, {pct} AS loss_pct FROM (SELECT strftime(day, '%Y') AS period, category, bin, {counted} FROM shifted GROUP BY ALL)",
+        "overall_by_year": f"{base}, {_LEGACY}, {shifted} SELECT *, {pct} AS loss_pct, round(loss / (vessels * days), 6) AS loss_per_vessel_day FROM (SELECT CAST(year(day) AS INT) AS year, {counted} FROM shifted GROUP BY ALL)",
+        "bin_metrics_by_weekday": f"""{base}, {_LEGACY}, {shifted}, asked AS (SELECT * FROM (VALUES ('ALL', 0), ('TUESDAY', 2), ('SUNDAY', 7)) AS t(weekday, no)), spine AS (SELECT weekday, CAST(unnest(generate_series(0, 7)) AS INT) AS bin FROM asked),
+sums AS (SELECT weekday, bin, {counted} FROM asked JOIN shifted ON no = 0 OR isodow(day) = no GROUP BY ALL)
+SELECT weekday, bin, coalesce(observed, 0) AS observed, coalesce(loss, 0) AS loss, coalesce(vessels, 0) AS vessels, coalesce(days, 0) AS days, coalesce(vessels, 0) < 3 AS small_sample, CASE WHEN vessels >= 3 THEN {pct} END AS loss_pct, CASE WHEN vessels >= 3 THEN round(loss / (vessels * days), 6) END AS loss_per_vessel_day FROM spine LEFT JOIN sums USING (weekday, bin)""",
+    }
     from tidewatch.plans.queries import SNAPSHOT_NS
 
     used = "day NOT IN (DATE '2024-01-03', DATE '2024-01-04') AND day BETWEEN DATE '2023-12-31' AND DATE '2024-01-12'"

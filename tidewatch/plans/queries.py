@@ -592,10 +592,30 @@ def matched_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(legacy.by_period(legacy.matched_period(_daily(spark, sf_dir), "07-03"), "YEAR"))
 
 
-def year_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _daily_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _legacy(spark, sf_dir).withColumn("bin", F.floor(F.col("start_km") / 10).cast("int")).withColumn("day", F.date_add("start_day", (F.col("mmsi") % 3 * 366).cast("int")))
-    daily = df.groupBy("day", "category", "bin", "mmsi").agg(F.count("*").alias("observed"), F.sum("loss").alias("loss"))
-    return rounded(legacy.year_comparison(daily))
+    return df.groupBy("day", "category", "bin", "mmsi").agg(F.count("*").alias("observed"), F.sum("loss").alias("loss"))
+
+
+def year_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(legacy.year_comparison(_daily_bins(spark, sf_dir)))
+
+
+def bin_metrics_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins on two weekdays and on all days."""
+    df = _daily_bins(spark, sf_dir)
+    shown = [legacy.bin_metrics(df, d).select(F.lit(d).alias("weekday"), "*") for d in ("ALL", "TUESDAY", "SUNDAY")]
+    return rounded(shown[0].union(shown[1]).union(shown[2]))
+
+
+def overall_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of each year, bins put together."""
+    return rounded(legacy.overall_metrics(_daily_bins(spark, sf_dir).withColumn("year", F.year("day")), keys=("year",)))
+
+
+def research_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years by category and bin."""
+    return rounded(legacy.by_period(_daily_bins(spark, sf_dir), "YEAR", "bin"))
 
 
 def position_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,7 +629,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cell_metric_5m, distance_metric_5m, vessel_day_metric, heat_cells, distance_hour, vessel_presence, daily_distance_summary, outside_range, decode_roundtrip, checksum, dedup_1s, fragment_outcomes, old_decoder, log_ingest, log_diagnostics, log_replay_days, static_roundtrip,
         metadata_versions, metadata_as_of, ship_length_reach, ship_length_performance, ship_length_coverage, daily_quality, pooled_jeffreys, model_parameters, model_with_bootstrap, ideal_transmissions,
         deterministic_uniform, reception_decisions, validation_mae, legacy_bins, legacy_vessels, legacy_summary, legacy_diagnostics, gap_histogram, type5_asof_distance, rolling_7_30, monthly_of_daily, spearman_trend,
-        year_comparison, position_density, stored_days, runs_overlapping, current_aggregate, first_known_length, weekday_means, matched_years,
+        year_comparison, bin_metrics_by_weekday, overall_by_year, research_bins, position_density, stored_days, runs_overlapping, current_aggregate, first_known_length, weekday_means, matched_years,
     )
 }
 ALL |= {f"rollup_{d.lower()}": _rollup(d) for d in ("DAY", "DAY_OF_WEEK", "MONTH", "YEAR", "HOUR_OF_DAY")}

@@ -73,9 +73,9 @@ def marked_report(df: DataFrame, about: dict[str, str], digits: int = 6, order:
     Doubles have ``digits`` decimals, nulls are empty, and texts with a comma, quote or line break are quoted.
     """
     def shown(c: str, t: str) -> Column:
-        text = F.format_string(f"%.{digits}f", F.col(c)) if t == "double" else F.col(c).cast("string")
+        text = F.format_string(f"%.{digits}f", F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`").cast("string")
         quoted = F.when(text.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
-        return F.when(F.col(c).isNotNull(), quoted).otherwise("")
+        return F.when(F.col(f"`{c}`").isNotNull(), quoted).otherwise("")
 
     head = [*(f"# {k}: {v}" for k, v in about.items()), ",".join(df.columns)]
     top = df.sparkSession.createDataFrame([(0, k, ("\ufeff" if not k else "") + line) for k, line in enumerate(head)], "part int, k bigint, value string")
