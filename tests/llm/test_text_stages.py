@@ -180,8 +180,8 @@ def _texts(spark, pages):
 
 def test_template_is_dropped_by_its_own_text(spark):
     copies = [f"<body><article><h1>Same</h1><p>One story.</p></article><script>{k}</script><div class='ad'>Advert {k}</div></body>" for k in range(14)]
-    stubs = [f"<body><article><h1>T {k}</h1><div class='lead'>Coming soon</div><p>Body {k}</p></article></body>" for k in range(8)]
-    others = [f"<body><article><h1>T {k}</h1><div class='lead'>Lead {k}</div><p>Body {k}</p></article></body>" for k in range(8, 12)]
+    stubs = [f"<body><main><h1>T {k}</h1><div class='lead'>Coming soon</div><p>Body {k}</p></main></body>" for k in range(8)]
+    others = [f"<body><main><h1>T {k}</h1><div class='lead'>Lead {k}</div><p>Body {k}</p></main></body>" for k in range(8, 12)]
     got = _texts(spark, [*copies, *stubs, *others])
     assert got[:14] == ["Same\n\nOne story."] * 14
     assert got[14:22] == [f"T {k}\n\nBody {k}" for k in range(8)]
@@ -205,3 +205,73 @@ def test_names_drop_whole_tokens_only(spark):
     assert _texts(spark, bare) == ["In a form", "Body", "Wrapped", "Links\n\nPlain"]
     aside = "<article><p>Own</p></article><aside><article>Teaser</article></aside><div class='comments'><article>Other</article></div>"
     assert _texts(spark, [aside]) == ["Own"]
+
+
+def test_an_article_keeps_what_repeats(spark):
+    """A heading that all articles of a host have is theirs, however many pages the host has."""
+    recipe = "<body><div class='top'>Menu</div><article><h1>Dish {0}</h1><h2>Ingredients</h2><p>Flour {0}</p><h2>Method</h2><p>Mix {0}</p><p>Serve warm.</p></article></body>"
+    for n in (3, 10):
+        assert _texts(spark, [recipe.format(k) for k in range(n)]) == [f"Dish {k}\n\nIngredients\n\nFlour {k}\n\nMethod\n\nMix {k}\n\nServe warm." for k in range(n)]
+
+
+def test_pages_without_an_article_are_aligned(spark):
+    page = "<body><div>Site name</div>{extra}<p>Story {k} begins.</p><p>Story {k} ends.</p>{teaser}<div>All rights reserved</div></body>"
+    pages = [page.format(k=k, extra="<div>Breaking now</div>" if k % 3 == 0 else "", teaser=f"<div>See also {k}</div>" if k % 2 else "") for k in range(18)]
+    assert _texts(spark, pages) == [f"Story {k} begins.\n\nStory {k} ends." + (f"\n\nSee also {k}" if k % 2 else "") for k in range(18)]
+    assert _texts(spark, pages[1:4])[0] == "Site name\n\nStory 1 begins.\n\nStory 1 ends.\n\nSee also 1\n\nAll rights reserved"  # too few to tell
+
+
+def _most(a, t):
+    """Largest number of matching pairs of two trees (key, children), by trying all ways."""
+    if a[0] != t[0]:
+        return 0
+
+    def best(rows, columns):
+        if not rows or not columns:
+            return 0
+        return max(best(rows[1:], columns), best(rows, columns[1:]), (_most(rows[0], columns[0]) + best(rows[1:], columns[1:])) if rows[0][0] == columns[0][0] else 0)
+
+    return 1 + best(a[1], t[1])
+
+
+def test_matching_equals_trying_all_ways():
+    import random
+
+    rng = random.Random(8)
+
+    def tree(level=0):
+        return rng.choice("xyz") if level else "body", [tree(level + 1) for _ in range(rng.randrange(4) if level < 3 else 0)]
+
+    def html(t):
+        return f"<{t[0]}>w{''.join(map(html, t[1]))}</{t[0]}>"
+
+    for _ in range(200):
+        a, t = tree(), tree()
+        slot = html_main.read_template(html_main.template([html(t)]))
+        assert html_main.Matcher().weight(html_main.parse(html(a))[0].content[0], slot.children[0], 1) // html_main.PAIR == _most(a, t)
+        assert len(html_main.slots(html_main.parse(html(a)), slot)) == 1 + _most(a, t)
+        both = html_main.read_template(html_main.template([html(a), html(t)]))
+        assert len(html_main.slots(html_main.parse(html(t)), both)) == 1 + _most(t, t)
+
+
+def test_compound_names(spark):
+    boxes = ["reader-comments", "promo-box", "cookie-bar", "post-comments", "site-nav-top", "ad_slot_2 x", "newsletter-signup-form"]
+    plain = ["has-sidebar", "no-comments", "article-content", "top-story", "menu-planning-tips", "share-price", "content-area"]
+    page = "<body><article><p>Own {1}</p><div class='{0}'>Box {1}</div></article></body>"
+    assert _texts(spark, [page.format(b, k) for k, b in enumerate(boxes)]) == [f"Own {k}" for k in range(len(boxes))]
+    assert _texts(spark, [page.format(b, k) for k, b in enumerate(plain)]) == [f"Own {k}\n\nBox {k}" for k in range(len(plain))]
+
+
+def test_long_and_broken_pages_take_linear_time(spark):
+    import time
+
+    broken = ["<a " * 300_000 + '"', "<svg><p>" * 60_000, "<div>" * 60_000 + "</p>" * 60_000, "<!--" * 200_000, "</script " * 100_000, '<p title="' * 100_000, "<x>" * 60_000 + "<tr></tr>" * 40_000, "<p>word</p>" * 50_000]
+    for text in broken:
+        began = time.time()
+        nodes = html_main.parse(text)
+        html_main.main_text(nodes, set())
+        html_main.slots(nodes, html_main.read_template(html_main.template([text[: len(text) // 2]])))
+        assert time.time() - began < 20, text[:20]
+    rows = [(1, "https://c.example", broken[-1], 3, "t", 5), (1, "https://c.example", broken[-1], 3, "t", 5)]
+    got = html_main.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, skeleton int, text string, vote int")).collect()
+    assert len(got) == 2 and got[0].text == "\n\n".join(["word"] * 50_000)
