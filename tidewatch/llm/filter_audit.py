@@ -97,8 +97,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def masked(documents: DataFrame) -> DataFrame:
     """(doc_id, part, mask) of each row of ``documents(doc_id, text, source)``, duplicates (bit 16) included."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.xxhash64(text).alias("fp"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"))
+    rows = documents.select(F.xxhash64(text).alias("fp"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"))
     dealt = rows.repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "text", "doc_id")
+    # the cut points take a pass of their own over the rows, which the other filters needn't share
+    dealt = dealt.withColumn("mask", failures(F.col("text")))
     runs = common.saved(dealt.mapInArrow(_scan, _RUN), "text-runs")
     edge = runs.where("edge_text is not null")
     least = edge.groupBy("fp", "edge_text").agg(F.min("first_id").alias("least_id"), F.collect_set("run").alias("own")).where(F.size("own") > 1)
