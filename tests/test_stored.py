@@ -133,3 +133,27 @@ def test_repeated_lines_are_counted(spark):
     kept, counts = logs.drop_repeats_counted(spark.createDataFrame(rows, "file string, line_no bigint, value string"))
     assert sorted((r.file, r.line_no) for r in kept.collect()) == [("f", 0), ("f", 2), ("f", 4), ("g", 0)]
     assert sorted(tuple(r) for r in counts.select("file", "total", "duplicate", "invalid", "target").collect()) == [("f", 5, 2, 1, 1), ("g", 1, 0, 0, 1)]
+
+
+def test_archive_days(spark):
+    names = ["240101-1.ais", "240101-2.ais", "240103-1.ais", "240103-1.ais.gz", "240105-1.AIS.GZ", "241399-1.ais", "notes.txt"]
+    found = logs.archive(spark.createDataFrame([(f"file:///a/{n}", 10 + k) for k, n in enumerate(names)], "file string, n_bytes bigint"))
+    days = {str(r.day): (r.n_files, r.n_bytes, r.parts, r.overlaps, r.multipart) for r in logs.archive_days(found).collect()}
+    assert days == {"2024-01-01": (2, 21, 2, 0, True), "2024-01-03": (2, 25, 1, 1, False), "2024-01-05": (1, 14, 1, 0, False)}
+    span = logs.archive_span(found).first()
+    assert (span.days, span.calendar_days, span.missing_days, span.multipart_days, span.overlaps, span.n_bytes) == (3, 5, 2, 1, 1, 60)
+    assert logs.archive_span(found.where("false")).first().missing_days == 0
+
+
+def test_stored_rows_of_a_time_and_class(spark, tmp_path):
+    kept = store.ResultStore(spark, f"{tmp_path}/s")
+    kept.publish(("r", DAY, "f", "rx", "p", 1), {"facts": spark.createDataFrame([(k, c, 0.5) for k in range(4) for c in "AB"], "bucket bigint, vessel_class string, v double")})
+    assert sorted((r.bucket, r.vessel_class) for r in kept.read("facts", 1, 3, ("A",)).collect()) == [(1, "A"), (2, "A")]
+    report = store.marked_report(spark.createDataFrame([(0.5, 2.0)], "rate double, seconds double"), {}, {"seconds": 3})
+    assert [r.value for r in report.collect()][-1] == "0.500000,2.000"
+
+
+def test_answers_are_in_order(spark):
+    rolled = spark.createDataFrame([("SUNDAY", 1, "A"), ("MONDAY", 1, "B"), ("MONDAY", 0, "A")], "period string, band int, vessel_class string")
+    got = stored.answered(rolled, spark.range(3)).collect()
+    assert [(r.period, r.band_label, r.included_runs) for r in got] == [("MONDAY", "0-5 km", 3), ("MONDAY", "5-10 km", 3), ("SUNDAY", "5-10 km", 3)]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions import rates
+from tidewatch.functions import geo, rates
 from tidewatch.operators import cube, intervals
 
 NS, HOUR_NS = rates.NS, 3600 * rates.NS
@@ -56,6 +56,11 @@ def displayed(states: DataFrame, trail: DataFrame, at_ns: int, classes: tuple[st
     return df.select("mmsi", "vessel_class", "lat", "lon", direction, "age_s", F.col("expected_here").alias("expected_s"), F.expr(rates.freshness_state("age_s", "expected_here")).alias("state"), (F.col("age_s") < visible_s).alias("visible"), points.alias("trail"))
 
 
+def detailed(shown: DataFrame) -> DataFrame:
+    """``displayed`` vessels with their distance to the receiver."""
+    return shown.withColumn("km", F.expr(geo.receiver_km("lat", "lon")))
+
+
 class ReplayIndex:
     """Tables under ``path``: ``rows/hour=`` and ``before/hour=``."""
 

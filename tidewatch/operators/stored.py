@@ -94,6 +94,18 @@ def observed_validation(facts: DataFrame, presence: DataFrame, days: DataFrame)
     return pooled.join(vessels, keys, "left").fillna(0, ["vessels"])
 
 
+_WEEK = ("MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY")
+
+
+def answered(rolled: DataFrame, runs: DataFrame) -> DataFrame:
+    """A ``rollup`` as it is shown: weekdays from Monday on, other periods by name, then band and class; with a label of the band and the number of runs behind it."""
+    week = F.array_position(F.array(*[F.lit(d) for d in _WEEK]), F.col("period"))
+    there = [c for c in ("band",) if c in rolled.columns]
+    label = [F.concat((F.col("band") * 5).cast("string"), F.lit("-"), ((F.col("band") + 1) * 5).cast("string"), F.lit(" km")).alias("band_label")] if there else []
+    df = rolled.join(F.broadcast(runs.agg(F.count("*").alias("included_runs"))))  # one row
+    return df.select("*", *label).orderBy(week, "period", *there, "vessel_class")
+
+
 def current(facts: DataFrame) -> DataFrame:
     """A session's five-minute rows summed by class and band."""
     return facts.groupBy("vessel_class", "band").agg(*[F.sum(m).alias(m) for m in cube.MEASURES])

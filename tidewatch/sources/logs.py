@@ -98,3 +98,26 @@ def coverage(files: DataFrame, first: str, last: str) -> DataFrame:
     days = files.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     have = files.groupBy("day").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_chars"))
     return days.join(have, "day", "left").fillna(0, ["n_files", "n_chars"]).withColumn("missing", F.col("n_files") == 0)
+
+
+def archive(files: DataFrame) -> DataFrame:
+    """Files named YYMMDD-part.ais or .ais.gz out of ``files(file, n_bytes)``: day, part, whether packed; other names and impossible dates are left out."""
+    name = F.element_at(F.split("file", "/"), -1)
+    pattern = r"(?i)^([0-9]{6})-([0-9]+)[.]ais([.]gz)?$"
+    day = F.try_to_timestamp(F.concat(F.lit("20"), F.regexp_extract(name, pattern, 1)), F.lit("yyyyMMdd")).cast("date")
+    found = files.where(name.rlike(pattern)).select("file", "n_bytes", day.alias("day"), F.regexp_extract(name, pattern, 2).cast("int").alias("part"), (F.regexp_extract(name, pattern, 3) != "").alias("packed"))
+    return found.where("day IS NOT NULL")
+
+
+def archive_days(found: DataFrame) -> DataFrame:
+    """Per day of an ``archive``: files, bytes, parts (several: a multipart date), and parts that are there both plain and packed."""
+    parts = found.groupBy("day", "part").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"), F.count_if("packed").alias("p"))
+    return parts.groupBy("day").agg(F.sum("n").alias("n_files"), F.sum("b").alias("n_bytes"), F.count("*").alias("parts"), F.count_if((F.col("p") > 0) & (F.col("n") > F.col("p"))).alias("overlaps")).withColumn("multipart", F.col("parts") > 1)
+
+
+def archive_span(found: DataFrame) -> DataFrame:
+    """One row: first and last day, days with files, calendar days, and how many of these are missing, multipart or overlapping; bytes."""
+    days = archive_days(found)
+    out = days.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"), F.count_if("multipart").alias("multipart_days"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
+    span = F.coalesce(F.datediff("last_day", "first_day") + 1, F.lit(0))
+    return out.withColumn("calendar_days", span).withColumn("missing_days", span - F.col("days"))

@@ -56,9 +56,16 @@ class ResultStore:
     def equivalent(self, fingerprint: str, receiver: str, profile: str) -> DataFrame:
         return self.runs().where((F.col("fingerprint") == fingerprint) & (F.col("receiver") == receiver) & (F.col("profile") == profile))
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of active runs."""
-        return self.spark.read.parquet(f"{self.path}/{table}").join(self.runs().select("run_id"), "run_id", "left_semi")
+    def read(self, table: str, from_ns: int | None = None, to_ns: int | None = None, classes: tuple[str, ...] | None = None, time: str = "bucket") -> DataFrame:
+        """Rows of active runs; of a stretch of time [from, to) and of some classes only, which the scan filters."""
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        if from_ns is not None:
+            rows = rows.where(F.col(time) >= from_ns)
+        if to_ns is not None:
+            rows = rows.where(F.col(time) < to_ns)
+        if classes is not None:
+            rows = rows.where(F.col("vessel_class").isin(*classes))
+        return rows.join(self.runs().select("run_id"), "run_id", "left_semi")
 
 
 def write_report(df: DataFrame, path: str, digits: int = 6) -> None:
@@ -67,13 +74,14 @@ def write_report(df: DataFrame, path: str, digits: int = 6) -> None:
     df.select(*[F.when(F.col(c).isNotNull(), s).alias(c) for c, s in zip(df.columns, shown, strict=True)]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def marked_report(df: DataFrame, about: dict[str, str], digits: int = 6, order: tuple[str, ...] = ()) -> DataFrame:
+def marked_report(df: DataFrame, about: dict[str, str], digits: int | dict[str, int] = 6, order: tuple[str, ...] = ()) -> DataFrame:
     """Lines of a report as one column ``value``: a byte-order mark, comment lines of ``about``, the header, the rows in ``order``.
 
-    Doubles have ``digits`` decimals, nulls are empty, and texts with a comma, quote or line break are quoted.
+    Doubles have ``digits`` decimals, 6 if it names other columns only; nulls are empty, and texts with a comma, quote or line break are quoted.
     """
     def shown(c: str, t: str) -> Column:
-        text = F.format_string(f"%.{digits}f", F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`").cast("string")
+        places = digits if isinstance(digits, int) else digits.get(c, 6)
+        text = F.format_string(f"%.{places}f", F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`").cast("string")
         quoted = F.when(text.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
         return F.when(F.col(f"`{c}`").isNotNull(), quoted).otherwise("")
 
