@@ -19,7 +19,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.sources.work import saved
@@ -136,12 +136,17 @@ def _slices(timeout_ns: int, kind: pa.DataType, machine: type):
     return run
 
 
+def _stretch(ns: Column, length: int) -> Column:
+    """Number of the stretch of time; whole stretches divide exactly, times as doubles don't."""
+    return F.floor((ns - F.pmod(ns, F.lit(length))) / length).cast("bigint")
+
+
 def noticed(expired: DataFrame, clock: DataFrame, timeout_ns: int = TIMEOUT_NS) -> DataFrame:
     """``expired`` rows with ``received_ns`` moved to the first fragment that comes more than the timeout later, or to the end of the input.
 
     ``clock(received_ns, is_fragment)`` are all lines. First times by minute and by day lead to the right minute, in which only its own lines are looked at.
     """
-    minute, day = (lambda c, n=n: F.floor(c / n).cast("bigint") for n in (MINUTE_NS, DAY_NS))
+    minute, day = (lambda c, n=n: _stretch(c, n) for n in (MINUTE_NS, DAY_NS))
     times = clock.where("is_fragment").select("received_ns")
     minutes = saved(times.groupBy(minute(F.col("received_ns")).alias("minute")).agg(F.min("received_ns").alias("first_ns")), "first-times")
     days = minutes.groupBy(day(F.col("first_ns")).alias("day_")).agg(F.array_sort(F.collect_list(F.struct("minute", "first_ns"))).alias("minutes_"), F.min("first_ns").alias("first_ns"))
@@ -163,7 +168,7 @@ def assembled_parts(parts: DataFrame, clock: DataFrame | None = None, slice_ns:
     kind = parts.schema["sequence"].dataType
     shape, arrow = _SHAPE.format(kind=kind.simpleString()), pa.string() if kind.simpleString() == "string" else pa.int64()
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
-    rows = saved(parts.select(key.alias("key_"), F.floor(F.col("received_ns") / slice_ns).cast("bigint").alias("slice_"), *[c for c in _READ if c not in ("key_", "slice_", "carry_")]), "parts")
+    rows = saved(parts.select(key.alias("key_"), _stretch(F.col("received_ns"), slice_ns).alias("slice_"), *[c for c in _READ if c not in ("key_", "slice_", "carry_")]), "parts")
 
     def run(df: DataFrame, name: str) -> DataFrame:
         dealt = df.select(*_READ).repartition("key_", "slice_").sortWithinPartitions("key_", "slice_", "received_ns", "sequence")

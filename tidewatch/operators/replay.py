@@ -22,7 +22,8 @@ STATE = ["ts_ns", "seq", "vessel_class", "lat", "lon", "heading", "cog", "expect
 
 
 def _hour(ns: Column) -> Column:
-    return F.floor(ns / HOUR_NS)
+    """Number of the hour; whole hours divide exactly, times as doubles don't."""
+    return F.floor((ns - F.pmod(ns, F.lit(HOUR_NS))) / HOUR_NS)
 
 
 def by_day(reports: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ class LiveFacts:
         try:
             contributions = cube.cell_contributions if self.place == ["col", "row"] else cube.band_contributions
             sums = contributions(with_spans(own.where("reason IS NULL"))).groupBy(*self.keys).agg(*[F.sum(m).alias(m) for m in cube.MEASURES])
-            sums.withColumn("hour", F.floor(F.col("bucket") / HOUR_NS)).write.mode("overwrite").partitionBy("hour").parquet(f"{self.path}/deltas/batch={batch}")
+            sums.withColumn("hour", F.floor((F.col("bucket") - F.pmod("bucket", F.lit(HOUR_NS))) / HOUR_NS)).write.mode("overwrite").partitionBy("hour").parquet(f"{self.path}/deltas/batch={batch}")
             newest = own.agg(F.max("ts_ns").alias("m")).first().m
         finally:
             own.unpersist()
