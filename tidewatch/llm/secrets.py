@@ -183,9 +183,14 @@ def redact(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
     return marked.mapInArrow(_redact(names.index("text")), docs.schema)
 
 
+def _count(found, rank: int):
+    # a lambda of two parameters, even with a default, would be given the element's index as the second
+    return F.size(F.filter(found, lambda s: s["rank"] == rank)).cast("bigint")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     found = scan_versions(spark, docs, common.new_path(spark, "ledger"))
     names, base = [r.name for r in RULES], F.filter("found", lambda s: s["rank"] < len(BASE))
-    count = {n: F.size(F.filter("found", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(BASE)}
+    count = {n: _count("found", k).alias(f"n_{n}") for k, n in enumerate(BASE)}
     return found.select(F.col("path").alias("doc_id"), *count.values(), F.sha2(_listed(base, names), 256).alias("base_sha256"), _listed(F.col("found"), names).alias("spans"))
