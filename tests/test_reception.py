@@ -223,3 +223,13 @@ def test_simulated_counts_come_from_the_engine(spark):
     counts = {(r.seed, r.variant, r.band): (r.expected, r.lost) for r in got}
     want = {("CM_E1", 0): (16, 0), ("CLASS_ONLY", 0): (18, 0), ("CLASS_ONLY", 3): (4, 0)}
     assert counts == {(s, *k): n for s in (1, 2) for k, n in want.items()}
+
+
+def test_replayed_lines_keep_their_millisecond(spark, tmp_path):
+    """A report on a whole millisecond isn't written one early, which would put it before a report of the millisecond before."""
+    base, at = 1_704_067_200_000_000, 1_704_067_200_002_000
+    rows = [(3, base + 5 * (at - base)), (6, base + 5 * (at - base - 500)), (9, base + 5 * (at - base + 4000))]
+    assert int(float(at * 1000) / 1000) == at - 1  # what dividing doubles makes of it
+    spark.createDataFrame(rows, "event_id bigint, us bigint").select("event_id", F.lit(1).cast("bigint").alias("user_id"), F.timestamp_micros("us").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = queries.log_replay_days(spark, str(tmp_path)).collect()
+    assert (got.n, got.first_ns, got.last_ns, got.order_digest) == (3, (at - 1000) * 1000, (at + 4000) * 1000, 6 * 1 + 3 * 2 + 9 * 3)

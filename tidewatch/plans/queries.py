@@ -308,8 +308,8 @@ def fragment_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stamp(ns: str) -> Column:
-    """Time of a log line."""
-    return F.date_format(F.timestamp_micros((F.col(ns) / 1000).cast("bigint") + ingest.JST_US), "yyyyMMddHHmmssSSS")
+    """Time of a log line. Nanoseconds are divided as integers: as doubles an eighth of the whole milliseconds came out one too early."""
+    return F.date_format(F.timestamp_micros(F.expr(f"{ns} div 1000") + ingest.JST_US), "yyyyMMddHHmmssSSS")
 
 
 def log_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
