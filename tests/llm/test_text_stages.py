@@ -221,6 +221,16 @@ def test_pages_without_an_article_are_aligned(spark):
     assert _texts(spark, pages[1:4])[0] == "Site name\n\nStory 1 begins.\n\nStory 1 ends.\n\nSee also 1\n\nAll rights reserved"  # too few to tell
 
 
+def test_all_pages_vote_on_what_the_seeds_lack(spark):
+    """A notice on a few pages, none of which the template comes from, has a slot of its own and is as constant as any other."""
+    page = "<body><div>Site name</div>{extra}<p>Story {k} begins.</p><div>All rights reserved</div></body>"
+    pages = [page.format(k=k, extra="<h3>Office closed</h3>" if k % 25 == 3 else f"<h4>Only {k}</h4>" if k % 25 == 9 else "") for k in range(300)]
+    top = html_main.read_template(html_main.template([h for k, h in enumerate(pages) if k % 25 in (1, 2)][:8]))
+    nodes = html_main.parse(pages[3])
+    assert len(html_main.slots(nodes, top)) < len(html_main.all_slots(nodes, top)) == len(nodes)
+    assert _texts(spark, pages) == [f"Only {k}\n\nStory {k} begins." if k % 25 == 9 else f"Story {k} begins." for k in range(300)]
+
+
 def _most(a, t):
     """Largest number of matching pairs of two trees (key, children), by trying all ways."""
     if a[0] != t[0]:
