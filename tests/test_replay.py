@@ -100,3 +100,27 @@ def test_message_gaps(spark):
     group = gaps.class_b_groups(found).first()
     assert (group.unit, group.speed, group.n, group.loss, group.p50, group.p90) == ("CS", ">14", 2, 1, 30, 65)
     assert [(r.category, r.expected_s, r.n) for r in gaps.expected_histogram(found).orderBy("category").collect()] == [(5, 360.0, 2), (18, 30.0, 2)]
+
+
+def test_states_at_equal_those_of_all_that_came_before(spark):
+    """Only the last reports of each vessel are analysed: turns, pauses, two classes under one number, equal times and gaps make no difference."""
+    import random
+
+    rng, rows, seq = random.Random(4), [], 0
+    for mmsi in range(60):
+        at, head = 0, rng.randrange(360)
+        for _ in range(rng.choice([1, 3, 40, 120])):
+            at += rng.choice([0, 2, 5, 10, 10, 19, 20, 21, 29, 30, 31, 60, 1799, 1800, 4000]) if rng.random() < 0.3 else rng.choice([2, 5, 10])
+            head = (head + (rng.choice([0, 1, 6, 40]) if rng.random() < 0.4 else 0)) % 360
+            seq += 1
+            both = mmsi % 3 == 0 and rng.random() < 0.4
+            rows.append((seq, mmsi, "B" if both else "A", "SELF_ORGANIZING", at * NS, 1, rng.choice([3.0, 12.0, 18.0]), float(head), rng.choice([None, float(head)]), 0, 34.0 + rng.random() / 100, 135.0 + (1.0 if rng.random() < 0.02 else 0.0), seq))
+    df = spark.createDataFrame(rows, "event_id bigint, mmsi int, vessel_class string, class_b_mode string, ts_ns bigint, message_type int, sog double, cog double, heading double, nav_status int, lat double, lon double, seq bigint")
+    whole = intervals.analyzed(df).select("mmsi", *replay.STATE).cache()
+    turning = 0
+    for at_ns in (60 * NS, 301 * NS, 777 * NS, 5000 * NS, 10**15):
+        want = sorted(map(tuple, replay.latest(whole.where(F.col("ts_ns") <= at_ns)).collect()))
+        assert sorted(map(tuple, replay.states_at(df, at_ns).collect())) == want
+        turning += sum(round(r[-1], 6) in (2.0, 5.0, round(10 / 3, 6)) for r in want)
+    assert turning > 20
+    whole.unpersist()

@@ -79,8 +79,8 @@ def _displayed(shown: DataFrame, at_ns: int) -> DataFrame:
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is displayed at three times, over all that came before."""
-    rows = intervals.analyzed(reports(spark, sf_dir)).select("mmsi", *replay.STATE)
-    shown = [_displayed(replay.displayed(replay.latest(rows.where(F.col("ts_ns") <= t)), replay.trails(rows, t), t), t) for t in SNAPSHOT_NS]
+    rows = reports(spark, sf_dir)
+    shown = [_displayed(replay.displayed(replay.states_at(rows, t), replay.trails(rows, t), t), t) for t in SNAPSHOT_NS]
     return shown[0].union(shown[1]).union(shown[2])
 
 
