@@ -233,3 +233,29 @@ def test_replayed_lines_keep_their_millisecond(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, us bigint").select("event_id", F.lit(1).cast("bigint").alias("user_id"), F.timestamp_micros("us").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
     (got,) = queries.log_replay_days(spark, str(tmp_path)).collect()
     assert (got.n, got.first_ns, got.last_ns, got.order_digest) == (3, (at - 1000) * 1000, (at + 4000) * 1000, 6 * 1 + 3 * 2 + 9 * 3)
+
+
+def test_lines_are_gone_through_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame([("f", k, f"2024010100000{k}000 !AIVDM,2,{k},1,A,5,0*zz") for k in (1, 2)], "file string, line_no bigint, value string")
+    assert {r.code for r in ingest.outcomes(lines.mapInArrow(counted, lines.schema)).collect()} == {"CHECKSUM_MALFORMED"}
+    assert read.value == 2
+
+
+def test_fields_laid_out_are_those_of_the_bit_string(spark):
+    rows = spark.createDataFrame([(1, -1, "AZ _"), (123456789, -108_000_000, "zé[?\U0001f6a2x"), ((1 << 30) - 1, 91, None), (7, 0, "LONGER THAN TWENTY LETTERS")], "a bigint, b bigint, c string")
+    bits = F.concat(nmea.to_bits(F.col("a"), 30), F.lit("0" * 7), nmea.to_bits(F.col("b"), 28), nmea.text_bits(F.col("c"), 42), nmea.text_bits(F.col("c"), 120), nmea.to_bits(F.col("a"), 60), F.lit("1"))
+    made = nmea.laid_out((F.col("a"), 30), (0, 7), (F.col("b"), 28), *nmea.text_numbers(F.col("c"), 42), *nmea.text_numbers(F.col("c"), 120), (F.col("a"), 60), (1, 1))
+    assert all(r.x == r.y for r in rows.select(nmea.armoured(bits).alias("x"), made.alias("y")).collect())
+
+    def spelt(text):
+        shown = [nmea.ALPHABET.find(c) if c in nmea.ALPHABET else 32 for c in (text or "")[:20].ljust(20, "@")]
+        return "".join(f"{v:06b}" for v in shown)
+
+    assert all(r.bits == spelt(r.c) for r in rows.select("c", nmea.text_bits(F.col("c"), 120).alias("bits")).collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,7 @@ ALPHABET = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
 
 def checksum(body: Column) -> Column:
     """XOR of all characters as two upper-case hex digits."""
-    codes = F.transform(F.split(body, ""), lambda c: F.ascii(c))
-    return F.lpad(F.hex(F.aggregate(codes, F.lit(0), lambda a, x: a.bitwiseXOR(x))), 2, "0")
+    return F.lpad(F.hex(F.aggregate(F.split(body, ""), F.lit(0), lambda a, c: a.bitwiseXOR(F.ascii(c)))), 2, "0")
 
 
 def checksum_state(sentence: Column) -> Column:
@@ -137,10 +138,38 @@ def to_bits(value: Column, n: int) -> Column:
     return F.right(F.concat(F.lit("0" * n), F.bin(value.cast("bigint"))), F.lit(n))
 
 
+def text_numbers(value: Column, n: int) -> list[tuple[Column, int]]:
+    """Six-bit text of ``n`` bits as fields of ``laid_out``, ten letters a number; what is missing at the end becomes @, what is not in the alphabet a space."""
+    count = n // 6
+    shown = F.regexp_replace(F.rpad(F.left(F.coalesce(value, F.lit("")), F.lit(count)), -(-count // 20) * 20, "@"), "[^ -_]", " ")
+    digits = F.hex(F.unbase64(F.translate(shown, ALPHABET, BASE64)))
+    sizes = [6 * min(10, count - k) for k in range(0, count, 10)]
+    return [(F.shiftright(F.conv(F.substring(digits, 15 * k + 1, 15), 16, 10).cast("bigint"), 60 - size), size) for k, size in enumerate(sizes)]
+
+
 def text_bits(value: Column, n: int) -> Column:
-    """Six-bit text of ``n`` bits; what is missing at the end becomes @, what is not in the alphabet a space."""
-    letters = F.split(F.rpad(F.left(F.coalesce(value, F.lit("")), F.lit(n // 6)), n // 6, "@"), "")
-    return F.array_join(F.transform(letters, lambda c: to_bits(F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)) - 1, F.lit(32)), 6)), "")
+    """The same as a bit string."""
+    return F.concat(*[to_bits(v, size) for v, size in text_numbers(value, n)])
+
+
+def laid_out(*fields: tuple[Column | int, int]) -> Column:
+    """Payload of numbers of at most 60 bits, given with their widths, one behind the other and padded with zero bits to whole characters.
+
+    They are shifted into numbers of 60 bits, as ``unsigned`` takes them out; bit strings took several times as long.
+    """
+    pieces: dict[int, list[Column]] = {}
+    at = 0
+    for value, n in fields:
+        if not isinstance(value, int) or value:
+            v = (F.lit(value) if isinstance(value, int) else value).cast("bigint").bitwiseAND(F.lit((1 << n) - 1))
+            first, skipped = divmod(at, 60)
+            behind = 60 - skipped - n
+            pieces.setdefault(first, []).append(F.shiftleft(v, behind) if behind >= 0 else F.shiftright(v, -behind))
+            if behind < 0:
+                pieces.setdefault(first + 1, []).append(F.shiftleft(v.bitwiseAND(F.lit((1 << -behind) - 1)), 60 + behind))
+        at += n
+    digits = [F.lpad(F.hex(reduce(Column.bitwiseOR, pieces.get(k, [F.lit(0)]))), 15, "0") for k in range(-(-at // 120) * 2)]
+    return F.left(F.translate(F.base64(F.unhex(F.concat(*digits))), BASE64, ARMOUR), F.lit(-(-at // 6)))
 
 
 def armoured(b: Column) -> Column:

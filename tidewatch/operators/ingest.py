@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import nmea
+from tidewatch.functions.steps import held
 from tidewatch.operators import fragments
+from tidewatch.sources.work import saved
 
 NS = 1_000_000_000
 REPEAT_NS, JST_US = NS, 9 * 3600 * 1_000_000
@@ -16,11 +18,14 @@ REPEAT_NS, JST_US = NS, 9 * 3600 * 1_000_000
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """``value`` to received_ns and sentence; ``code`` INVALID_LOG_LINE where it isn't <17 digits> <sentence>."""
     v = F.regexp_replace("value", "^﻿", "")
-    stamp, rest = F.regexp_extract(v, r"^(\S+)\s+(.*)$", 1), F.regexp_extract(v, r"^(\S+)\s+(.*)$", 2)
+    # held, so that neither pattern nor time is gone through for each column that is made of them
+    df = held(held(lines, "stamp_", F.regexp_extract(v, r"^(\S+)\s+(.*)$", 1)), "rest_", F.trim(F.regexp_extract(v, r"^(\S+)\s+(.*)$", 2)))
+    stamp = F.col("stamp_")
     # Spark's parser needs a separator before the milliseconds
-    at = F.unix_micros(F.try_to_timestamp(F.when(stamp.rlike("^[0-9]{17}$"), F.concat(F.left(stamp, F.lit(14)), F.lit("."), F.right(stamp, F.lit(3)))), F.lit("yyyyMMddHHmmss.SSS")))
-    df = lines.withColumn("received_ns", (at - JST_US) * 1000).withColumn("sentence", F.when(at.isNotNull(), F.trim(rest)))
-    return df.withColumn("code", F.when(at.isNull() | (F.col("sentence") == ""), "INVALID_LOG_LINE"))
+    df = held(df, "at_", F.unix_micros(F.try_to_timestamp(F.when(stamp.rlike("^[0-9]{17}$"), F.concat(F.left(stamp, F.lit(14)), F.lit("."), F.right(stamp, F.lit(3)))), F.lit("yyyyMMddHHmmss.SSS"))))
+    at = F.col("at_")
+    df = df.withColumn("received_ns", (at - JST_US) * 1000).withColumn("sentence", F.when(at.isNotNull(), F.col("rest_")))
+    return df.withColumn("code", F.when(at.isNull() | (F.col("sentence") == ""), "INVALID_LOG_LINE")).drop("stamp_", "rest_", "at_")
 
 
 def record_order(file: Column, line_no: Column, line_type: T.DataType) -> Column:
@@ -85,11 +90,11 @@ def diagnostics(rows: DataFrame, code: str = "code", time: str = "received_ns")
 def outcomes(lines: DataFrame, source: Column | None = None) -> DataFrame:
     """What became of ``lines(file, line_no, value)``: a decoded event (code null), or the first step's code that stopped it.
 
-    Parts and repeats only meet within a ``source``, one for all lines unless given. Lines that need no assembly pass without a shuffle until repeats are looked for; parts of
-    sentences are read and written apart when this is called (see ``fragments``), and lines once more for their times where sentences stay incomplete.
+    Parts and repeats only meet within a ``source``, one for all lines unless given. Sentences are read out of the lines and written once, when this is called; those that need no assembly,
+    the parts of others (see ``fragments``) and the times of all are taken from there, so that the lines are gone through once.
     """
     raw = with_record_order(parsed_lines(lines)).withColumnRenamed("code", "line_code").withColumn("source_id", F.lit("log") if source is None else source)
-    framed = nmea.with_envelope(raw).withColumn("code", F.coalesce("line_code", "code"))
+    framed = saved(nmea.with_envelope(raw).withColumn("code", F.coalesce("line_code", "code")).select(*_OUTCOME, "total", "number", "sequence_id"), "sentences")
     part = F.col("code").isNull() & (F.col("total") > 1)
     clock = framed.where("received_ns IS NOT NULL").select("received_ns", F.col("code").isNull().alias("is_fragment"))
     rows = framed.where(~part).select(*_OUTCOME).unionByName(fragments.assembled_parts(framed.where(part), clock))

@@ -248,20 +248,22 @@ def outside_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.outside_count(accepted(spark, sf_dir))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events dealt over all tasks: a file has few row groups, and what sentences cost would stay with the tasks that read them."""
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts").repartition("event_id")
+
+
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a sentence of type 1, 2, 3 or 18."""
-    df = reports(spark, sf_dir)
-    b = nmea.to_bits
+    df = reports_of_events(_dealt(spark, sf_dir))
     lat, lon = F.round(F.col("lat") * 600000), F.round(F.col("lon") * 600000)
     sog, cog, head = F.round(F.col("sog") * 10), F.round(F.col("cog") * 10), F.coalesce("heading", F.lit(511.0))
-    zero = lambda n: F.lit("0" * n)
-    first = F.concat(b(F.col("message_type"), 6), zero(2), b(F.col("mmsi"), 30))
-    a = F.concat(first, b(F.coalesce("nav_status", F.lit(15)), 4), zero(8), b(sog, 10), zero(1), b(lon, 28), b(lat, 27), b(cog, 12), b(head, 9), zero(31))
-    mode = F.when(F.col("class_b_mode") == "CARRIER_SENSE", F.lit("1")).otherwise(F.lit("0"))
-    c = F.concat(first, zero(8), b(sog, 10), zero(1), b(lon, 28), b(lat, 27), b(cog, 12), b(head, 9), zero(8), mode, zero(4), F.lit("1"), zero(21))
-    df = held(df, "bits_", F.when(F.col("message_type") == 18, c).otherwise(a))
-    df = held(df, "payload_", nmea.armoured(F.col("bits_")))
-    return held(df, "sent", nmea.sentence(F.col("payload_"))).drop("bits_", "payload_")
+    first, place = [(F.col("message_type"), 6), (0, 2), (F.col("mmsi"), 30)], [(sog, 10), (0, 1), (lon, 28), (lat, 27), (cog, 12), (head, 9)]
+    a = nmea.laid_out(*first, (F.coalesce("nav_status", F.lit(15)), 4), (0, 8), *place, (0, 31))
+    mode = F.when(F.col("class_b_mode") == "CARRIER_SENSE", 1).otherwise(0)
+    c = nmea.laid_out(*first, (0, 8), *place, (0, 8), (mode, 1), (0, 4), (1, 1), (0, 21))
+    df = held(df, "payload_", F.when(F.col("message_type") == 18, c).otherwise(a))
+    return held(df, "sent", nmea.sentence(F.col("payload_"))).drop("payload_")
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,16 +342,15 @@ def log_replay_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _static_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, part, sent): static updates as type 5 in two parts, as type 24 part A, or as its part B."""
-    df = _updates(spark, sf_dir).withColumn("kind_", F.col("seq") % 3).withColumn("name", F.coalesce("vessel_name", F.concat(F.lit("NO NAME "), (F.col("seq") % 100).cast("string"))))
-    b, letters = nmea.to_bits, nmea.text_bits
-    zero = lambda n: F.lit("0" * n)
+    df = _updates_of(_dealt(spark, sf_dir)).withColumn("kind_", F.col("seq") % 3).withColumn("name", F.coalesce("vessel_name", F.concat(F.lit("NO NAME "), (F.col("seq") % 100).cast("string"))))
+    letters = nmea.text_numbers
     call, name, port = letters(F.concat(F.lit("C"), (F.col("seq") % 1000).cast("string")), 42), letters(F.col("name"), 120), letters(F.concat(F.lit("PORT-"), (F.col("seq") % 50).cast("string")), 120)
     bow = F.floor(F.col("seq") % 400 / 3)
-    size = F.concat(b(bow, 9), b(F.col("seq") % 400 - bow, 9))
-    head = lambda t: F.concat(b(F.lit(t), 6), zero(2), b(F.col("mmsi"), 30))
-    five = F.concat(head(5), zero(2), b(F.col("seq") % 100000, 30), call, name, b(F.col("seq") % 100, 8), size, zero(44), port, zero(2))
-    part_a, part_b = F.concat(head(24), b(F.lit(0), 2), name, zero(8)), F.concat(head(24), b(F.lit(1), 2), b(F.col("seq") % 100, 8), zero(42), call, size, zero(18))
-    df = held(df, "payload_", nmea.armoured(F.when(F.col("kind_") == 0, five).when(F.col("kind_") == 1, part_a).otherwise(part_b)))
+    size = [(bow, 9), (F.col("seq") % 400 - bow, 9)]
+    head = lambda t: [(t, 6), (0, 2), (F.col("mmsi"), 30)]
+    five = nmea.laid_out(*head(5), (0, 2), (F.col("seq") % 100000, 30), *call, *name, (F.col("seq") % 100, 8), *size, (0, 44), *port, (0, 2))
+    part_a, part_b = nmea.laid_out(*head(24), (0, 2), *name, (0, 8)), nmea.laid_out(*head(24), (1, 2), (F.col("seq") % 100, 8), (0, 42), *call, *size, (0, 18))
+    df = held(df, "payload_", F.when(F.col("kind_") == 0, five).when(F.col("kind_") == 1, part_a).otherwise(part_b))
     mark = F.col("seq") % 10
     first, second = nmea.sentence(F.left("payload_", F.lit(60)), None, 2, 1, mark), nmea.sentence(F.substring("payload_", 61, 20), F.lit("2"), 2, 2, mark)
     whole = F.array(F.when(F.col("kind_") == 0, first).otherwise(nmea.sentence(F.col("payload_"))), F.when(F.col("kind_") == 0, second))
@@ -395,7 +396,11 @@ def old_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static updates derived from events: sparse lengths and names."""
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25 + 431000000).cast("int").alias("mmsi"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
+    return _updates_of(table(spark, sf_dir, "events"))
+
+
+def _updates_of(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", (F.col("user_id") % 25 + 431000000).cast("int").alias("mmsi"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
     length = F.when(F.col("event_id") % 3 == 0, ((F.col("mmsi").cast("bigint") * 29 + F.floor(F.col("event_id") / 400) * 60) % 520).cast("int"))
     name = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("V"), (F.col("event_id") % 14).cast("string")))
     return e.select("mmsi", "ts_ns", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "UNKNOWN").when(F.col("mmsi") % 5 == 0, "B").otherwise("A").alias("vessel_class"), length.alias("ship_length_m"), name.alias("vessel_name"))
