@@ -259,3 +259,14 @@ def test_fields_laid_out_are_those_of_the_bit_string(spark):
         return "".join(f"{v:06b}" for v in shown)
 
     assert all(r.bits == spelt(r.c) for r in rows.select("c", nmea.text_bits(F.col("c"), 120).alias("bits")).collect())
+
+
+def test_simulation_is_dealt_over_tasks_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "TASK_ROWS", 10)
+    data = spark.range(40).selectExpr("CAST(431000000 + id % 20 AS INT) AS mmsi", "'A' AS vessel_class", f"{1_704_067_200 * NS} + id * 10 * {NS} AS ts_ns", "id AS seq", "34.5D AS lat", "135.0D AS lon", "5.0D AS sog", "10.0D AS cog", "10.0D AS heading", "0 AS nav_status", "CAST(NULL AS STRING) AS class_b_mode")
+    sent = calibrate.replayed(data)
+    n = sent.count()
+    assert sent.rdd.getNumPartitions() == calibrate.tasks_for(n) > 4
+    model = spark.range(9).selectExpr("CAST(id AS INT) AS band", "'A' AS vessel_class", "1.0D AS p")
+    got = calibrate.simulated_counts(sent, model, spark.createDataFrame([("A", 1.0)], "vessel_class string, p double"), 2)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and {r.expected for r in got.collect()} == {n - 20}

@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
 from tidewatch.operators import cube, intervals
+from tidewatch.sources.work import saved
 
 CLASSES = ("A", "B")
 LEAST_EXPECTED, LEAST_VESSELS, LEAST_DAYS, WIDEST_CI = 30, 3, 5, 0.20
 _M64 = (1 << 64) - 1
 
+#: Rows that a task of the validation should get. All its windows hold a task's rows, and sizes in bytes say little: of a simulated row some 20 bytes are shuffled, and a few hundred are held.
+TASK_ROWS = 100_000
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
 
 def jeffreys(observed: str, expected: str) -> str:
     return f"(({observed}) + 0.5e0) / (({expected}) + 1e0)"
@@ -145,20 +153,22 @@ def received_with_boundaries(decisions: DataFrame) -> DataFrame:
 def replayed(reports: DataFrame) -> DataFrame:
     """Each JST day's ideal transmissions, anchors and interpolated ones with the attributes of their start report; days apart."""
     attributes = [c for c in ("class_b_mode", "message_type", "sog", "cog", "heading", "nav_status") if c in reports.columns]
-    of_day = reports.withColumn("day", cube.jst_day(F.col("ts_ns"))).withColumn("mmsi", F.struct("day", "mmsi"))
+    of_day = reports.withColumn("day", cube.jst_day(F.col("ts_ns"))).withColumn("mmsi", F.struct("day", "mmsi")).repartition(tasks_for(reports.count()), "mmsi")
     w = Window.partitionBy("mmsi", "vessel_class").orderBy("ts_ns", "seq")
-    whole = intervals.analyzed(of_day).withColumn("own", F.struct(*attributes)).withColumn("of_start", F.lag("own").over(w))
+    whole = intervals.analyzed(of_day, dealt=True).withColumn("own", F.struct(*attributes)).withColumn("of_start", F.lag("own").over(w))
     made = cube.missing_positions(cube.projected(whole.where("reason is null")))
     shown = lambda df, at, lat, lon, origin, own: df.select("mmsi", "vessel_class", F.col(at).alias("planned_ns"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.lit(origin).alias("origin"), "seq", F.col(own).alias("own"))
-    both = shown(whole, "ts_ns", "lat", "lon", 0, "own").union(shown(made, "at_ns", "p_lat", "p_lon", 1, "of_start"))
-    order = Window.partitionBy("mmsi", "vessel_class", "planned_ns").orderBy("origin", "seq")
-    return both.withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint")).select("mmsi.day", "mmsi.mmsi", "vessel_class", "planned_ns", "lat", "lon", "origin", "ordinal", "own.*")
+    both = saved(shown(whole, "ts_ns", "lat", "lon", 0, "own").union(shown(made, "at_ns", "p_lat", "p_lon", 1, "of_start")), "transmissions")
+    key = ["mmsi", "vessel_class", "planned_ns"]
+    order = Window.partitionBy(*key).orderBy("origin", "seq")
+    dealt = both.repartition(tasks_for(both.count()), *key)
+    return dealt.withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint")).select("mmsi.day", "mmsi.mmsi", "vessel_class", "planned_ns", "lat", "lon", "origin", "ordinal", "own.*")
 
 
 def simulated_counts(transmissions: DataFrame, model: DataFrame, baseline: DataFrame, seeds: int, base_seed: int = 1) -> DataFrame:
     """Observed and missing per (seed, variant, band, class), from the received rows sent through the interval engine again.
 
-    Seeds and variants fan out by a generator; each of them and each day is a vessel of its own to the engine.
+    Seeds and variants fan out by a generator; each of them and each day is a vessel of its own to the engine. They are dealt once, over as many tasks as their number asks for.
     """
     fan = transmissions.withColumn("seed", F.explode(F.sequence(F.lit(base_seed).cast("bigint"), F.lit(base_seed + seeds - 1).cast("bigint"))))
     day = F.datediff("day", F.lit("1970-01-01"))
@@ -168,8 +178,9 @@ def simulated_counts(transmissions: DataFrame, model: DataFrame, baseline: DataF
     plain = F.when(F.col("band").isNull() | F.col("q").isNull(), "OUT_OF_MODEL").when(F.col("u") < F.col("q"), "RECEIVED").otherwise("LOST")
     both = both.withColumn("v", F.explode(F.array(F.struct(F.lit("CM_E1").alias("variant"), F.col("decision").alias("made")), F.struct(F.lit("CLASS_ONLY").alias("variant"), plain.alias("made")))))
     runs = both.withColumns({"decision": F.col("v.made"), "mmsi": F.struct("seed", F.col("v.variant").alias("variant"), "day", "mmsi")}).drop("band", "km", "p", "q", "u", "v", "seed", "day")
+    runs = runs.repartition(tasks_for(transmissions.count() * seeds * 2), "mmsi")
     got = received_with_boundaries(runs).withColumn("ts_ns", F.col("planned_ns")).withColumn("seq", F.col("ordinal") * 2 + F.when(F.col("vessel_class") == "B", 1).otherwise(0))
-    counts = cube.band_counts(cube.projected(intervals.analyzed(got).where("reason is null")))
+    counts = cube.band_counts(cube.projected(intervals.analyzed(got, dealt=True).where("reason is null")))
     return counts.groupBy(F.col("mmsi.seed").alias("seed"), F.col("mmsi.variant").alias("variant"), "band", "vessel_class").agg(F.sum(F.col("observed") + F.col("missing")).alias("expected"), F.sum("missing").alias("lost"))
 
 

@@ -122,10 +122,6 @@ def ring_pieces(intervals: DataFrame, center: tuple[float, float] | None = None)
     return within_bands(df, geo.receiver_km("m_lat", "m_lon"))
 
 
-def _counts(df: DataFrame, at: str, place: list[Column], observed: int) -> DataFrame:
-    return df.select(bucket(F.col(at)).alias("bucket"), *place, "vessel_class", "mmsi", F.lit(observed).cast("bigint").alias("observed"), F.lit(1 - observed).cast("bigint").alias("missing"), F.lit(0.0).alias("observed_s"), F.lit(0.0).alias("stale_s"))
-
-
 #: What an interval gives: its start, each missed point, each piece between cuts.
 _START, _MISSED, _PIECE = 0, 1, 2
 _ATOM = "struct<kind:int,r0:double,r1:double,a:bigint,b:bigint>"
@@ -169,9 +165,15 @@ def cell_contributions(intervals: DataFrame) -> DataFrame:
 
 
 def band_counts(flat: DataFrame) -> DataFrame:
-    """The counts of ``band_contributions``, without the durations; ``flat`` are projected intervals."""
-    seen, lost = within_bands(flat, "start_km"), within_bands(missing_positions(flat), geo.receiver_km("p_lat", "p_lon"))
-    return _counts(seen, "start_ns", [F.col("band")], 1).union(_counts(lost, "at_ns", [F.col("band")], 0))
+    """The counts of ``band_contributions``, without the durations; ``flat`` are projected intervals, each gone through once."""
+    step = F.floor(F.col("i") * F.col("expected_s") * NS + 0.5).cast("bigint")
+    df = flat.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing")))).withColumn("step_", step)
+    ratio = F.col("step_") / F.nullif(F.col("delta_ns"), F.lit(0))
+    df = df.withColumn("pe", F.col("e0") + (F.col("e1") - F.col("e0")) * ratio).withColumn("pn", F.col("n0") + (F.col("n1") - F.col("n0")) * ratio)
+    df = with_steps(df, geo.from_utm("pe", "pn", "p_lat", "p_lon"), geo.geo_scratch("p_lat"))
+    df = within_bands(df, f"CASE WHEN i = 0 THEN start_km ELSE {geo.receiver_km('p_lat', 'p_lon')} END")
+    one = lambda c: c.cast("bigint")
+    return df.select(bucket(F.col("start_ns") + F.col("step_")).alias("bucket"), "band", "vessel_class", "mmsi", one(F.col("i") == 0).alias("observed"), one(F.col("i") > 0).alias("missing"), F.lit(0.0).alias("observed_s"), F.lit(0.0).alias("stale_s"))
 
 
 def band_contributions(intervals: DataFrame) -> DataFrame:

@@ -14,14 +14,14 @@ NS = rates.NS
 HISTORY_NS, RELEASE_NS, TURN_DEGREES, COG_LEAST_KN = 30 * NS, 20 * NS, 5.0, 2.0
 
 
-def paired(reports: DataFrame) -> DataFrame:
+def paired(reports: DataFrame, dealt: bool = False) -> DataFrame:
     """Each report with the one before it of the same vessel and class, and why that interval doesn't count.
 
-    Where there is a column ``boundary``, its rows begin anew after a simulated stretch out of the model.
+    Where there is a column ``boundary``, its rows begin anew after a simulated stretch out of the model. ``dealt``: the reports are dealt by ``mmsi`` already.
     """
     w = Window.partitionBy("mmsi", "vessel_class").orderBy("ts_ns", "seq")
     # dealt before the first window asks for (mmsi, vessel_class), whose order wouldn't serve those that ask for mmsi alone
-    df = reports.repartition("mmsi").withColumn("km", F.expr(geo.receiver_km("lat", "lon")))
+    df = (reports if dealt else reports.repartition("mmsi")).withColumn("km", F.expr(geo.receiver_km("lat", "lon")))
     before = F.lag(F.struct("ts_ns", "lat", "lon", "km")).over(w)
     df = df.withColumn("before", before).withColumn("delta_ns", F.col("ts_ns") - F.col("before.ts_ns"))
     df = df.withColumn("reason", F.expr(rates.exclusion("delta_ns", "before.km", "km", "lat", "lon", "before.lat", "before.lon")))
@@ -58,12 +58,12 @@ def with_course(df: DataFrame, scope: tuple[str, ...] = ("mmsi",)) -> DataFrame:
     return df.withColumn("turning", F.coalesce(turning, F.lit(False))).drop(*[f"{k}_{c}" for k in own for c in "scn"], "run")
 
 
-def analyzed(reports: DataFrame, scope: tuple[str, ...] = ("mmsi",)) -> DataFrame:
+def analyzed(reports: DataFrame, scope: tuple[str, ...] = ("mmsi",), dealt: bool = False) -> DataFrame:
     """One row per report after the first of its vessel and class: the interval that ends there.
 
     ``reason`` is null for accepted intervals; the expected interval is that of the start row.
     """
-    df = with_course(paired(reports), scope).withColumn("expected_here", F.expr(rates.expected_seconds()))
+    df = with_course(paired(reports, dealt), scope).withColumn("expected_here", F.expr(rates.expected_seconds()))
     w = Window.partitionBy("mmsi", "vessel_class").orderBy("ts_ns", "seq")
     start = F.lag(F.struct("ts_ns", "seq", "lat", "lon", "km", "turning", F.col("expected_here").alias("expected_s"))).over(w)
     df = df.withColumn("start", start).withColumn("actual_s", F.col("delta_ns") / float(NS))

@@ -13,6 +13,7 @@ from tidewatch.operators import calibrate, cube, gaps, ingest, intervals, legacy
 from tidewatch.operators import old_decoder as old
 from tidewatch.operators.reports import reports_of_events
 from tidewatch.sources import store
+from tidewatch.sources.work import saved
 
 NS = rates.NS
 
@@ -484,13 +485,12 @@ def deterministic_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.round(calibrate.uniform(7, 1, 2, day, F.col("mmsi"), F.col("vessel_class"), F.col("ts_ns"), F.lit(0)), 12).alias("u"))
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    days = _calibration_days(spark, sf_dir)
+def _model(days: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calibrate.parameters(calibrate.pooled(days)), calibrate.class_baseline(days)
 
 
 def reception_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _model(spark, sf_dir)
+    model, _ = _model(_calibration_days(spark, sf_dir))
     t = _ideal(spark, sf_dir)
     day = F.floor(F.col("planned_ns") / 86_400_000_000_000)
     got = calibrate.decided(t, model, calibrate.uniform(7, 1, 2, day, F.col("mmsi"), F.col("vessel_class"), F.col("planned_ns"), F.col("ordinal")))
@@ -500,9 +500,9 @@ def reception_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, baseline = _model(spark, sf_dir)
+    days = saved(_calibration_days(spark, sf_dir), "calibration-days")
+    model, baseline = _model(days)
     summary = calibrate.summarized(calibrate.simulated_counts(calibrate.replayed(reports(spark, sf_dir)), model, baseline, 5))
-    days = _calibration_days(spark, sf_dir)
     daily = days.groupBy("day", "band", "vessel_class").agg(F.sum("observed").alias("o"), F.sum("missing").alias("m")).withColumn("pct", F.expr(rates.percent("m", "o + m")))
     q = F.percentile("pct", F.array(F.lit(0.025), F.lit(0.975)))
     observed = daily.groupBy("band", "vessel_class").agg(F.sum(F.col("o") + F.col("m")).alias("expected"), (F.sum("m") * 100.0 / F.sum(F.col("o") + F.col("m"))).alias("loss_pct"), q.alias("q"))
