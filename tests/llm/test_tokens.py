@@ -132,3 +132,36 @@ def test_encoders_equal_library_on_every_code_point(make, path):
     encoder = make(path)
     assert encoder.encode(texts) == want
     assert encoder.encode(texts[-300:]) == want[-300:] and encoder.encode([]) == [] and encoder.encode([None]) == [b""]
+
+
+@pytest.mark.parametrize(("make", "path"), [(tokenization.Encoder, BYTE), (tokenization.Encoder, WORD), (trie_bpe.TrieEncoder, WORD)])
+def test_pieces_are_cut_as_the_library_cuts_them(make, path):
+    rng = tables.random.Random(11)
+    parts = ["'", "'s", "'T", "'ll", "'re", "'ve", "'d", "''", "l", "v", "e", "a", "É", "é", "ß", "Σ", "1", "22", "½", "٣", "!", "…", "日本", "😀", " ", " ", "  ", "\n", "\t", "\r\n", " ", " ", "​", "\x1c", "\x85", "\x00", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts[: rng.choice((12, 36, 37))], k=rng.randint(0, 14))) for _ in range(6000)]
+    assert make(path).encode(texts) == [packed(e.ids) for e in library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_frequent_pieces_are_encoded_once(path, monkeypatch):
+    """Words that every batch holds, beside new ones, stay known when what a worker keeps is full."""
+    monkeypatch.setattr(tokenization, "PIECE_ENTRIES", 100)
+    encoder, model, asked = tokenization.Encoder(path), library(path).model, defaultdict(int)
+
+    class Counted:
+        def tokenize(self, piece):
+            asked[piece] += 1
+            return model.tokenize(piece)
+
+    encoder.model = Counted()
+    common_words, t = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(1000, 1040)], library(path)
+    for batch in range(8):
+        texts = [f"x {w}{'!' * (batch + 1)} y" for w in common_words] + [f"x q{''.join(chr(97 + int(d)) for d in str(5000 + 30 * batch + k))} y" for k in range(30)]
+        assert encoder.encode(texts) == [packed(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert max(asked.values()) == 1
+
+
+@pytest.mark.parametrize("make", [tokenization.Encoder, trie_bpe.TrieEncoder])
+def test_white_space_beyond_ascii_does_not_shift_words(make):
+    texts = ["é", "\u00a0", "a\u00a0b"]
+    assert make(WORD).encode(texts) == [packed(e.ids) for e in library(WORD).encode_batch(texts, add_special_tokens=False)]

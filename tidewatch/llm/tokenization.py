@@ -1,10 +1,11 @@
 """Exact, cached use of the ``tokenizers`` library inside Spark tasks.
 
-Arrow cuts the texts of a batch into chunks at white space at which neither of the two families of tokenizer files used here
-(byte-level, and lower-cased words) lets anything reach across, and numbers the distinct ones. Only these are looked up in a
-dictionary that lives as long as the Python worker; pieces of chunks that it lacks are encoded by the library's model. Ids of
-whole texts are then gathered by Arrow. Normalisation, and the cutting of everything but ASCII into pieces, is the library's
-own, so that Unicode tables can't differ. A file of any other family is encoded text by text.
+Texts of the two families of tokenizer files used here (byte-level, and lower-cased words) are cut into pieces a batch at a
+time, at the changes of class (letter, number, other, white space) of their code points; the class of each code point is
+asked of the library's own splitter when it is first met, so that Unicode tables can't differ. Arrow numbers the distinct
+pieces; those that earlier batches didn't meet are encoded by the library's model, and ids of whole texts are gathered by
+Arrow. Normalisation of all but ASCII is the library's own. Texts with special tokens, and files of any other family, are
+encoded text by text.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -25,12 +25,13 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tidewatch.llm import common
 
-#: Entries a worker keeps of chunks and of pieces before it starts afresh; characters of a batch that are cut at once.
-CHUNK_ENTRIES, PIECE_ENTRIES, BATCH_BYTES = 120_000, 150_000, 8 << 20
+#: Pieces a worker keeps before it goes on with those of the last batch alone; characters of a batch that are cut at once.
+PIECE_ENTRIES, BATCH_BYTES = 300_000, 8 << 20
 
-#: The split pattern of the lower-cased word family, a fixed value of its tokenizer files, and what it comes to in ASCII.
+#: The split pattern of the lower-cased word family, a fixed value of its tokenizer files.
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
+
+LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 
 
 def family(spec: dict) -> str:
@@ -49,12 +50,11 @@ def family(spec: dict) -> str:
     return "other"
 
 
-#: What the byte-level split pattern comes to in ASCII.
-ASCII_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x20\x09-\x0DA-Za-z0-9]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
-_WHITE = re.compile(r"\s")
-
-#: White space next to white space, for Arrow: only there does a byte-level piece reach across a space.
-_BINDING = "[{0}][{0}]".format("".join(f"\\x{{{c:x}}}" for c in range(0x110000) if chr(c).isspace()))
+def _contents(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of large strings without nulls, and where each begins, with their end."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8), offsets - offsets[0]
 
 
 class Encoder:
@@ -66,147 +66,164 @@ class Encoder:
             spec = json.load(f)
         self.family = family(spec)
         self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model
         self._letters = byte_alphabet()
-        if self.family == "word":
-            self.splitter = pre_tokenizers.Split(Regex(WORD_SPLIT), "removed", invert=True)
-        self.known_pieces: dict[str, bytes] = {}
-        self.known_chunks: dict[str, bytes] = {}
-        self.older_chunks: dict[str, bytes] = {}
+        self.splitter = pre_tokenizers.Split(Regex(WORD_SPLIT), "removed", invert=True) if self.family == "word" else self.tok.pre_tokenizer
+        self._class = np.full(0x110000, UNKNOWN, np.uint8)
+        if self.family != "other":
+            self._learn_classes(range(128))
+        self.known_pieces = pa.array([], pa.large_binary())
+        self.known_ids = pa.array([], pa.large_list(pa.uint32()))
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [pack(f"<{len(e.ids)}I", *e.ids) for k in range(0, len(texts), 2_000) for e in self.tok.encode_batch(texts[k : k + 2_000], add_special_tokens=False)]
 
-    # words
-
-    def _pieces(self, chunks: list[str]) -> list[list[str]]:
-        """The pieces of each chunk; special tokens come out as such."""
-        if self._cut is not None and any(map(self._cut.search, chunks)):
-            out = []
-            for chunk in chunks:
-                parts = self._cut.split(chunk)
-                plain = iter(self._plain_pieces(parts[::2]))
-                out.append([p for k, part in enumerate(parts) for p in ([part] if k % 2 else next(plain))])
-            return out
-        return self._plain_pieces(chunks)
-
-    def _plain_pieces(self, chunks: list[str]) -> list[list[str]]:
-        odd = [k for k, c in enumerate(chunks) if not c.isascii()]
-        find = ASCII_WORD.findall
-        out = [[c] if c.isalpha() else find(c) for c in map(str.lower, chunks)]  # those of the odd ones are replaced
-        for lo in range(0, len(odd), 5_000):
-            some = odd[lo : lo + 5_000]
-            lines = self.tok.normalizer.normalize_str(" ".join(chunks[k] for k in some)).split(" ")
-            if len(lines) != len(some):  # some chunk holds white space other than ASCII's
-                lines = [self.tok.normalizer.normalize_str(chunks[k]) for k in some]
-            starts, at = [], 0
-            for k, line in zip(some, lines, strict=True):
-                starts.append(at)
-                at += len(line) + 1
-                out[k] = []
-            for piece, (a, _) in self.splitter.pre_tokenize_str(" ".join(lines)):
-                out[some[bisect_right(starts, a) - 1]].append(piece)
+    # cutting
+
+    def _learn_classes(self, codes: Iterable[int]) -> None:
+        """Ask the splitter beside which characters each code point stays."""
+        split = self.splitter.pre_tokenize_str
+
+        def one(text: str) -> bool:
+            pieces = split(text)
+            return len(pieces) == 1 and pieces[0][1] == (0, len(text))
+
+        for code in codes:
+            c = chr(code)
+            number = bool(split(c)) if self.family == "word" else one("1" + c)
+            self._class[code] = LETTER if one("a" + c) else OTHER if one("!" + c) else NUMBER if number else SPACE
+
+    def _classes(self, data: np.ndarray) -> np.ndarray:
+        """Class of each byte's code point."""
+        out = self._class[:256][data]  # those of lead and following bytes are replaced
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            first = data[lead].astype(np.int64)
+            size = 2 + (first >= 0xE0) + (first >= 0xF0)
+            code = first & (0xFF >> (size + 1))
+            for k in (1, 2, 3):
+                on = size > k
+                code[on] = code[on] << 6 | data[lead[on] + k] & 0x3F
+            self._learn_classes(np.unique(code[self._class[code] == UNKNOWN]).tolist())
+            kinds = self._class[code]
+            for k in (0, 1, 2, 3):
+                on = size > k
+                out[lead[on] + k] = kinds[on]
         return out
 
-    def _spelt(self, piece: str) -> str:
-        """A piece as the library's model takes it, a printable character for each byte."""
-        if piece.isascii() and piece.isprintable():
-            return piece.replace(" ", self._letters[32])
-        return "".join(map(self._letters.__getitem__, piece.encode()))
-
-    def _learn_pieces(self, pieces: Iterable[str]) -> None:
-        """Encode those that aren't known yet."""
-        known, tokenize, spelt = self.known_pieces, self.model.tokenize, self._spelt
-        if len(known) > PIECE_ENTRIES:
-            known.clear()
-        if not known:
-            known.update((s, pack("<I", i)) for s, i in self.special.items())
-        for piece in set(pieces).difference(known):
-            ids = [t.id for t in tokenize(spelt(piece))]
-            known[piece] = pack(f"<{len(ids)}I", *ids)
-
-    def _joined(self, cut: list[list[str] | None]) -> list[bytes | None]:
-        """Ids of each list of pieces."""
-        self._learn_pieces(chain.from_iterable(filter(None, cut)))
-        get = self.known_pieces.__getitem__
-        return [None if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in cut]
-
-    def _word_chunks(self, chunks: list[str]) -> list[bytes]:
-        return self._joined(self._pieces(chunks))
-
-    # bytes
-
-    def _byte_chunks(self, chunks: list[str], lead: str = " ") -> list[bytes]:
-        """Ids of each chunk behind ``lead``. ASCII is cut here, the rest by the library, with white space or special tokens each by itself."""
-        find, white, cut = ASCII_BYTE.findall, _WHITE.search, self._cut.search if self._cut else lambda _: None
-        pieces = [None if cut(c) else find(lead + c) if c.isascii() else None if white(c) or not lead else [] for c in chunks]
-        odd = [k for k, p in enumerate(pieces) if p == [] and chunks[k]]
-        for lo in range(0, len(odd), 5_000):
-            some = odd[lo : lo + 5_000]
-            text = "".join(lead + chunks[k] for k in some)
-            starts = [0, *accumulate(len(chunks[k]) + 1 for k in some)]
-            for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text):
-                pieces[some[bisect_right(starts, a) - 1]].append(text[a:b])
-        out = self._joined(pieces)
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self._alone([lead + chunks[k] for k in rest]), strict=True):
-            out[k] = x
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of texts that lie end to end begin, with the end, and the class of each one's first byte."""
+        n = len(data)
+        kinds = self._classes(data)
+        outer = np.zeros(n + 1, np.bool_)
+        outer[bounds] = True
+        edge = outer.copy()
+        edge[1:n] |= kinds[1:] != kinds[:-1]
+        if self.family == "word":  # numbers stand one by one
+            edge[:n] |= (kinds == NUMBER) & (data & 0xC0 != 0x80)
+        else:  # before a piece, the last character of white space is by itself, or leads the piece if it is a space
+            at = np.flatnonzero(edge)
+            ends = at[1:][kinds[at[:-1]] == SPACE]
+            ends = ends[~outer[ends]]
+            last = ends - 1
+            for _ in range(3):
+                last = last - (data[last] & 0xC0 == 0x80)
+            edge[last] = True
+            edge[ends[data[last] == 0x20]] = False
+        mark = np.flatnonzero(data == 0x27)  # an apostrophe by itself takes one of seven endings
+        mark = mark[edge[mark] & edge[mark + 1] & ~outer[mark + 1]]
+        if len(mark):
+            x, y = data[mark + 1], data[np.minimum(mark + 2, n - 1)]
+            one = np.isin(x, list(b"stmd"))
+            two = ~one & ~outer[mark + 2] & ((x == 0x72) & (y == 0x65) | (x == 0x76) & (y == 0x65) | (x == 0x6C) & (y == 0x6C))
+            edge[mark[one | two] + 1] = False
+            edge[mark[one] + 2] = True
+            edge[mark[two] + 3] = True
+        at = np.flatnonzero(edge)
+        return at, kinds[at[:-1]]
+
+    def _normalised(self, chunks: pa.Array) -> pa.Array:
+        """Chunks without ASCII white space as the file's normaliser leaves them; ASCII is only lower-cased."""
+        odd = pc.invert(pc.string_is_ascii(chunks))
+        some = chunks.filter(odd)
+        data, bounds = _contents(some)
+        white = np.zeros(len(some), np.bool_)  # of other than ASCII's, which the normaliser would run together with what joins the others
+        white[np.searchsorted(bounds, np.flatnonzero(self._classes(data) == SPACE), side="right") - 1] = True
+        lines, normal = np.array(some.to_pylist(), object), self.tok.normalizer.normalize_str
+        for k in np.flatnonzero(white).tolist():
+            lines[k] = normal(lines[k])
+        rest = np.flatnonzero(~white)
+        for lo in range(0, len(rest), 5_000):
+            part = rest[lo : lo + 5_000]
+            lines[part] = normal(" ".join(lines[part])).split(" ")
+        lower = pc.ascii_lower(chunks)
+        return pc.replace_with_mask(lower, odd, pa.array(lines, pa.large_string())) if len(lines) else lower
+
+    # encoding
+
+    def _model_ids(self, spelt: list[str]) -> list[list[int]]:
+        """Ids of distinct pieces, spelt as the model takes them."""
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(s)] for s in spelt]
+
+    def _learnt(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, by the model; it takes a printable character for each byte."""
+        data, bounds = _contents(pieces)
+        spelt, at = data.tobytes().decode("latin-1").translate(self._letters), bounds.tolist()
+        ids, sizes = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        for lo in range(0, len(pieces), 50_000):
+            found = self._model_ids([spelt[a:b] for a, b in zip(at[lo : lo + 50_000], at[lo + 1 : lo + 50_001], strict=False)])
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return pa.LargeListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes))), pa.array(np.concatenate(ids)))
+
+    def _piece_ids(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece, of which each distinct one is looked up once."""
+        named = pieces.dictionary_encode()
+        met = named.dictionary
+        place = pc.index_in(met, value_set=self.known_pieces)
+        unseen = met.filter(place.is_null())
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        at[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known_pieces) + np.arange(len(unseen))
+        self.known_ids = pa.concat_arrays([self.known_ids, self._learnt(unseen)])
+        self.known_pieces = pa.concat_arrays([self.known_pieces, unseen])
+        out = self.known_ids.take(pa.array(at[named.indices.to_numpy()]))
+        if len(self.known_pieces) > PIECE_ENTRIES:
+            self.known_ids = self.known_ids.take(pa.array(at[:PIECE_ENTRIES]))
+            self.known_pieces = met.take(pa.array(np.arange(min(len(met), PIECE_ENTRIES))))
         return out
 
-    def _look_up(self, chunks: list[str]) -> list[bytes]:
-        known, older = self.known_chunks, self.older_chunks
-        found = list(map(known.get, chunks))
-        if None in found:
-            lacking = [k for k, v in enumerate(found) if v is None]
-            unseen = [chunks[k] for k in lacking]
-            fresh = list(map(older.get, unseen))
-            if None in fresh:
-                new = [k for k, v in enumerate(fresh) if v is None]
-                texts = [unseen[k] for k in new]
-                for k, v in zip(new, self._word_chunks(texts) if self.family == "word" else self._byte_chunks(texts), strict=True):
-                    fresh[k] = v
-            if len(known) > CHUNK_ENTRIES:  # what isn't met again until this happens once more is forgotten
-                self.older_chunks, self.known_chunks = known, {}
-            self.known_chunks.update(zip(unseen, fresh, strict=True))
-            for k, v in zip(lacking, fresh, strict=True):
-                found[k] = v
-        return found
+    def _string_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, end to end, and where those of each begin, with their end."""
+        data, bounds = _contents(texts)
+        at, kinds = self._cut(data, bounds)
+        pieces, starts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]), at[:-1]
+        if self.family == "word" and (blank := kinds == SPACE).any():
+            pieces, starts = pieces.filter(pa.array(~blank)), starts[~blank]
+        ids = self._piece_ids(pieces)
+        return ids.flatten().to_numpy(), ids.offsets.to_numpy()[np.searchsorted(starts, bounds)]
 
     def _some(self, texts: pa.Array) -> list[bytes]:
-        heads: list[bytes] = []
-        bound: dict[int, bytes] = {}
+        marked = np.zeros(len(texts), np.bool_)
+        for token in self.special:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(marked).tolist()
+        bound = dict(zip(whole, self._alone(texts.filter(pa.array(marked)).to_pylist()), strict=True))
+        if whole:
+            texts = pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), texts)
         if self.family == "word":
             lists = pc.ascii_split_whitespace(texts)
+            named = lists.flatten().dictionary_encode()
+            ids, ends = self._string_ids(self._normalised(named.dictionary))
+            chunks = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids)).take(named.indices)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ids, ends = chunks.flatten().to_numpy(), chunks.offsets.to_numpy()[offsets - offsets[0]]
         else:
-            binds = pc.match_substring_regex(texts, _BINDING)
-            whole = np.flatnonzero(binds.to_numpy(zero_copy_only=False)).tolist()
-            bound = dict(zip(whole, self._alone([texts[k].as_py() for k in whole]), strict=True))
-            if whole:
-                texts = pc.if_else(binds, pa.scalar("", pa.large_string()), texts)
-            lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        named = lists.flatten().dictionary_encode()
-        of, chunks = named.indices.to_numpy(), named.dictionary.to_pylist()
-        if self.family == "byte":  # a text's first chunk has no space before it
-            starts = offsets[:-1]
-            heads = self._byte_chunks([chunks[k] for k in of[starts].tolist()], "")
-            of = of.astype(np.int64)
-            of[starts] = len(chunks) + np.arange(len(heads))
-        found = [*self._look_up(chunks), *heads]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ends = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(sizes, out=ends[1:])
-        ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4")))
-        data = ids.take(pa.array(of)).flatten().to_numpy().tobytes()
-        upto = np.zeros(len(of) + 1, np.int64)
-        np.cumsum(sizes[of], out=upto[1:])
-        at = (upto[offsets] * 4).tolist()
+            ids, ends = self._string_ids(texts)
+        data, at = ids.tobytes(), (ends * 4).tolist()
         out = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
         for k, x in bound.items():
             out[k] = x
@@ -226,8 +243,7 @@ class Encoder:
         return out
 
     def rest(self) -> None:
-        """At the end of a task: keep the younger chunks only."""
-        self.older_chunks = {}
+        """At the end of a task: the known pieces stay, they are few megabytes."""
         common.give_back()
 
 

@@ -15,7 +15,6 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
-from tidewatch.llm.tokenization import PIECE_ENTRIES, Encoder
+from tidewatch.llm.tokenization import Encoder
 
 END, PAIR_ENTRIES = "</w>", 1_000_000
 
@@ -166,15 +165,9 @@ class TrieEncoder(Encoder):
         for t, i in names.items():
             self._names[i] = t.encode()
 
-    def _learn_pieces(self, pieces) -> None:
-        known = self.known_pieces
-        if len(known) > PIECE_ENTRIES:
-            known.clear()
-        if not known:
-            known.update((s, pack("<I", i)) for s, i in self.special.items())
-        spelt = {self._spelt(p): p for p in set(pieces).difference(known)}
-        for word, ids in self.table.encode_sorted(sorted(spelt)):
-            known[spelt[word]] = pack(f"<{len(ids)}I", *ids)
+    def _model_ids(self, spelt: list[str]) -> list[list[int]]:
+        found = dict(self.table.encode_sorted(sorted(spelt)))
+        return [found[s] for s in spelt]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode with special tokens kept, for files without a decoder: tokens joined by spaces."""
